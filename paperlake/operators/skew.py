@@ -1,0 +1,94 @@
+"""Keeping hot groups out of single tasks.
+
+A key may hold a large share of all rows. Aggregates with map-side combine do not mind, but an operator that needs
+the rows of one group *in order* does. Such operators ask :func:`split_hot` which keys exceed a row limit (one
+pre-aggregated pass over the key columns), run the plain plan on the rest, and cut the hot groups into ordered parts
+with :func:`ordered_parts`. A part is bounded, so no task ever holds a whole hot group, and no row is dropped.
+"""
+
+from __future__ import annotations
+
+from math import ceil
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from paperlake.session import checkpointed
+
+HOT_ROWS = 100_000
+# A key list up to this length may be broadcast: its size is known when the plan is built.
+MAX_BROADCAST_KEYS = 10_000
+
+
+def split_hot(df: DataFrame, keys: list[str], limit: int = HOT_ROWS) -> tuple[DataFrame, DataFrame | None, int]:
+    """Rows of groups within ``limit``, rows of larger groups (None if there are none), and how many the latter are."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
+    counts = checkpointed(counts)
+    found = counts.agg(F.count(F.lit(1)).alias("k"), F.sum("_n").alias("n")).first()
+    if not found["k"]:
+        return df, None, 0
+    hot_keys = counts.select(*keys)
+    if found["k"] <= MAX_BROADCAST_KEYS:
+        hot_keys = F.broadcast(hot_keys)
+    return df.join(hot_keys, keys, "left_anti"), df.join(hot_keys, keys, "left_semi"), found["n"]
+
+
+def ordered_parts(df: DataFrame, keys: list[str], order: list[Column], rows: int, limit: int = HOT_ROWS) -> DataFrame:
+    """Cut groups into range partitions of about ``limit`` rows; ``_part`` rises with the order inside each group.
+
+    The range bounds are sampled, so the result is written to the checkpoint folder before ``_part`` is used.
+    """
+    parts = max(1, ceil(rows / limit))
+    ranged = df.repartitionByRange(parts, *[F.col(k) for k in keys], *order)
+    return checkpointed(ranged.withColumn("_part", F.spark_partition_id()))
+
+
+def ordered_text(
+    df: DataFrame, keys: list[str], order: list[str], text: str, separator: str = "\n", limit: int = HOT_ROWS
+) -> DataFrame:
+    """Join the ``text`` of each group in ``order``.
+
+    Returns ``(*keys, part_no, content, lines_hash)``. Groups within ``limit`` are one row with ``part_no`` 0 and a
+    null ``lines_hash``. Larger ones are several rows whose contents, joined by ``separator`` in ``part_no`` order, are
+    the whole text; ``lines_hash`` then identifies the whole group whatever the cuts.
+    """
+    rows = df.select(*keys, *order, text)
+    cold, hot, n_hot = split_hot(rows, keys, limit)
+
+    def joined(frame: DataFrame, by: list[str]) -> DataFrame:
+        items = F.sort_array(F.collect_list(F.struct(*order, text)))
+        return frame.groupBy(*by).agg(F.array_join(F.transform(items, lambda i: i[text]), separator).alias("content"))
+
+    out = joined(cold, keys).select(
+        *keys, F.lit(0).alias("part_no"), "content", F.lit(None).cast("string").alias("lines_hash")
+    )
+    if hot is None:
+        return out
+    parts = ordered_parts(hot, keys, [F.col(c) for c in order], n_hot, limit)
+    line = F.xxhash64(*order, text)
+    whole = parts.groupBy(*keys).agg(
+        F.sha2(
+            F.concat_ws(":", F.count(F.lit(1)), F.bit_xor(line), F.sum(line.cast("decimal(20,0)"))), 256
+        ).alias("lines_hash")
+    )
+    # Parts are few (rows / limit), so this join moves one row per part plus its text once.
+    big = joined(parts, [*keys, "_part"]).join(whole, keys)
+    return out.unionByName(big.select(*keys, F.col("_part").alias("part_no"), "content", "lines_hash"))
+
+
+def numbered(
+    df: DataFrame, keys: list[str], order: list[str], name: str = "n", limit: int = HOT_ROWS
+) -> DataFrame:
+    """Add the 1-based position of each row inside its group, without sorting a hot group in one task."""
+    cold, hot, n_hot = split_hot(df, keys, limit)
+    out = cold.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order)).cast("bigint"))
+    if hot is None:
+        return out
+    parts = ordered_parts(hot, keys, [F.col(c) for c in order], n_hot, limit)
+    before = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    sizes = parts.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_size"))
+    offsets = sizes.select(*keys, "_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
+    inside = F.row_number().over(W.partitionBy(*keys, "_part").orderBy(*order))
+    big = parts.join(offsets, [*keys, "_part"]).withColumn(name, F.col("_offset") + inside)
+    return out.unionByName(big.select(*out.columns))
