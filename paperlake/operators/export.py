@@ -18,6 +18,7 @@ from paperlake.functions.text import (
 from paperlake.operators.knowledge import IMPORTANCE, CONFIDENCE, entity_papers, global_entities
 from paperlake.operators.skew import HOT_ROWS, ordered_text
 from paperlake.schemas import KnowledgeBase
+from paperlake.session import stored
 
 SCHEMA_VERSION = "1.0.0"
 KEY_PREFIX = "paperlake"
@@ -140,8 +141,10 @@ def section_lines(
 def with_headings(lines: DataFrame, keys: list[str], headings: dict[int, str], closing: dict[int, str]) -> DataFrame:
     """Add a first line to every section present, and a last one to those in ``closing``.
 
-    The present sections are found by a distinct over (note, section), which combines before its shuffle.
+    The lines are stored first: they come out of many joins and are read again to find the sections present (a distinct
+    that combines before its shuffle), to size the notes, and to join them.
     """
+    lines = stored(lines)
     present = lines.select(*keys, "sec").distinct()
 
     def marks(texts: dict[int, str], k: str, a: int) -> DataFrame:

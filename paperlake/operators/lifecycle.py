@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from paperlake.functions.text import file_stem
 from paperlake.schemas import TASK_STATES_CLOSED, TASK_STATES_OPEN
-from paperlake.session import checkpointed
+from paperlake.session import stored
 
 ORPHAN_MESSAGE = "processing interrupted (service restart)"
 
@@ -169,7 +169,7 @@ def resolve_paths(
     )
     suffix = F.substring(F.sha1(F.concat_ws(":", "item_type", "normalized_key", "source_name")), 1, 3)
     base = F.concat_ws("/", F.lit(root), F.col("folder"), F.col("desired_name"))
-    located = checkpointed(located.withColumns({"_base": base, "_suffix": suffix}))
+    located = stored(located.withColumns({"_base": base, "_suffix": suffix}))
 
     done = located.filter(F.col("_settled").isNotNull()).withColumn("relative_path", F.col("_settled"))
     taken = files.unionByName(done.select("vault_path", "relative_path")).distinct()
@@ -183,7 +183,7 @@ def resolve_paths(
         .join(taken.withColumn("_taken", F.lit(True)), ["vault_path", "relative_path"], "left")
     )
     plain = (F.col("_first") == F.struct("item_type", "item_id")) & F.col("_taken").isNull()
-    candidates = checkpointed(candidates.withColumn("_placed", plain).drop("_first", "_taken"))
+    candidates = stored(candidates.withColumn("_placed", plain).drop("_first", "_taken"))
     placed = done.select(*items.columns, "relative_path").unionByName(
         candidates.filter("_placed").select(*items.columns, "relative_path")
     )
@@ -191,7 +191,7 @@ def resolve_paths(
 
     # Suffixed names: number the class, then retry the accidental clashes with the numbers not yet used.
     number = F.row_number().over(W.partitionBy("vault_path", "_base", "_suffix").orderBy("item_type", "item_id"))
-    rest = checkpointed(rest.withColumn("_n", number))
+    rest = stored(rest.withColumn("_n", number))
     bump = 0
     while not rest.isEmpty():
         if bump >= max_rounds:
@@ -200,7 +200,7 @@ def resolve_paths(
         name = F.when(F.col("_n") == 1, F.concat_ws("-", "_base", "_suffix")).otherwise(
             F.concat_ws("-", "_base", "_suffix", F.col("_n").cast("string"))
         )
-        tried = checkpointed(
+        tried = stored(
             rest.withColumn("relative_path", F.concat(name, F.lit(".md")))
             .join(used.withColumn("_taken", F.lit(True)), ["vault_path", "relative_path"], "left")
             .withColumn("_ok", F.col("_taken").isNull())
@@ -210,19 +210,19 @@ def resolve_paths(
         keeper = tried.filter("_ok").groupBy("vault_path", "relative_path").agg(
             F.min(F.struct("item_type", "item_id")).alias("_keeper")
         )
-        judged = checkpointed(
+        judged = stored(
             tried.join(keeper, ["vault_path", "relative_path"], "left").withColumn(
                 "_ok", F.col("_ok") & (F.col("_keeper") == F.struct("item_type", "item_id"))
             )
         )
-        placed = checkpointed(
+        placed = stored(
             placed.unionByName(judged.filter("_ok").select(*items.columns, "relative_path"))
         )
         losers = judged.filter(~F.coalesce("_ok", F.lit(False)))
         # A class with a clash moves its losers past its largest number, so that no number is tried twice.
         top = judged.groupBy("vault_path", "_base", "_suffix").agg(F.max("_n").alias("_top"))
         again = F.row_number().over(W.partitionBy("vault_path", "_base", "_suffix").orderBy("item_type", "item_id"))
-        rest = checkpointed(
+        rest = stored(
             losers.join(top, ["vault_path", "_base", "_suffix"])
             .withColumn("_n", F.col("_top") + again)
             .select(*items.columns, "_base", "_suffix", "_n")

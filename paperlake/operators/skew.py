@@ -2,7 +2,7 @@
 
 A key may hold a large share of all rows. Aggregates with map-side combine do not mind, but an operator that needs
 the rows of one group *in order* does. Such operators ask :func:`split_hot` which keys exceed a row limit (one
-pre-aggregated pass over the key columns), run the plain plan on the rest, and cut the hot groups into ordered parts
+pre-aggregated pass over the key columns, so give it a stored table or a scan), run the plain plan on the rest, and cut the hot groups into ordered parts
 with :func:`ordered_parts`. A part is bounded, so no task ever holds a whole hot group, and no row is dropped.
 """
 
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from paperlake.session import checkpointed
+from paperlake.session import stored
 
 HOT_ROWS = 100_000
 # A key list up to this length may be broadcast: its size is known when the plan is built.
@@ -24,11 +24,10 @@ MAX_BROADCAST_KEYS = 10_000
 def split_hot(df: DataFrame, keys: list[str], limit: int = HOT_ROWS) -> tuple[DataFrame, DataFrame | None, int]:
     """Rows of groups within ``limit``, rows of larger groups (None if there are none), and how many the latter are."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
-    counts = checkpointed(counts)
     found = counts.agg(F.count(F.lit(1)).alias("k"), F.sum("_n").alias("n")).first()
     if not found["k"]:
         return df, None, 0
-    hot_keys = counts.select(*keys)
+    hot_keys = stored(counts.select(*keys))
     if found["k"] <= MAX_BROADCAST_KEYS:
         hot_keys = F.broadcast(hot_keys)
     return df.join(hot_keys, keys, "left_anti"), df.join(hot_keys, keys, "left_semi"), found["n"]
@@ -37,11 +36,11 @@ def split_hot(df: DataFrame, keys: list[str], limit: int = HOT_ROWS) -> tuple[Da
 def ordered_parts(df: DataFrame, keys: list[str], order: list[Column], rows: int, limit: int = HOT_ROWS) -> DataFrame:
     """Cut groups into range partitions of about ``limit`` rows; ``_part`` rises with the order inside each group.
 
-    The range bounds are sampled, so the result is written to the checkpoint folder before ``_part`` is used.
+    The range bounds are sampled, so the result is stored before ``_part`` is used.
     """
     parts = max(1, ceil(rows / limit))
     ranged = df.repartitionByRange(parts, *[F.col(k) for k in keys], *order)
-    return checkpointed(ranged.withColumn("_part", F.spark_partition_id()))
+    return stored(ranged.withColumn("_part", F.spark_partition_id()))
 
 
 def ordered_text(

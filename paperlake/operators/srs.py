@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from paperlake.functions.text import normalize_tags
 from paperlake.operators.knowledge import DIFFICULTY, START_EASE, START_INTERVAL, START_REPETITIONS, make_id
 from paperlake.operators.skew import HOT_ROWS, ordered_parts, split_hot
-from paperlake.session import checkpointed
+from paperlake.session import stored
 
 MIN_EASE = 1.3
 # Beyond this many days the due date leaves the calendar; it is then null.
@@ -111,7 +111,7 @@ def _hot_states(cards: DataFrame, reviews: DataFrame, n: int, card_id: str, limi
     end are absolute, or it only multiplies what came before. A last short fold over the parts gives the card's state.
     """
     parts = ordered_parts(reviews, [card_id], [F.col("ts"), F.col("review_id")], n, limit)
-    logs = checkpointed(
+    logs = stored(
         parts.groupBy(card_id, "_part").agg(
             F.sort_array(F.collect_list(F.struct("ts", "review_id", "quality"))).alias("_log"),
             F.max("ts").alias("_ts"),

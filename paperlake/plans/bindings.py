@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from paperlake.operators import knowledge as K
 from paperlake.operators import text as T
 from paperlake.schemas import KnowledgeBase
+from paperlake.session import stored
 
 NOW = "2024-02-01 00:00:00"
 CATEGORIES = ("core_conclusion", "method_innovation", "key_data", "background")
@@ -128,7 +129,11 @@ class Tables:
     def relations(self) -> DataFrame:
         return K.resolve_relations(self.relation_mentions(), self.entities())
 
-    def knowledge(self) -> KnowledgeBase:
+    def knowledge(self, keep: bool = False) -> KnowledgeBase:
+        """All tables of the completed papers; ``keep`` stores entities and relations for jobs that use them often."""
+        entities = stored(self.entities()) if keep else self.entities()
+        relations = K.resolve_relations(self.relation_mentions(), entities)
+        relations = stored(relations) if keep else relations
         items = self.items()
         order = F.col("chunk_no") * 1_000_000_000_000 + F.col("pos")
         papers = self.papers().filter((F.col("extraction_status") == "completed") & F.col("has_document"))
@@ -174,8 +179,8 @@ class Tables:
         return KnowledgeBase(
             papers=papers,
             sections=sections,
-            entities=kept(self.entities()),
-            relations=kept(self.relations()),
+            entities=kept(entities),
+            relations=kept(relations),
             findings=findings,
             methods=methods,
             datasets=datasets,

@@ -104,8 +104,8 @@ def s4(t: Tables) -> DataFrame:
         F.concat(F.lit(" doi : "), F.col("doi")), F.lit("no colon"),
         F.concat(F.lit("abstract: "), X.yaml_quote(abstract)), F.lit("---"), F.lit("body: x"),
     )
-    m = S.front_matter(note)
-    return t.papers().select(
+    m = F.col("m")
+    return t.papers().select("paper_id", S.front_matter(note).alias("m")).select(
         "paper_id", m["title"].alias("title"), E.text_or_empty(m["doi"]).alias("doi"), m["abstract"].alias("abstract")
     )
 
@@ -116,7 +116,7 @@ def s4(t: Tables) -> DataFrame:
 )
 def s5(t: Tables) -> DataFrame:
     """Tables to JSON documents and back."""
-    docs = D.assemble_documents(t.knowledge(), now(), "m")
+    docs = D.assemble_documents(t.knowledge(keep=True), now(), "m")
     back = D.to_tables(D.parse_knowledge(docs))
     return back.entities.select("paper_id", "id", "name", "type", r6("importance"))
 
@@ -519,7 +519,7 @@ def k6(t: Tables) -> DataFrame:
     ),
 )
 def k7(t: Tables) -> DataFrame:
-    docs = D.parse_knowledge(D.assemble_documents(t.knowledge(), now(), "m"))
+    docs = D.parse_knowledge(D.assemble_documents(t.knowledge(keep=True), now(), "m"))
     big = lambda path: F.size(f"knowledge.{path}").cast("bigint").alias(path)
     return docs.select(
         "paper_id", F.col("knowledge.metadata.title").alias("title"), big("entities"), big("relationships"), big("findings"),
@@ -617,7 +617,7 @@ def k12(t: Tables) -> DataFrame:
     "k13_note_entities",
     sql(
         "ents papers",
-        f"""WITH d AS (SELECT paper_id, chunk_no, pos, trim(name) AS name, upper(type) AS type, coalesce(definition, '') AS definition
+        f""", d AS (SELECT paper_id, chunk_no, pos, trim(name) AS name, upper(type) AS type, coalesce(definition, '') AS definition
           FROM mentions SEMI JOIN (SELECT paper_id FROM papers WHERE o_orderkey % 3 = 0) USING (paper_id) WHERE l_keep),
         i AS (SELECT paper_id, first_chunk AS chunk_no, first_pos AS pos, name, type, coalesce(definition, '') AS definition FROM ents
           ANTI JOIN d USING (paper_id))
@@ -1206,7 +1206,7 @@ LEFT JOIN (SELECT paper_id, '## Flashcards' || {_NL} || string_agg('**Q:** ' ||
 
 @query("e5_paper_notes", sql("done ents rels findings items kcards", _PAPER_NOTE))
 def e5(t: Tables) -> DataFrame:
-    return E.paper_notes(t.knowledge()).select("paper_id", "content")
+    return E.paper_notes(t.knowledge(keep=True)).select("paper_id", "content")
 
 
 _DONE_FIRSTS = """, g AS (SELECT e.*, d.user_id, d.created_at, d.title FROM ents e JOIN done d USING (paper_id)),
@@ -1219,12 +1219,12 @@ SELECT user_id, entity_key, concat_ws({_NL}, '---', 'type: ' || type, 'aliases:
 
 @query("e6_entity_notes", sql("ents done", _ENTITY_NOTE))
 def e6(t: Tables) -> DataFrame:
-    return E.entity_notes(t.knowledge()).select("user_id", "entity_key", "content")
+    return E.entity_notes(t.knowledge(keep=True)).select("user_id", "entity_key", "content")
 
 
 def _linked(t: Tables):
     """Paths and links of a whole vault per user, as a sync run resolves them."""
-    kb, mapping = t.knowledge(), _mapping(t)
+    kb, mapping = t.knowledge(keep=True), _mapping(t)
     papers = kb.papers.select("paper_id", X.sanitize_name(N.note_title(kb.papers)).alias("target"))
     entities = K.note_entities(kb.papers, kb.entities.select("*", F.col("first_chunk").alias("chunk_no"), F.col("first_pos").alias("pos"), F.lit("").alias("entity_type"), F.lit("").alias("description")), kb.entities)
     links = entities.groupBy("user_id", "entity_key").agg(F.min("name").alias("name")).select(
@@ -1256,7 +1256,7 @@ def e8(t: Tables) -> DataFrame:
 )
 def e9(t: Tables) -> DataFrame:
     """The paper documents of the full export, read back."""
-    docs = D.parse_knowledge(D.assemble_documents(t.knowledge(), now(), "m"))
+    docs = D.parse_knowledge(D.assemble_documents(t.knowledge(keep=True), now(), "m"))
     m = "knowledge.metadata"
     return docs.filter("part_no = 0").select(
         "paper_id", f"{m}.title", f"{m}.year", F.get(f"{m}.authors", F.lit(0))["name"].alias("first_author")
@@ -1272,4 +1272,4 @@ def e9(t: Tables) -> DataFrame:
     ),
 )
 def e10(t: Tables) -> DataFrame:
-    return E.notes_table(t.knowledge()).select("user_id", "relative_path")
+    return E.notes_table(t.knowledge(keep=True)).select("user_id", "relative_path")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,7 +37,12 @@ def work_dir(spark: SparkSession) -> str:
     return shared
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through reliable storage, so that a lost executor cannot change what was computed."""
-    work_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back.
+
+    For results that are used several times, or that must not be computed twice: a lost executor then costs a re-read,
+    never a different answer. A Parquet table keeps column pruning, filters and sizes for the plans that follow.
+    """
+    path = f"{work_dir(df.sparkSession).rstrip('/')}/paperlake-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

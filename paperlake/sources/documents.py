@@ -9,6 +9,7 @@ from paperlake.functions.text import key_simple
 from paperlake.operators.export import SCHEMA_VERSION
 from paperlake.operators.skew import HOT_ROWS, ordered_parts, split_hot
 from paperlake.schemas import DOCUMENT, KnowledgeBase
+from paperlake.session import stored
 
 
 def parse_knowledge(df: DataFrame, column: str = "knowledge_json") -> DataFrame:
@@ -109,7 +110,7 @@ def assemble_documents(
     All item kinds meet in one shuffle by paper. A paper with more than ``limit`` items becomes several documents, each
     with a range of its items; readers explode them, so nothing else changes for them.
     """
-    items = _tagged(kb)
+    items = stored(_tagged(kb))
     cold, hot, n_hot = split_hot(items, ["paper_id"], limit)
 
     def grouped(df: DataFrame, part: Column) -> DataFrame:

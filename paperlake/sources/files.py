@@ -52,21 +52,17 @@ def front_matter(text: Column) -> Column:
     inner = F.regexp_extract(text, r"(?s)\A---(.*?)---", 1)
     lines = F.filter(F.split(inner, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"), lambda line: line.contains(":"))
 
-    def pair(line: Column) -> Column:
+    def put(found: Column, line: Column) -> Column:
         colon = F.call_function("locate", F.lit(":"), line)
-        value = strip(F.substring(line, colon + 1, F.length(line)))
-        bare = F.substring(value, F.lit(2), F.length(value) - 2)
+        key = strip(F.substring(line, F.lit(1), colon - 1))
+        raw = strip(F.substring(line, colon + 1, F.length(line)))
+        bare = F.regexp_extract(raw, r'(?s)\A"(.*)"\z', 1)
         plain = F.replace(F.replace(bare, F.lit('\\"'), F.lit('"')), F.lit("\\\\"), F.lit("\\"))
-        quoted = (F.length(value) >= 2) & value.startswith('"') & value.endswith('"')
-        return F.struct(
-            strip(F.substring(line, F.lit(1), colon - 1)).alias("key"), F.when(quoted, plain).otherwise(value).alias("value")
-        )
-
-    pairs = F.transform(lines, pair)
-    last = F.filter(
-        pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs) + 1), lambda q: q["key"] == p["key"])
-    )
-    return F.map_from_entries(last)
+        value = F.when(raw.rlike(r'(?s)\A".*"\z'), plain).otherwise(raw)
+        return F.map_concat(F.map_filter(found, lambda k, _: k != key), F.create_map(key, value))
+
+    empty = F.create_map().cast("map<string,string>")
+    return F.aggregate(lines, empty, put)
 
 
 def read_notes(spark: SparkSession, path: str) -> DataFrame:
