@@ -6,6 +6,9 @@ and progress updates, documents are texts, conversations are annotations and mod
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,17 +25,35 @@ def now(text: str = NOW) -> Column:
     return F.lit(text).cast("timestamp_ntz")
 
 
+def _once(build: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+    """Build a logical table once per instance: analysing its plan again costs more than it seems."""
+
+    @wraps(build)
+    def get(self: Tables) -> DataFrame:
+        if build.__name__ not in self._built:
+            self._built[build.__name__] = build(self)
+        return self._built[build.__name__]
+
+    return get
+
+
 class Tables:
     """Lazy access to the test tables and to the logical tables built from them."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder
+        self._tables: dict[str, DataFrame] = {}
+        self._built: dict[str, DataFrame] = {}
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        # Opening a table reads its footers, so each is opened once.
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._tables[name]
 
     # ---- papers and their items -------------------------------------------------------------------------------
 
+    @_once
     def papers(self) -> DataFrame:
         key = F.col("o_orderkey").cast("string")
         customer = F.concat(F.lit("Customer "), F.col("o_custkey").cast("string"))
@@ -75,6 +96,7 @@ class Tables:
             F.col("o_orderdate").alias("created_at"),
         )
 
+    @_once
     def items(self) -> DataFrame:
         """Line items with their part, in the order that plays (chunk_no, pos)."""
         part = self.read("part").select("p_partkey", "p_name", "p_brand", "p_type")
@@ -90,6 +112,7 @@ class Tables:
             "l_shipdate",
         )
 
+    @_once
     def mentions(self) -> DataFrame:
         spelled = (
             F.when(F.col("chunk_no") == 7, F.concat(F.lit("  "), F.col("p_name")))
@@ -107,6 +130,7 @@ class Tables:
             F.when(F.col("l_quantity") != 1, F.col("l_discount") * 10).alias("importance"),
         )
 
+    @_once
     def relation_mentions(self) -> DataFrame:
         """Each mention related to the paper's alphabetically first name; returned items get an unknown target."""
         items = self.items()
@@ -123,6 +147,7 @@ class Tables:
             F.when(F.col("l_tax") > 0, 1 - F.col("l_tax")).alias("confidence"),
         )
 
+    @_once
     def entities(self) -> DataFrame:
         return K.entity_index(K.dedup_entities(self.mentions()))
 
