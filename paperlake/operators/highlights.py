@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperlake.functions.text import strip
+from paperlake.operators.rows import exploded
 from paperlake.schemas import HIGHLIGHT_CATEGORIES
 
 
 def selections(responses: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """``(doc, chunk_no, pos, sentence_id, category)`` with a non-empty id and a known category."""
-    rows = responses.select(doc_id, "chunk_no", F.posexplode("parsed.highlights").alias("pos", "h")).select(
+    rows = exploded(responses, "parsed.highlights", "h", doc_id, "chunk_no").select(
         doc_id, "chunk_no", "pos", strip(F.col("h.sentence_id")).alias("sentence_id"), "h.category"
     )
     return rows.filter((F.col("sentence_id") != "") & F.col("category").isin(*HIGHLIGHT_CATEGORIES))

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperlake.functions.text import strip
+from paperlake.functions.text import WS, strip
 from paperlake.operators.text import budget
 from paperlake.schemas import RESPONSES
 
@@ -20,6 +20,7 @@ CARD_ENTITIES, CARD_FINDINGS = 15, 10
 ATTEMPTS, BASE_DELAY, TEMPERATURE = 3, 2.0, 0.1
 MAX_TOKENS = {"highlight": 2048}
 DEFAULT_MAX_TOKENS = 4096
+BLANKS = r"[ \t]"
 SUMMARY_PREFIX = "Paper text:\n\n"
 HIGHLIGHT_PREFIX = "Sentence candidates:\n\n"
 
@@ -188,29 +189,26 @@ def infer(
 # ---- reading the answer ---------------------------------------------------------------------------------------
 
 
-def response_body(raw: Column) -> Column:
-    """The JSON object inside a model answer, or null.
+def parse_response(responses: DataFrame, task: str) -> DataFrame:
+    """Add ``parsed`` (null where the answer holds no JSON object) and ``parse_failed`` for one task's answers.
 
     Fences are dropped (the first line, and the last if it is just a fence). If the rest is not JSON, what lies between
-    the first ``{`` and the last ``}`` is tried.
+    the first ``{`` and the last ``}`` is tried. The steps are columns of their own so that each runs once per row.
     """
-    text = strip(raw)
-    fenced = F.regexp_replace(F.regexp_replace(text, r"\A[^\n]*(\n|\z)", ""), r"(?U)(\A|\n)[^\S\n]*```[^\S\n]*\z", "")
-    body = F.when(text.startswith("```"), fenced).otherwise(text)
-    braces = F.regexp_extract(body, r"(?s)(\{.*\})", 1)
+    fenced = F.regexp_replace(F.regexp_replace("_text", r"\A[^\n]*(\n|\z)", ""), rf"(\A|\n){BLANKS}*```{BLANKS}*\z", "")
+    body = F.when(F.startswith("_text", F.lit("```")), fenced).otherwise(F.col("_text"))
+    braces = F.regexp_extract("_body", r"(?s)(\{.*\})", 1)
+    whole = F.rlike("_body", F.lit(rf"\A{WS}*\{{")) & F.try_parse_json("_body").isNotNull()
     return (
-        F.when(F.try_parse_json(body).isNotNull() & strip(body).startswith("{"), body)
-        .when(F.try_parse_json(braces).isNotNull(), braces)
+        responses.filter(F.col("task") == task)
+        .withColumn("_text", strip(F.col("raw")))
+        .withColumn("_body", body)
+        .withColumn("_json", F.when(whole, F.col("_body")).when(F.try_parse_json(braces).isNotNull(), braces))
+        .withColumns(
+            {
+                "parsed": F.when(F.col("_json").isNotNull(), F.from_json("_json", RESPONSES[task])),
+                "parse_failed": F.col("_json").isNull(),
+            }
+        )
+        .drop("_text", "_body", "_json")
     )
-
-
-def parse_response(responses: DataFrame, task: str) -> DataFrame:
-    """Add ``parsed`` (null where the answer holds no JSON object) and ``parse_failed`` for one task's answers."""
-    body = response_body(F.col("raw"))
-    with_body = responses.filter(F.col("task") == task).withColumn("_body", body)
-    return with_body.withColumns(
-        {
-            "parsed": F.when(F.col("_body").isNotNull(), F.from_json("_body", RESPONSES[task])),
-            "parse_failed": F.col("_body").isNull(),
-        }
-    ).drop("_body")

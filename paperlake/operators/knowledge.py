@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperlake.functions.text import file_stem, key_nfkc, key_simple, or_default, sanitize_name, strip
+from paperlake.operators.rows import exploded
 
 ID_HEX = 24
 # Defaults of the index tables.
@@ -26,14 +27,14 @@ def make_id(prefix: str, *natural_key: Column) -> Column:
 
 def entity_mentions(responses: DataFrame) -> DataFrame:
     """``(paper_id, chunk_no, pos, name, type, aliases, definition, importance)`` from parsed chunk responses."""
-    rows = responses.select("paper_id", "chunk_no", F.posexplode("parsed.entities").alias("pos", "e"))
+    rows = exploded(responses, "parsed.entities", "e", "paper_id", "chunk_no")
     return rows.select(
         "paper_id", "chunk_no", "pos", "e.name", "e.type", "e.aliases", "e.definition", "e.importance"
     )
 
 
 def relation_mentions(responses: DataFrame) -> DataFrame:
-    rows = responses.select("paper_id", "chunk_no", F.posexplode("parsed.relationships").alias("pos", "r"))
+    rows = exploded(responses, "parsed.relationships", "r", "paper_id", "chunk_no")
     return rows.select(
         "paper_id", "chunk_no", "pos", "r.source", "r.target", "r.type", "r.description", "r.confidence"
     )
@@ -41,7 +42,7 @@ def relation_mentions(responses: DataFrame) -> DataFrame:
 
 def sections(responses: DataFrame) -> DataFrame:
     """Sections numbered ``sec_1, sec_2 …`` in response order."""
-    rows = responses.select("paper_id", F.posexplode("parsed.sections").alias("pos", "s"))
+    rows = exploded(responses, "parsed.sections", "s", "paper_id")
     return rows.select(
         "paper_id",
         (F.col("pos") + 1).alias("section_no"),
@@ -53,7 +54,7 @@ def sections(responses: DataFrame) -> DataFrame:
 
 
 def findings(responses: DataFrame) -> DataFrame:
-    rows = responses.select("paper_id", F.posexplode("parsed.findings").alias("pos", "f"))
+    rows = exploded(responses, "parsed.findings", "f", "paper_id")
     return rows.select(
         make_id("find", F.col("paper_id"), F.col("pos")).alias("id"),
         "paper_id",
@@ -67,18 +68,18 @@ def findings(responses: DataFrame) -> DataFrame:
 
 
 def methods(responses: DataFrame) -> DataFrame:
-    rows = responses.select("paper_id", F.posexplode("parsed.methods").alias("pos", "m"))
+    rows = exploded(responses, "parsed.methods", "m", "paper_id")
     return rows.select("paper_id", "pos", "m.name", "m.description", "m.inputs", "m.outputs")
 
 
 def datasets(responses: DataFrame) -> DataFrame:
-    rows = responses.select("paper_id", F.posexplode("parsed.datasets").alias("pos", "d"))
+    rows = exploded(responses, "parsed.datasets", "d", "paper_id")
     return rows.select("paper_id", "pos", "d.name", "d.description", "d.usage")
 
 
 def new_cards(responses: DataFrame, now: Column) -> DataFrame:
     """Cards of a response with their defaults, due at once."""
-    rows = responses.select("paper_id", F.posexplode("parsed.flashcards").alias("pos", "c"))
+    rows = exploded(responses, "parsed.flashcards", "c", "paper_id")
     return rows.select(
         make_id("fc", F.col("paper_id"), F.col("pos")).alias("id"),
         "paper_id",

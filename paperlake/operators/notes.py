@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperlake.functions.text import UNTITLED, key_nfkc, or_default, sanitize_name, strip, yaml_quote
+from paperlake.functions.text import UNTITLED, WS, key_nfkc, or_default, sanitize_name, strip, yaml_quote
 from paperlake.operators.export import (
     KEY_PREFIX,
     LINE_ORDER,
@@ -323,7 +323,7 @@ def _iso(df: DataFrame, name: str) -> Column:
 
 def _finish(notes: DataFrame) -> DataFrame:
     """Single-part notes end with exactly one newline."""
-    tidy = F.concat(F.regexp_replace("content", r"(?U)[\s\x1c-\x1f]+\z", ""), F.lit("\n"))
+    tidy = F.concat(F.regexp_replace("content", rf"{WS}+\z", ""), F.lit("\n"))
     return notes.withColumn("content", F.when(F.col("lines_hash").isNull(), tidy).otherwise(F.col("content")))
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from paperlake.operators.rows import exploded
+
 TASK_LIMIT = 50
 NEIGHBOURS = 5
 
@@ -129,7 +131,7 @@ def neighbours(entities: DataFrame, relations: DataFrame, k: int = NEIGHBOURS) -
 
 def summary_keywords(summaries: DataFrame) -> DataFrame:
     """Keywords of each summary, most important first."""
-    rows = summaries.select("paper_id", F.posexplode("summary.keywords").alias("pos", "k"))
+    rows = exploded(summaries, "summary.keywords", "k", "paper_id")
     return rows.select("paper_id", "pos", "k.text", "k.type", "k.importance").orderBy(
         "paper_id", F.desc("importance"), "pos"
     )

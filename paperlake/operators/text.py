@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperlake.functions.text import WS, squeeze, strip
+from paperlake.functions.text import squeeze, strip
+from paperlake.operators.rows import exploded
 
 MIN_SENTENCE_CHARS = 12
 CHUNK_CHARS, CHUNK_ITEMS = 5000, 60
@@ -31,12 +32,11 @@ ABBREVIATIONS = (
 
 # Unicode noncharacters: reserved for internal use, so they cannot occur in valid text.
 _DOT, _END = "\ufdd0", "\ufdd1"
-# A period before white space stays inside the sentence when the run of letters and periods in front of it is a
-# single letter, an abbreviation, or itself contains a period.
-_INNER_DOT = (
-    r"(?iU)(?<![\p{L}.])(\p{L}|" + "|".join(ABBREVIATIONS) + r"|[\p{L}.]*\.[\p{L}.]*)\.(?=" + WS + r"|\z)"
-)
-_SENTENCE_END = rf"(?U)([{SENTENCE_ENDS}]|\.(?={WS}|\z))"
+# A period at the end of a word stays inside the sentence when the run of letters and periods in front of it contains a
+# period itself, or is a single letter or an abbreviation. Both patterns start at a period, which is rare.
+_DOTTED = r"(\.\p{L}*)\.(?= |\z)"
+_ABBREVIATED = r"(?i)\.(?<=(?<![\p{L}.])(?:\p{L}|" + "|".join(ABBREVIATIONS) + r")\.)(?= |\z)"
+_SENTENCE_END = rf"([{SENTENCE_ENDS}]|\.(?= |\z))"
 
 
 def unwrap(c: Column) -> Column:
@@ -51,22 +51,21 @@ def unwrap_lines(df: DataFrame, text: str = "text") -> DataFrame:
 
 def sentence_array(c: Column) -> Column:
     """Cleaned sentences of at least 12 characters, in order; the unterminated tail counts as one."""
-    marked = F.regexp_replace(F.regexp_replace(c, _INNER_DOT, "$1" + _DOT), _SENTENCE_END, "$1" + _END)
-    cleaned = F.transform(F.split(marked, _END), lambda s: F.translate(squeeze(s), _DOT, "."))
-    return F.filter(cleaned, lambda s: F.length(s) >= MIN_SENTENCE_CHARS)
+    # White space is normalised once for the whole text: a period before any white space is then one before a blank.
+    held = F.regexp_replace(F.regexp_replace(squeeze(c), _DOTTED, "$1" + _DOT), _ABBREVIATED, _DOT)
+    marked = F.translate(F.regexp_replace(held, _SENTENCE_END, "$1" + _END), _DOT, ".")
+    return F.filter(F.transform(F.split(marked, _END), lambda s: F.trim(s)), lambda s: F.length(s) >= MIN_SENTENCE_CHARS)
 
 
 def sentences(df: DataFrame, doc_id: str = "doc_id", text: str = "text", page: str | None = None) -> DataFrame:
     """One row per sentence of each page: ``(doc, page_index, sentence_no, sentence_id, text)``."""
     page_index = F.col(page) if page else F.lit(0)
-    exploded = df.select(
-        F.col(doc_id), page_index.alias("page_index"), F.posexplode(sentence_array(F.col(text))).alias("i", "text")
-    )
-    return exploded.select(
+    rows = exploded(df, sentence_array(F.col(text)), "text", F.col(doc_id), page_index.alias("page_index"))
+    return rows.select(
         doc_id,
         "page_index",
-        (F.col("i") + 1).alias("sentence_no"),
-        sentence_id(F.col("page_index"), F.col("i") + 1).alias("sentence_id"),
+        (F.col("pos") + 1).alias("sentence_no"),
+        sentence_id(F.col("page_index"), F.col("pos") + 1).alias("sentence_id"),
         "text",
     )
 
@@ -130,9 +129,14 @@ def pack_sentence_chunks(
     folded = per_page.withColumn(
         "starts", chunk_starts(F.transform("items", lambda s: F.length(s["text"])), max_chars, max_items)
     )
-    chunks = folded.select(doc_id, "items", "starts", F.posexplode("starts").alias("chunk_no", "lo"))
-    hi = F.coalesce(F.get("starts", F.col("chunk_no") + 1), F.size("items"))
-    return chunks.select(doc_id, "chunk_no", F.slice("items", F.col("lo") + 1, hi - F.col("lo")).alias("items"))
+    cut = F.transform(
+        "starts",
+        lambda lo, i: F.slice(
+            "items", lo + 1, F.coalesce(F.get("starts", i + 1), F.size("items")) - lo
+        ),
+    )
+    chunks = exploded(folded.select(doc_id, cut.alias("chunks")), "chunks", "items", doc_id)
+    return chunks.select(doc_id, F.col("pos").alias("chunk_no"), "items")
 
 
 def pack_chunks(
@@ -208,9 +212,8 @@ def _text_with_titles(texts: DataFrame, sections: DataFrame, doc_id: str) -> Dat
 def split_sections(texts: DataFrame, sections: DataFrame, doc_id: str = "paper_id") -> DataFrame:
     """All chunks of each text: ``(doc, chunk_no, text)``. ``sections`` has ``(doc, section_no, title)``."""
     joined = _text_with_titles(texts.select(doc_id, "text"), sections, doc_id)
-    return joined.select(
-        doc_id, F.posexplode(section_chunks(F.col("text"), F.col("titles"))).alias("chunk_no", "text")
-    )
+    rows = exploded(joined, section_chunks(F.col("text"), F.col("titles")), "chunk", doc_id)
+    return rows.select(doc_id, F.col("pos").alias("chunk_no"), F.col("chunk").alias("text"))
 
 
 def select_chunks(texts: DataFrame, sections: DataFrame, doc_id: str = "paper_id") -> DataFrame:
@@ -223,7 +226,8 @@ def select_chunks(texts: DataFrame, sections: DataFrame, doc_id: str = "paper_id
     chosen = F.when(F.size("kept") > 0, F.col("kept")).otherwise(
         F.array(F.substring("text", 1, FALLBACK_CHARS))
     )
-    return kept.select(doc_id, F.posexplode(chosen).alias("chunk_no", "text"))
+    rows = exploded(kept, chosen, "chunk", doc_id)
+    return rows.select(doc_id, F.col("pos").alias("chunk_no"), F.col("chunk").alias("text"))
 
 
 def contexts(texts: DataFrame, doc_id: str = "paper_id") -> DataFrame:

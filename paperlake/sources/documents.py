@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from paperlake.functions.text import key_simple
 from paperlake.operators.export import SCHEMA_VERSION
+from paperlake.operators.rows import exploded
 from paperlake.operators.skew import HOT_ROWS, ordered_parts, split_hot
 from paperlake.schemas import DOCUMENT, KnowledgeBase
 from paperlake.session import stored
@@ -29,9 +30,8 @@ def to_tables(docs: DataFrame) -> KnowledgeBase:
     docs = docs.withColumn("_part", part).filter(F.col("knowledge").isNotNull())
 
     def items(path: str, name: str) -> DataFrame:
-        return docs.select(
-            "paper_id", F.col("_part").alias("chunk_no"), F.posexplode(f"knowledge.{path}").alias("pos", name)
-        ).select("paper_id", "chunk_no", "pos", f"{name}.*")
+        rows = exploded(docs, f"knowledge.{path}", name, "paper_id", F.col("_part").alias("chunk_no"))
+        return rows.select("paper_id", "chunk_no", "pos", f"{name}.*")
 
     heads = [c for c in docs.columns if c not in ("knowledge", "part_no", "_part")]
     papers = docs.filter(F.col("_part") == 0).select(
