@@ -72,10 +72,7 @@ def read_notes(spark: SparkSession, path: str) -> DataFrame:
     """
     root = path.rstrip("/") + "/"
     raw = (
-        spark.read.option("wholetext", "true")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.md")
-        .text(path)
+        spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
         .select(F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))).alias("file"), "value")
     )
     relative = F.regexp_replace("file", F.lit(r"\A.*?\Q" + root.split(":", 1)[-1].lstrip("/") + r"\E"), F.lit(""))

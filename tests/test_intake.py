@@ -55,25 +55,30 @@ def test_schema_alignment(spark):
     assert new.first().asDict() == {"task_id": "t", "percent": 1, "highlight": False, "summary_json": None}
 
 
-class Scripted:
-    """A stand-in model: fails as its request tells it to, and answers with the call's settings."""
+def scripted(bad=L.BadRequest):
+    """A stand-in model, defined in a function so that it travels to the workers by value."""
 
-    def __init__(self):
-        self.calls = {}
+    class Scripted:
+        """A stand-in model: fails as its request tells it to, and answers with the call's settings."""
 
-    def complete(self, system, content, temperature, max_tokens, json_mode):
-        n = self.calls[content] = self.calls.get(content, 0) + 1
-        if content == "always" or (content == "once" and n == 1):
-            raise RuntimeError(f"failure {n}")
-        if content == "strict" and json_mode:
-            raise L.BadRequest("no json mode")
-        return json.dumps({"tokens": max_tokens, "json": json_mode, "temperature": temperature})
+        def __init__(self):
+            self.calls = {}
+
+        def complete(self, system, content, temperature, max_tokens, json_mode):
+            n = self.calls[content] = self.calls.get(content, 0) + 1
+            if content == "always" or (content == "once" and n == 1):
+                raise RuntimeError(f"failure {n}")
+            if content == "strict" and json_mode:
+                raise bad("no json mode")
+            return __import__('json').dumps({"tokens": max_tokens, "json": json_mode, "temperature": temperature})
+
+    return Scripted
 
 
 def test_inference_retries_and_keeps_errors(spark):
     rows = [("p", "entities", i, "s", c) for i, c in enumerate(["fine", "once", "always"])] + [("p", "highlight", 3, "s", "strict")]
     requests = spark.createDataFrame(rows, "paper_id string, task string, chunk_no int, system string, content string")
-    got = {r.chunk_no: r for r in L.infer(requests, Scripted, concurrency=1, sleep=lambda s: None).collect()}
+    got = {r.chunk_no: r for r in L.infer(requests, scripted(), concurrency=1, sleep=lambda s: None).collect()}
     assert (got[0].attempts, got[1].attempts, got[2].attempts, got[3].attempts) == (1, 2, 3, 1)
     assert got[2].raw is None and got[2].error == "failure 3"
     assert json.loads(got[0].raw) == {"tokens": 4096, "json": False, "temperature": 0.1}

@@ -137,7 +137,7 @@ def test_linked_notes(docs, spark):
             "---", 'paperlake_id: "p1"', 'paperlake_type: "paper"', 'title: "Transformer/BERT"', "---", "", "# Transformer/BERT", "",
             "个人笔记：[[Transformer_BERT - Notes]]", "", "## 论文信息", "- 作者：Ada B (U), Cher", "- 年份：2024", "- DOI：10.1/x_y",
             "- 关键词：k", "", "## 摘要", "Abs", "", "## 章节结构", "- Intro：s", "  - Sub", "", "## 实体",
-            "- [[BERT]] (model)：encoder", "- [[BERT]] (other)：later", "- [[GLUE]] (dataset)：benchmark", "", "## 关系",
+            "- [[BERT]] (model)：encoder", "- [[Untitled]] (model)", "- [[BERT]] (other)：later", "- [[GLUE]] (dataset)：benchmark", "", "## 关系",
             "- [[BERT]] **evaluated_on** [[GLUE]]：d（置信度：0.9）", "", "## 发现", "- Better", "  - 证据：Table 1", "", "## 方法", "### M", "does",
             "- 输入：a", "", "## 数据集", "- GLUE：tasks", "  - 用途：test", "", "## 闪卡", "### 卡片 1", "- 问：Q?", "- 答：A", "- 标签：x",
             "- 难度：2/5", "", "## 用户笔记", "- todo（2024-01-02T00:00:00）：first", "- note（2024-01-03T00:00:00）：later", "", "## 同步信息",
