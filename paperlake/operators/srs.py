@@ -63,7 +63,7 @@ def review_state(
     A card's log is folded in one row while it has at most ``hot_rows`` reviews; longer logs are folded in parts
     (see :func:`_hot_states`).
     """
-    stored = cards.withColumns(
+    start = cards.withColumns(
         {
             "interval_days": F.coalesce("interval_days", F.lit(START_INTERVAL)),
             "ease_factor": F.coalesce("ease_factor", F.lit(START_EASE)),
@@ -75,31 +75,28 @@ def review_state(
         F.sort_array(F.collect_list(F.struct("ts", "review_id", "quality"))).alias("_log"),
         F.max("ts").alias("_ts"),
     )
-    joined = stored.join(logs, card_id, "left")
-    state = F.when(
-        F.col("_log").isNotNull(),
-        sm2_fold(F.col("_log"), F.col("repetitions"), F.col("interval_days"), F.col("ease_factor")),
-    )
-    folded = joined.withColumn("_state", state).drop("_log")
+    log = F.coalesce("_log", F.slice(F.array(F.struct(*[F.lit(None).cast(kind).alias(name) for name, kind in cold.dtypes[1:]])), 1, 0))
+    state = sm2_fold(log, F.col("repetitions"), F.col("interval_days"), F.col("ease_factor"))
+    kept = [c for c in start.columns if c not in ("repetitions", "interval_days", "ease_factor")]
+    # The fold is the output of a generator, so that a later filter on it (what is due) does not run it again.
+    folded = start.join(logs, card_id, "left").select(*kept, "_ts", F.inline(F.array(state)))
+    folded = folded.withColumnsRenamed({"interval": "interval_days", "ease": "ease_factor"})
     if hot is not None:
-        late = _hot_states(stored, hot, n_hot, card_id, hot_rows)
+        late = _hot_states(start, hot, n_hot, card_id, hot_rows)
         folded = (
             folded.join(late, card_id, "left")
-            .withColumns({"_state": F.coalesce("_hot_state", "_state"), "_ts": F.coalesce("_hot_ts", "_ts")})
+            .withColumns(
+                {
+                    "repetitions": F.coalesce("_hot_state.repetitions", "repetitions"),
+                    "interval_days": F.coalesce("_hot_state.interval", "interval_days"),
+                    "ease_factor": F.coalesce("_hot_state.ease", "ease_factor"),
+                    "_ts": F.coalesce("_hot_ts", "_ts"),
+                }
+            )
             .drop("_hot_state", "_hot_ts")
         )
-    reviewed = F.col("_state").isNotNull()
-    return folded.withColumns(
-        {
-            "repetitions": F.coalesce("_state.repetitions", "repetitions"),
-            "interval_days": F.coalesce("_state.interval", "interval_days"),
-            "ease_factor": F.coalesce("_state.ease", "ease_factor"),
-            "next_review": F.when(reviewed, due_after(F.col("_ts"), F.col("_state.interval"))).otherwise(
-                F.col("next_review")
-            ),
-            "last_review": F.coalesce("_ts", "last_review"),
-        }
-    ).drop("_state", "_ts")
+    due = F.when(F.col("_ts").isNotNull(), due_after(F.col("_ts"), F.col("interval_days"))).otherwise(F.col("next_review"))
+    return folded.withColumns({"next_review": due, "last_review": F.coalesce("_ts", "last_review")}).select(*start.columns)
 
 
 def _hot_states(cards: DataFrame, reviews: DataFrame, n: int, card_id: str, limit: int) -> DataFrame:

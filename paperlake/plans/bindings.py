@@ -255,7 +255,7 @@ class Tables:
             (F.col("event_id") % 6).cast("int").alias("quality"),
         )
 
-    def progress(self) -> DataFrame:
+    def progress(self, events: DataFrame | None = None) -> DataFrame:
         status = F.create_map(
             *[
                 F.lit(x)
@@ -265,7 +265,8 @@ class Tables:
                 )
             ]
         )
-        return self.read("events").select(
+        rows = self.read("events") if events is None else events
+        return rows.select(
             F.col("user_id").cast("string").alias("task_id"), "ts", F.col("event_id").alias("seq"),
             status[F.col("event_type")].alias("status"),
             (F.floor("value") % 101).alias("percent"),
@@ -282,6 +283,16 @@ class Tables:
             F.col("ts").alias("created_at"),
         )
 
+    def event_stream(self) -> DataFrame:
+        """The events as a stream of files."""
+        return self.spark.readStream.schema(self.read("events").schema).option("pathGlobFilter", "events.parquet").parquet(self.folder)
+
+    def review_stream(self) -> DataFrame:
+        return self.event_stream().select(
+            card_id(), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("review_id"),
+            (F.col("event_id") % 6).cast("int").alias("quality"),
+        )
+
     # ---- texts ------------------------------------------------------------------------------------------------
 
     def documents(self) -> DataFrame:

@@ -22,6 +22,8 @@ from paperlake.plans.bindings import NOW, Tables, now
 from paperlake.plans.oracles import OMITTED, STAMP, _bib, _id, _safe, _sanitize, _squeeze, _strip, _unwrap_once, _yaml, sql
 from paperlake.sources import documents as D
 from paperlake.sources import files as S
+from paperlake.streaming.reviews import latest_state_stream, review_stream
+from paperlake.streaming.run import latest_rows
 
 QUERIES: dict[str, Callable[[Tables], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -880,6 +882,21 @@ def r1(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "r2_review_stream",
+    sql(
+        "state",
+        f"""SELECT card_id, reps AS repetitions, round(iv, 6) AS interval_days, round(ease, 6) AS ease_factor,
+        strftime(last_review, {STAMP}) AS last_review, CAST(0 AS BIGINT) AS late_reviews FROM state""",
+    ),
+)
+def r2(t: Tables) -> DataFrame:
+    """The same log as a stream: in one trigger it must give the batch result."""
+    return latest_rows(review_stream(t.review_stream()), "card_id").select(
+        "card_id", "repetitions", r6("interval_days"), r6("ease_factor"), stamp("last_review"), "late_reviews"
+    )
+
+
 @query(
     "r3_valid_reviews",
     """SELECT event_id AS review_id, CASE WHEN event_id % 7 = 0 OR event_id % 7 - 1 > 5 THEN 'bad_quality' WHEN event_type = 'signup' THEN 'not_found'
@@ -981,16 +998,24 @@ def m4(t: Tables) -> DataFrame:
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
+_LATEST = """SELECT CAST(user_id AS VARCHAR) AS task_id, event_id AS seq, CASE event_type WHEN 'signup' THEN 'pending' WHEN 'view' THEN 'parsing'
+    WHEN 'click' THEN 'rewriting' WHEN 'purchase' THEN 'completed' ELSE 'error' END AS status, CAST(floor(value) AS BIGINT) % 101 AS percent
+    FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"""
+
+
 @query(
     "m5_latest_state",
-    """SELECT CAST(user_id AS VARCHAR) AS task_id, event_id AS seq, CASE event_type WHEN 'signup' THEN 'pending' WHEN 'view' THEN 'parsing'
-    WHEN 'click' THEN 'rewriting' WHEN 'purchase' THEN 'completed' ELSE 'error' END AS status, CAST(floor(value) AS BIGINT) % 101 AS percent
-    FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""",
+    _LATEST,
 )
 def m5(t: Tables) -> DataFrame:
     return M.latest_state(t.progress()).select("task_id", "seq", "status", "percent")
 
 
+@query("m5_latest_state_stream", _LATEST)
+def m5_stream(t: Tables) -> DataFrame:
+    return latest_rows(latest_state_stream(t.progress(t.event_stream())), "task_id").select("task_id", "seq", "status", "percent")
+
+
 def _notes(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Notes of all papers, the mapping an earlier run left (every fourth hash is stale), and the files present."""
     vault = F.lit("/vault")
