@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from paperlake.operators import knowledge as K
 from paperlake.operators import text as T
 from paperlake.schemas import KnowledgeBase
-from paperlake.session import stored
+from paperlake.session import spread, stored
 
 NOW = "2024-02-01 00:00:00"
 CATEGORIES = ("core_conclusion", "method_innovation", "key_data", "background")
@@ -104,7 +104,7 @@ class Tables:
             "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax",
             "l_returnflag", "l_linestatus", "l_shipdate",
         )
-        return line.join(part, line["l_partkey"] == part["p_partkey"]).select(
+        return spread(line).join(part, line["l_partkey"] == part["p_partkey"]).select(
             F.concat(F.lit("pk_"), F.col("l_orderkey").cast("string")).alias("paper_id"),
             F.col("l_linenumber").alias("chunk_no"),
             (F.col("l_partkey") * 1_000_000 + F.col("l_suppkey")).alias("pos"),
@@ -295,8 +295,9 @@ class Tables:
 
     # ---- texts ------------------------------------------------------------------------------------------------
 
+    @_once
     def documents(self) -> DataFrame:
-        return self.read("documents").select("doc_id", "text")
+        return spread(self.read("documents").select("doc_id", "text"))
 
     def pages(self) -> DataFrame:
         return self.documents().select(

@@ -26,8 +26,8 @@ def to_tables(docs: DataFrame) -> KnowledgeBase:
     A large paper may be stored as several documents; ``part_no`` orders them and only the first is its head.
     """
     part = F.col("part_no") if "part_no" in docs.columns else F.lit(0)
-    # Cards and annotations of the index tables are not in here: callers join the live ones.
-    docs = docs.withColumn("_part", part).filter(F.col("knowledge").isNotNull())
+    # Parsed once: the tables below each read only their own nested columns of the stored result.
+    docs = stored(docs.withColumn("_part", part).filter(F.col("knowledge").isNotNull()))
 
     def items(path: str, name: str) -> DataFrame:
         rows = exploded(docs, f"knowledge.{path}", name, "paper_id", F.col("_part").alias("chunk_no"))
