@@ -47,6 +47,11 @@ def or_default(c: Column, default: Column | str) -> Column:
     return F.when(F.length(c) > 0, c).otherwise(fallback)
 
 
+def or_text(c: Column, default: str) -> Column:
+    """``or_default`` for a plain word: one pass over ``c`` where a condition would compute it twice."""
+    return F.regexp_replace(F.coalesce(c, F.lit("")), r"\A\z", default)
+
+
 def normalize_tags(c: Column) -> Column:
     """Comma-separated text to a list of trimmed, non-empty tags."""
     return normalize_tag_list(F.split(c, ","))
@@ -88,8 +93,8 @@ def sanitize_name(c: Column, fallback: str = UNTITLED, max_length: int = MAX_NOT
     value = F.translate(value, "/\\#:^<>\"|?*[]", "__         ")
     value = F.regexp_replace(F.regexp_replace(value, rf"{WS}+", " "), r"\A[ .]+|[ .]+\z", "")
     value = F.regexp_replace(F.regexp_replace(value, "_+", "_"), r"\A_|_\z", "")
-    cut = F.regexp_replace(F.substring(or_default(value, fallback), 1, max_length), r"[ ._]+\z", "")
-    return or_default(cut, fallback)
+    cut = F.regexp_replace(F.substring(or_text(value, fallback), 1, max_length), r"[ ._]+\z", "")
+    return or_text(cut, fallback)
 
 
 def safe_filename(c: Column, max_length: int = MAX_FILE_NAME) -> Column:
@@ -110,7 +115,7 @@ def bibtex_escape(c: Column) -> Column:
 
 
 def cite_key(c: Column) -> Column:
-    return or_default(F.regexp_replace(F.coalesce(c, F.lit("")), "[^A-Za-z0-9_:-]", ""), "ref")
+    return or_text(F.regexp_replace(c, "[^A-Za-z0-9_:-]", ""), "ref")
 
 
 def split_name(c: Column) -> Column:

@@ -1266,7 +1266,24 @@ def e7(t: Tables) -> DataFrame:
     return notes.select("paper_id", "part_no", "content")
 
 
-@query("e8_linked_entity_notes")
+_LINKED_ENTITY = f""", ne AS (SELECT d.user_id, d.created_at, e.paper_id, {_squeeze('lower(name)')} AS k, trim(name) AS name, type, definition
+    FROM ents e JOIN done d USING (paper_id)),
+  f AS (SELECT * FROM ne QUALIFY row_number() OVER (PARTITION BY user_id, k ORDER BY created_at, paper_id) = 1),
+  lk AS (SELECT user_id, k, {_sanitize('min(name)')} AS target FROM ne GROUP BY 1, 2),
+  pairs AS (SELECT user_id, k, paper_id FROM ne UNION SELECT user_id, 'hot rod', paper_id FROM done WHERE o_orderkey % 2 = 0),
+  tg AS (SELECT p.user_id, p.k, CASE WHEN o_orderkey % 2 = 0 THEN 'Old ' || paper_id ELSE {_sanitize('title')} END AS target, min(paper_id) AS paper_id
+    FROM pairs p JOIN done USING (paper_id) GROUP BY 1, 2, 3),
+  ls AS (SELECT user_id, k, string_agg('- [[' || target || ']]', {_NL} ORDER BY paper_id) AS l FROM tg GROUP BY 1, 2),
+  ends AS (SELECT d.user_id, r.*, lower(source) AS s, lower(target) AS g FROM rels r JOIN done d USING (paper_id)),
+  inc AS (SELECT user_id, s AS k, * EXCLUDE (user_id) FROM ends UNION ALL SELECT user_id, g, * EXCLUDE (user_id) FROM ends WHERE s <> g),
+  rl AS (SELECT i.user_id, i.k, string_agg('- [[' || coalesce(a.target, {_sanitize('i.source')}) || ']] **' || i.type || '** [[' || coalesce(b.target, {_sanitize('i.target')}) || ']]：' || i.description,
+      {_NL} ORDER BY i.paper_id, i.chunk_no, i.pos) AS l FROM inc i LEFT JOIN lk a ON a.user_id = i.user_id AND a.k = i.s LEFT JOIN lk b ON b.user_id = i.user_id AND b.k = i.g GROUP BY 1, 2)
+SELECT f.user_id, f.k AS entity_key, 0 AS part_no, concat_ws({_NL}, '---', 'paperlake_type: "entity"', 'paperlake_entity_key: ' || {_yaml('f.k')}, 'name: ' || {_yaml('f.name')},
+  'type: ' || {_yaml('f.type')}, '---' || {_NL}, '# ' || f.name || {_NL}, f.definition || {_NL}, '{N.APPEARS_IN}', ls.l, CASE WHEN rl.l IS NOT NULL THEN {_NL} || '{N.RELATED}' || {_NL} || rl.l END) || {_NL} AS content
+FROM f LEFT JOIN ls USING (user_id, k) LEFT JOIN rl USING (user_id, k)"""
+
+
+@query("e8_linked_entity_notes", sql("ents rels done", _LINKED_ENTITY))
 def e8(t: Tables) -> DataFrame:
     kb, mapping, papers, entities, links = _linked(t)
     paper_links = K.entity_paper_links(mapping, kb.entities, kb.papers)
