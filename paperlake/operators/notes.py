@@ -281,12 +281,15 @@ def linked_paper_note_lines(
         F.lit("\n"),
     )
     columns = ["paper_id", "front", "back", "tags", "difficulty", "next_review"]
-    stored = kb.cards.select(*columns, (F.col("pos") + 1).cast("bigint").alias("n"))
+    rows = kb.cards.select(
+        *columns, F.coalesce(optional("chunk_no", kb.cards, "int"), F.lit(0)).alias("_a"), F.col("pos").cast("bigint").alias("_b"), F.lit("").alias("_c")
+    )
     if live_cards is not None:
         own = live_cards.join(owners, ["paper_id", "user_id"], "left_semi")
-        live = numbered(own.select(*columns, "card_id"), ["paper_id"], ["card_id"], "n", limit).drop("card_id")
-        stored = stored.join(own.select("paper_id"), "paper_id", "left_anti").unionByName(live)
-    shown = stored.withColumn("next_review", _iso(stored, "next_review"))
+        live = own.select(*columns, F.lit(0).alias("_a"), F.lit(0).cast("bigint").alias("_b"), F.col("card_id").alias("_c"))
+        rows = rows.join(own.select("paper_id"), "paper_id", "left_anti").unionByName(live)
+    shown = numbered(rows, ["paper_id"], ["_a", "_b", "_c"], "n", limit)
+    shown = shown.withColumn("next_review", _iso(shown, "next_review"))
     lines = lines.unionByName(section_lines(shown, ["paper_id"], 11, card, F.lit(""), F.lit(0), F.col("n")))
 
     if live_annotations is not None:

@@ -1065,7 +1065,19 @@ def m6_counts(t: Tables) -> DataFrame:
     return M.note_counts(M.plan_notes(*_notes(t), now()))
 
 
-@query("m7_resolve_paths")
+@query(
+    "m7_resolve_paths",
+    sql(
+        "papers",
+        f""", i AS (SELECT paper_id AS item_id, 'Root/Papers/' || {_sanitize('venue')} AS base, substr(sha1('paper:' || paper_id || ':' || title), 1, 3) AS suffix,
+          CASE WHEN o_orderkey % 12 = 0 THEN 'Root/Papers/Mapped ' || paper_id || '.md' WHEN o_orderkey % 4 = 0 THEN 'Moved/' || paper_id || '.md' END AS settled FROM papers),
+        w AS (SELECT base, min(item_id) AS first_id FROM i WHERE settled IS NULL GROUP BY base),
+        r AS (SELECT item_id, base || '-' || suffix AS stem, row_number() OVER (PARTITION BY base, suffix ORDER BY item_id) AS n
+          FROM i JOIN w USING (base) WHERE settled IS NULL AND item_id <> first_id)
+        SELECT item_id, settled AS relative_path FROM i WHERE settled IS NOT NULL UNION ALL SELECT first_id, base || '.md' FROM w
+        UNION ALL SELECT item_id, stem || CASE WHEN n > 1 THEN '-' || n ELSE '' END || '.md' FROM r""",
+    ),
+)
 def m7(t: Tables) -> DataFrame:
     """Notes named by venue only, so that very many want the same name."""
     papers, vault = t.papers(), F.lit("/vault")
@@ -1258,7 +1270,41 @@ def _linked(t: Tables):
     return kb, mapping, papers, entities, links
 
 
-@query("e7_linked_paper_notes")
+def _block_sql(sec: int, table: str, line: str, order: str, name: str, blank: bool = True) -> str:
+    tail = f" || {_NL}" if blank else ""
+    return f"""LEFT JOIN (SELECT paper_id, '{N.HEADINGS[sec]}' || {_NL} || string_agg({line}, {_NL} ORDER BY {order}){tail} AS {name}
+      FROM {table} GROUP BY 1) USING (paper_id)"""
+
+
+_CARD_SQL = f"""'### 卡片 ' || n || {_NL} || '- 问：' || front || {_NL} || '- 答：' || back || {_NL} || '- 标签：' || tag || {_NL} || '- 难度：' || difficulty || '/5' || {_NL} ||
+  '- 下次复习：2024-02-01T00:00:00' || {_NL}"""
+_LINKED_PAPER = f""", ne AS (SELECT d.user_id, e.paper_id, {_squeeze('lower(name)')} AS k, trim(name) AS name, e.name AS raw, type, definition, first_chunk, first_pos
+    FROM ents e JOIN done d USING (paper_id)),
+  lk AS (SELECT user_id, k, {_sanitize('min(name)')} AS target FROM ne GROUP BY 1, 2),
+  en AS (SELECT ne.*, target FROM ne JOIN lk USING (user_id, k)),
+  rl AS (SELECT r.*, coalesce(a.target, {_sanitize('r.source')}) AS s, coalesce(b.target, {_sanitize('r.target')}) AS g FROM rels r JOIN done d USING (paper_id)
+    LEFT JOIN lk a ON a.user_id = d.user_id AND a.k = lower(r.source) LEFT JOIN lk b ON b.user_id = d.user_id AND b.k = lower(r.target)),
+  it AS (SELECT items.* FROM items SEMI JOIN done USING (paper_id)),
+  own AS (SELECT l.* FROM live l JOIN done d ON l.paper_id = d.paper_id AND l.user_id = d.user_id),
+  cd AS (SELECT paper_id, front, back, tag, difficulty, row_number() OVER (PARTITION BY paper_id ORDER BY pos) AS n FROM kcards ANTI JOIN own USING (paper_id)
+    UNION ALL SELECT paper_id, front, back, back, 3, row_number() OVER (PARTITION BY paper_id ORDER BY card_id) FROM own),
+  an AS (SELECT a.* FROM annots a JOIN done d ON a.paper_id = d.paper_id AND a.user_id = d.user_id)
+SELECT paper_id, 0 AS part_no, regexp_replace(concat_ws({_NL}, '---', 'paperlake_id: ' || {_yaml('paper_id')}, 'paperlake_type: "paper"', 'title: ' || {_yaml('title')}, '---' || {_NL},
+  '# ' || title || {_NL}, '个人笔记：[[' || {_sanitize(_sanitize('title') + " || ' - Notes'")} || ']]' || {_NL}, '{N.HEADINGS[2]}',
+  '- 作者：' || CASE WHEN o_orderkey % 2 = 0 THEN authors[1] || ' (' || split_part(title, '/', 1) || '), Cher' ELSE authors[1] END, '- 年份：' || year, '- 会议/期刊：' || venue,
+  '- DOI：' || doi, '- 关键词：' || array_to_string(keywords, ', '), '', '{N.HEADINGS[3]}' || {_NL} || abstract || {_NL}, b5, b6, b7, b8, b9, b10, b11, b12), '[ \\s]+$', '') || {_NL} AS content
+FROM done
+{_block_sql(5, "it WHERE chunk_no IN (4, 5)", "CASE chunk_no WHEN 5 THEN '  ' ELSE '' END || '- ' || p_name || '：' || p_brand", "ord", "b5")}
+{_block_sql(6, "en", "'- [[' || target || ']] (' || type || ')：' || definition", "first_chunk, first_pos", "b6")}
+{_block_sql(7, "rl", "'- [[' || s || ']] **' || type || '** [[' || g || ']]：' || description || '（置信度：' || confidence || '）'", "chunk_no, pos", "b7")}
+{_block_sql(8, "findings", f"'- ' || statement || CASE WHEN evidence <> '' THEN {_NL} || '  - 证据：' || evidence ELSE '' END", "pos", "b8")}
+{_block_sql(9, "it WHERE chunk_no = 1", f"'### ' || CASE WHEN l_discount > 0 THEN p_name ELSE 'Method' END || {_NL} || p_type || {_NL} || '- 输入：' || p_brand || {_NL}", "pos", "b9", blank=False)}
+{_block_sql(10, "it WHERE chunk_no = 2", f"'- ' || p_brand || '：' || p_type || CASE WHEN l_linestatus = 'O' THEN {_NL} || '  - 用途：training' ELSE '' END", "pos", "b10")}
+{_block_sql(11, "cd", _CARD_SQL, "n", "b11", blank=False)}
+{_block_sql(12, "an", "'- ' || type || '（' || strftime(created_at, '%Y-%m-%dT%H:%M:%S') || '）：' || content", "created_at, annotation_id", "b12")}"""
+
+
+@query("e7_linked_paper_notes", sql("ents rels done items findings kcards live annots", _LINKED_PAPER))
 def e7(t: Tables) -> DataFrame:
     kb, _, papers, _, links = _linked(t)
     live = t.live_cards().withColumns({"tags": F.array("back"), "difficulty": F.lit(3), "next_review": now()})
