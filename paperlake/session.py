@@ -17,6 +17,9 @@ DEFAULTS = {
 }
 
 
+_private: dict[str, str] = {}
+
+
 def build_session(app_name: str = "paperlake", **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
     for key, value in {**DEFAULTS, **conf}.items():
@@ -25,16 +28,14 @@ def build_session(app_name: str = "paperlake", **conf: str) -> SparkSession:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a private one only where that is unset (tests)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if shared is None:
-        shared = context.getCheckpointDir()
-    if shared is None:
-        shared = tempfile.mkdtemp(prefix="paperlake-")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared)
-    return shared
+    """The shared folder named by ``spark.checkpoint.dir``; a private one only in local mode where that is unset."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    application = spark.sparkContext.applicationId
+    if shared is None and application not in _private:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        _private[application] = tempfile.mkdtemp(prefix="paperlake-")
+    return shared or _private[application]
 
 
 def spread(df: DataFrame) -> DataFrame:

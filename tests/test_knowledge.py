@@ -161,6 +161,39 @@ def test_linked_notes(docs, spark):
     assert bert.endswith("]]：d\n")
 
 
+def test_summary_overview(docs, spark):
+    import json
+
+    from paperlake.schemas import SUMMARY
+
+    summary = {
+        "one_liner": "Short", "estimated_minutes": 12, "novelty_score": 4, "story": {"problem": "P", "impact": "I"},
+        "key_numbers": [{"value": "28.4", "label": "BLEU", "context": "WMT"}, {"value": "3", "label": ""}],
+        "pipeline": {"input": "text", "steps": ["encode", "decode"], "output": "labels"}, "contributions": ["one", ""],
+        "limitations": ["slow"], "keywords": [{"text": "attention", "type": "method", "importance": 0.9}, {"text": "plain", "type": ""}],
+    }
+    rows = spark.createDataFrame([("t2", json.dumps(summary))], "task_id string, j string")
+    kb = D.to_tables(D.parse_knowledge(docs))
+    summaries = rows.select("task_id", F.from_json("j", SUMMARY).alias("summary_page"))
+    text = {r.paper_id: r.content for r in linked(kb, spark, summaries=summaries)[3].collect()}
+    want = [
+        "## AI 速览", "- 一句话：Short", "- 预计阅读：12 分钟", "- 新颖度：4/5", "", "### 问题", "P", "", "### 影响", "I", "", "### 关键数据",
+        "- **28.4** BLEU：WMT", "- **3**", "", "### 技术流程", "text -> encode -> decode -> labels", "", "### 主要贡献", "- one", "",
+        "### 局限性", "- slow", "", "### 关键概念", "- attention (method)", "- plain", "", "## 实体",
+    ]
+    assert "\n".join(want) in text["p2"] and "AI 速览" not in text["p1"]
+
+
+def test_links_of_the_current_run_win(docs, spark):
+    kb = D.to_tables(D.parse_knowledge(docs))
+    mapping = spark.createDataFrame(
+        [(1, "p2", "paper", "p2", "Papers/Old.md")], "user_id long, paper_id string, item_type string, normalized_key string, relative_path string"
+    )
+    current = spark.createDataFrame([("p2", "New title", "New")], "paper_id string, title string, target string")
+    links = K.entity_paper_links(mapping, kb.entities, kb.papers, current).filter("entity_key = 'bert' and paper_id = 'p2'")
+    assert [(r.title, r.target) for r in links.collect()] == [("New title", "New")]
+
+
 def test_notes_of_many_lines_come_in_parts(docs, spark):
     kb = D.to_tables(D.parse_knowledge(docs))
     whole = {r.paper_id: r.content for r in E.paper_notes(kb).collect()}
