@@ -35,8 +35,9 @@ def extraction_status(papers: DataFrame, user: int | None = None) -> DataFrame:
 def paper_view(papers: DataFrame, cards: DataFrame, annotations: DataFrame, user: int | None = None) -> DataFrame:
     """A paper with its live cards and annotations, one row per item.
 
-    ``part`` is ``paper``, ``card`` or ``annotation``; annotations come newest first by ``created_at``. Papers without a
-    document give their ``paper`` row only. Long on purpose: a paper may carry any number of cards and annotations.
+    ``part`` is ``paper``, ``card`` or ``annotation``; the ``state`` of an annotation is its creation time, to show the
+    newest first. Papers without a document give their ``paper`` row only. Long on purpose: a paper may carry any number
+    of cards and annotations.
     """
     head = _owned(papers, user)
     documented = head.filter(F.col("has_document")).select("paper_id", "user_id")

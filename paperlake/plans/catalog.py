@@ -364,6 +364,41 @@ def l1_cards(t: Tables) -> DataFrame:
     )
 
 
+def _stand_in():
+    """A model that answers with what it was asked, and fails on the first try of every third request length."""
+
+    class StandIn:
+        def __init__(self) -> None:
+            self.tried: set[str] = set()
+
+        def complete(self, system: str, content: str, temperature: float, max_tokens: int, json_mode: bool) -> str:
+            import json
+
+            if len(content) % 3 == 0 and content not in self.tried:
+                self.tried.add(content)
+                raise TimeoutError("busy")
+            self.tried.discard(content)
+            return json.dumps({"one_liner": content[-20:], "novelty_score": len(content)})
+
+    return StandIn
+
+
+@query(
+    "l2_infer",
+    f"""SELECT paper_id, right(c, 20) AS one_liner, length(c) AS novelty_score, CASE WHEN length(c) % 3 = 0 THEN 2 ELSE 1 END AS attempts FROM (
+    SELECT CAST(doc_id AS VARCHAR) AS paper_id, 'Paper text:' || chr(10) || chr(10) || CASE WHEN length(text) <= 20000 THEN text
+      ELSE substr(text, 1, 12000) || '{OMITTED}' || substr(text, length(text) - 7999) END AS c FROM documents)""",
+)
+def l2(t: Tables) -> DataFrame:
+    """Summary requests of all documents, answered by a stand-in model and read back."""
+    texts = t.plain_texts().withColumn("page_texts", F.array("text"))
+    requests = L.text_requests(texts).filter("task = 'summary'")
+    answers = L.parse_response(L.infer(requests, _stand_in(), sleep=lambda seconds: None), "summary")
+    return answers.select(
+        "paper_id", "parsed.one_liner", F.col("parsed.novelty_score").cast("bigint").alias("novelty_score"), "attempts"
+    )
+
+
 @query(
     "l3_parse_response",
     """SELECT conv_id AS paper_id, turn AS chunk_no, CASE WHEN turn % 5 = 4 THEN '' ELSE text END AS one_liner,
