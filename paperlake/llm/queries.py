@@ -5,7 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from paperlake.llm.common import fold
+from paperlake.llm.language import fit_languages, identify_languages
 from paperlake.llm.near_duplicates import near_duplicates
 
 
@@ -19,8 +22,20 @@ def op5_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_papers(spark, folder)).withColumnRenamed("paper_id", "doc_id")
 
 
+def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    documents = spark.read.parquet(f"{folder}/documents.parquet")
+    labelled = documents.select(F.col("doc_id").alias("paper_id"), "text", F.col("lang").alias("language"))
+    model = fit_languages(labelled.where(fold(F.col("paper_id"), 4) != 2))
+    found = identify_languages(_papers(spark, folder), model)
+    return found.select(
+        F.col("paper_id").alias("doc_id"), (fold(F.col("paper_id"), 4) == 2).alias("held_out"),
+        F.col("language").alias("lang_pred"), "score", "rejected",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+    "op10_language_id": op10_language_id,
 }
 
 _ASCII = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
