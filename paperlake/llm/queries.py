@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from paperlake.llm.common import fold
 from paperlake.llm.language import fit_languages, identify_languages
 from paperlake.llm.near_duplicates import near_duplicates
+from paperlake.llm.toxicity import fit_toxicity, score_toxicity
 
 
 def _papers(spark: SparkSession, folder: str) -> DataFrame:
@@ -22,6 +23,16 @@ def op5_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_papers(spark, folder)).withColumnRenamed("paper_id", "doc_id")
 
 
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    papers = _papers(spark, folder)
+    ratings = spark.read.parquet(f"{folder}/labels.parquet").select(F.col("doc_id").alias("paper_id"), "toxic")
+    model = fit_toxicity(papers, ratings.where(fold(F.col("paper_id"), 5) != 0))
+    return score_toxicity(papers, model).select(
+        F.col("paper_id").alias("doc_id"), (fold(F.col("paper_id"), 5) == 0).alias("held_out"), "score",
+        F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "window_no",
+    )
+
+
 def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     documents = spark.read.parquet(f"{folder}/documents.parquet")
     labelled = documents.select(F.col("doc_id").alias("paper_id"), "text", F.col("lang").alias("language"))
@@ -35,6 +46,7 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+    "op9_toxicity": op9_toxicity,
     "op10_language_id": op10_language_id,
 }
 
