@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperlake.llm.common import fold
+from paperlake.llm.decontamination import contaminated_papers
 from paperlake.llm.language import fit_languages, identify_languages
 from paperlake.llm.near_duplicates import near_duplicates
 from paperlake.llm.toxicity import fit_toxicity, score_toxicity
@@ -19,6 +20,13 @@ def _papers(spark: SparkSession, folder: str) -> DataFrame:
     return documents.select(documents.doc_id.alias("paper_id"), "text")
 
 
+def op4_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{folder}/benchmark.parquet")
+    cards = benchmark.select(F.col("item_id").alias("card_id"), F.col("text").alias("front"))
+    found = contaminated_papers(_papers(spark, folder), cards)
+    return found.withColumnsRenamed({"paper_id": "doc_id", "card_id": "item_id"})
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_papers(spark, folder)).withColumnRenamed("paper_id", "doc_id")
 
@@ -45,6 +53,7 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op9_toxicity": op9_toxicity,
     "op10_language_id": op10_language_id,
