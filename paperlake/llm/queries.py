@@ -9,17 +9,29 @@ from pyspark.sql import functions as F
 
 from paperlake.llm.common import fold
 from paperlake.llm.decontamination import contaminated_papers
+from paperlake.llm.encoding import round_trips
 from paperlake.llm.language import fit_languages, identify_languages
 from paperlake.llm.near_duplicates import near_duplicates
+from paperlake.llm.pieces import load_vocabulary
+from paperlake.llm.token_counts import count_tokens
 from paperlake.llm.toxicity import fit_toxicity, score_toxicity
 
 
+#: The public SentencePiece model that the queries encode with.
+MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
+
+
 def _papers(spark: SparkSession, folder: str) -> DataFrame:
     """``documents`` as papers: paper_id and the whole text."""
     documents = spark.read.parquet(f"{folder}/documents.parquet")
     return documents.select(documents.doc_id.alias("paper_id"), "text")
 
 
+def op1_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    found = round_trips(_papers(spark, folder), load_vocabulary(MODEL_FILE))
+    return found.select(F.col("paper_id").alias("doc_id"), F.size("piece_ids").alias("n_pieces"), "piece_ids", "exact")
+
+
 def op4_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{folder}/benchmark.parquet")
     cards = benchmark.select(F.col("item_id").alias("card_id"), F.col("text").alias("front"))
@@ -31,6 +43,10 @@ def op5_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_papers(spark, folder)).withColumnRenamed("paper_id", "doc_id")
 
 
+def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return count_tokens(_papers(spark, folder), load_vocabulary(MODEL_FILE)).withColumnRenamed("paper_id", "doc_id")
+
+
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     papers = _papers(spark, folder)
     ratings = spark.read.parquet(f"{folder}/labels.parquet").select(F.col("doc_id").alias("paper_id"), "toxic")
@@ -53,8 +69,10 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+    "op6_token_counts": op6_token_counts,
     "op9_toxicity": op9_toxicity,
     "op10_language_id": op10_language_id,
 }
