@@ -8,7 +8,7 @@ toxic window.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -323,10 +323,11 @@ def fit_toxicity(papers: DataFrame, ratings: DataFrame, per_class: int = 2000, r
     return train(found["text"].tolist(), [int(y) for y in found["toxic"]], rounds)
 
 
-def score_toxicity(papers: DataFrame, model: ToxicityModel) -> DataFrame:
+def score_toxicity(papers: DataFrame, model: ToxicityModel, carry: Sequence[str] = ()) -> DataFrame:
     """Toxicity of every paper.
 
-    ``papers`` has paper_id and text; other columns are ignored. Returns one row per row: paper_id, score (0 to 1: the
+    ``papers`` has paper_id and text; other columns are ignored but for those named in ``carry``, which come back as they
+    are. Returns one row per row: paper_id, score (0 to 1: the
     largest over all windows of ``WINDOW`` words, which overlap by half; 0.0 for a text that is null or has no word),
     window_no (int, which window that is, from 0; null without words). Whole texts are read.
     """
@@ -338,11 +339,13 @@ def score_toxicity(papers: DataFrame, model: ToxicityModel) -> DataFrame:
             empty = np.isneginf(best)
             score = np.where(empty, 0.0, 1 / (1 + np.exp(-np.clip(best, -60, 60))))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("paper_id"), pa.array(score), pa.array(at.astype(np.int32), mask=empty)],
-                ["paper_id", "score", "window_no"],
+                [batch.column("paper_id"), pa.array(score), pa.array(at.astype(np.int32), mask=empty),
+                 *[batch.column(c) for c in carry]],
+                ["paper_id", "score", "window_no", *carry],
             )
 
     out = T.StructType([
         T.StructField("paper_id", kind), T.StructField("score", T.DoubleType()), T.StructField("window_no", T.IntegerType()),
+        *[papers.schema[c] for c in carry],
     ])
-    return papers.select("paper_id", "text").mapInArrow(task, out)
+    return papers.select("paper_id", "text", *carry).mapInArrow(task, out)
