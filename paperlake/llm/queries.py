@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from paperlake.llm.common import fold
 from paperlake.llm.decontamination import contaminated_papers
 from paperlake.llm.encoding import round_trips
+from paperlake.llm.hidden_markov import score_papers
 from paperlake.llm.language import fit_languages, identify_languages
 from paperlake.llm.near_duplicates import near_duplicates
 from paperlake.llm.pieces import load_vocabulary
@@ -32,6 +33,11 @@ def op1_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("paper_id").alias("doc_id"), F.size("piece_ids").alias("n_pieces"), "piece_ids", "exact")
 
 
+def op2_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    papers = _papers(spark, folder).withColumn("learns", fold(F.col("paper_id"), 10) != 0)
+    return score_papers(papers).withColumnRenamed("paper_id", "doc_id")
+
+
 def op4_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{folder}/benchmark.parquet")
     cards = benchmark.select(F.col("item_id").alias("card_id"), F.col("text").alias("front"))
@@ -70,6 +76,7 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_lm_scoring": op2_lm_scoring,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_token_counts": op6_token_counts,
