@@ -12,8 +12,11 @@ from paperlake.llm.decontamination import contaminated_papers
 from paperlake.llm.encoding import round_trips
 from paperlake.llm.hidden_markov import score_papers
 from paperlake.llm.language import fit_languages, identify_languages
+from paperlake.llm.licenses import scan_licenses
 from paperlake.llm.near_duplicates import near_duplicates
+from paperlake.llm.nearest import nearest_vectors
 from paperlake.llm.pieces import load_vocabulary
+from paperlake.llm.quality import fit_quality, rate_papers
 from paperlake.llm.token_counts import count_tokens
 from paperlake.llm.toxicity import fit_toxicity, score_toxicity
 
@@ -38,6 +41,10 @@ def op2_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     return score_papers(papers).withColumnRenamed("paper_id", "doc_id")
 
 
+def op3_license_scans(spark: SparkSession, folder: str) -> DataFrame:
+    return scan_licenses(_papers(spark, folder)).withColumnRenamed("paper_id", "doc_id")
+
+
 def op4_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{folder}/benchmark.parquet")
     cards = benchmark.select(F.col("item_id").alias("card_id"), F.col("text").alias("front"))
@@ -53,6 +60,24 @@ def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return count_tokens(_papers(spark, folder), load_vocabulary(MODEL_FILE)).withColumnRenamed("paper_id", "doc_id")
 
 
+def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    papers = _papers(spark, folder)
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    ratings = labels.select(F.col("doc_id").alias("paper_id"), F.col("quality").alias("novelty_score"))
+    model = fit_quality(papers, ratings.where(fold(F.col("paper_id"), 5) != 0))
+    return rate_papers(papers, model).select(
+        F.col("paper_id").alias("doc_id"), (fold(F.col("paper_id"), 5) == 0).alias("held_out"), "expected_grade",
+        "tail_probability", "selected",
+    )
+
+
+def op8_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    embeddings = spark.read.parquet(f"{folder}/embeddings.parquet")
+    vectors = embeddings.select(F.col("vec_id").alias("vector_id"), "embedding")
+    found = nearest_vectors(vectors, vectors.where("vector_id % 50 = 0").select("vector_id"))
+    return found.select("query_id", "rank", F.col("vector_id").alias("vec_id"), "score")
+
+
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     papers = _papers(spark, folder)
     ratings = spark.read.parquet(f"{folder}/labels.parquet").select(F.col("doc_id").alias("paper_id"), "toxic")
@@ -77,9 +102,12 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_lm_scoring": op2_lm_scoring,
+    "op3_license_scans": op3_license_scans,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_token_counts": op6_token_counts,
+    "op7_quality_classifier": op7_quality_classifier,
+    "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_toxicity": op9_toxicity,
     "op10_language_id": op10_language_id,
 }
