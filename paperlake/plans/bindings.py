@@ -381,7 +381,7 @@ class Tables:
     # ---- links ------------------------------------------------------------------------------------------------
 
     def links(self) -> DataFrame:
-        """Each page's own address and nine derived ones that reach every rule."""
+        """Each page's own address and derived ones that reach every rule."""
         n = F.col("page_id").cast("string")
         small = (F.col("page_id") % 256).cast("string")
         kinds = {
@@ -395,6 +395,12 @@ class Tables:
             "local": F.concat(F.lit("http://user@H"), n, F.lit(".local/x?y=1")),
             "v6": F.concat(F.lit("http://[fe80::"), small, F.lit("]/x.y#z")),
             "loopback": F.concat(F.lit("https://LOCALHOST:"), n, F.lit("/")),
+            "short": F.concat(F.lit("http://127."), small, F.lit("/x")),
+            "decimal": F.concat(F.lit("http://"), (F.lit(2130706432) + F.col("page_id") % 256).cast("string"), F.lit("/")),
+            "hex": F.concat(F.lit("http://0X0a"), F.lpad(F.hex(F.col("page_id") % 256), 6, "0"), F.lit("/a.pdf")),
+            "octal": F.concat(F.lit("http://0300.0250.01."), small),
+            "public": F.concat(F.lit("http://8.8.4."), small, F.lit("/y")),
+            "dot": F.concat(F.lit("http://localhost./"), n),
         }
         rows = F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("link")) for k, v in kinds.items()])
         return self.read("pages").select("page_id", F.inline(rows))

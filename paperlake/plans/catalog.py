@@ -1140,14 +1140,30 @@ def m7(t: Tables) -> DataFrame:
 _URI = "^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)"
 
 
+_HOST = f"""rtrim(regexp_replace(regexp_extract(lower(regexp_replace(regexp_extract(%s, '{_URI}', 2), '^.*@', '')),
+  '^(\\[[^\\]]*\\]|[^:]*)'), '[\\[\\]]', '', 'g'), '.')"""
+
+
+def _digits(text: str, base: int) -> str:
+    return (
+        f"coalesce(list_reduce(list_transform(string_split({text}, ''), lambda c: instr('0123456789abcdef', c) - 1), "
+        f"lambda a, b: a * {base} + b), 0)::BIGINT"
+    )
+
+
 @query(
     "u1_normalize_url",
     sql(
         "links",
-        """SELECT page_id, kind, CASE kind WHEN 'abs' THEN 'https://arxiv.org/pdf/' || page_id || '.pdf'
-        WHEN 'pdf' THEN 'https://arxiv.org/pdf/' || page_id || '.pdf'
-        WHEN 'blob' THEN 'https://raw.githubusercontent.com/a/b/main/' || page_id || '.pdf'
-        WHEN 'ftp' THEN 'https://' || link ELSE CASE WHEN starts_with(link, 'http') THEN link ELSE 'https://' || link END END AS url FROM links""",
+        rf"""SELECT * FROM (WITH a AS (SELECT page_id, kind, CASE WHEN regexp_matches(trim(link), '^https?://') THEN trim(link)
+          ELSE 'https://' || trim(link) END AS u FROM links),
+        b AS (SELECT *, {_HOST % 'u'} AS h, regexp_extract(u, '{_URI}', 3) AS p FROM a)
+        SELECT page_id, kind, CASE
+          WHEN h IN ('arxiv.org', 'www.arxiv.org') AND (regexp_matches(p, '^/abs/.') OR regexp_matches(p, '^/pdf/.') AND NOT suffix(p, '.pdf'))
+            THEN 'https://arxiv.org/pdf/' || regexp_replace(substr(p, 6), '(.)/$', '\1') || '.pdf'
+          WHEN h IN ('github.com', 'www.github.com') AND regexp_matches(p, '^/[^/]+/[^/]+/blob/.')
+            THEN 'https://raw.githubusercontent.com' || regexp_replace(p, '/blob/', '/')
+          ELSE u END AS url FROM b)""",
     ),
 )
 def u1(t: Tables) -> DataFrame:
@@ -1158,9 +1174,21 @@ def u1(t: Tables) -> DataFrame:
     "u2_screen_url",
     sql(
         "links",
-        """SELECT page_id, kind, CASE kind WHEN 'private' THEN 'private_network' WHEN 'special' THEN 'non_public_address'
-        WHEN 'ftp' THEN 'bad_scheme' WHEN 'local' THEN 'private_network' WHEN 'v6' THEN 'non_public_address'
-        WHEN 'loopback' THEN 'blocked_host' WHEN 'blob' THEN 'bad_scheme' ELSE '' END AS reason FROM links""",
+        rf"""SELECT * FROM (WITH a AS (SELECT page_id, kind, {_HOST % 'link'} AS h, lower(regexp_extract(link, '{_URI}', 1)) AS s FROM links),
+        b AS (SELECT *, string_split(h, '.') AS parts FROM a),
+        c AS (SELECT *, list_transform(parts, lambda x: CASE WHEN regexp_matches(x, '^0x[0-9a-f]+$') THEN {_digits('substr(x, 3)', 16)}
+          WHEN regexp_matches(x, '^0[0-7]*$') THEN {_digits('x', 8)}
+          WHEN regexp_matches(x, '^[1-9][0-9]*$') THEN {_digits('x', 10)} END) AS v FROM b),
+        d AS (SELECT *, CASE WHEN len(v) <= 4 AND len(list_filter(v, lambda x: x IS NULL)) = 0 THEN CASE len(v)
+          WHEN 1 THEN v[1] WHEN 2 THEN v[1] * 16777216 + v[2] WHEN 3 THEN v[1] * 16777216 + v[2] * 65536 + v[3]
+          ELSE v[1] * 16777216 + v[2] * 65536 + v[3] * 256 + v[4] END END AS n FROM c)
+        SELECT page_id, kind, CASE WHEN s NOT IN ('http', 'https') THEN 'bad_scheme'
+          WHEN h IN ('localhost', '127.0.0.1', '0.0.0.0', '::1', '') THEN 'blocked_host'
+          WHEN suffix(h, '.local') OR suffix(h, '.internal') OR suffix(h, '.localhost') THEN 'private_network'
+          WHEN n // 16777216 IN (0, 10) OR n // 1048576 = 2753 OR n // 65536 IN (49320, 43518) THEN 'private_network'
+          WHEN n // 16777216 = 127 OR n // 256 IN (12582912, 12582914, 12989284, 13303921) OR n // 131072 = 25353
+            OR n // 4194304 = 401 OR n >= 3758096384 THEN 'non_public_address'
+          WHEN contains(h, ':') AND NOT regexp_matches(h, '^[23]') THEN 'non_public_address' ELSE '' END AS reason FROM d)""",
     ),
 )
 def u2(t: Tables) -> DataFrame:
@@ -1169,7 +1197,12 @@ def u2(t: Tables) -> DataFrame:
 
 @query(
     "u3_accept_content",
-    sql("links", "SELECT page_id, kind, kind IN ('abs', 'pdf') OR page_id % 2 = 0 AS accepted FROM links"),
+    sql(
+        "links",
+        rf"""SELECT page_id, kind, page_id % 2 = 0 OR {_HOST % 'link'} IN ('arxiv.org', 'www.arxiv.org', 'export.arxiv.org',
+        'openreview.net', 'proceedings.neurips.cc', 'aclanthology.org', 'dl.acm.org', 'ieeexplore.ieee.org', 'link.springer.com',
+        'www.biorxiv.org', 'www.medrxiv.org', 'github.com', 'raw.githubusercontent.com') AS accepted FROM links""",
+    ),
 )
 def u3(t: Tables) -> DataFrame:
     kind = F.when(F.col("page_id") % 2 == 0, " Application/PDF ; charset=x").otherwise("text/html")

@@ -256,12 +256,15 @@ PARTS: dict[str, tuple[str, str]] = {
     ),
     "links": (
         "",
-        """SELECT page_id, unnest(['own', 'abs', 'pdf', 'blob', 'private', 'special', 'ftp', 'local', 'v6', 'loopback']) AS kind,
+        """SELECT page_id, unnest(['own', 'abs', 'pdf', 'blob', 'private', 'special', 'ftp', 'local', 'v6', 'loopback',
+        'short', 'decimal', 'hex', 'octal', 'public', 'dot']) AS kind,
         unnest([url, 'https://arxiv.org/abs/' || page_id || '/', 'http://www.arxiv.org/pdf/' || page_id,
             ' github.com/a/b/blob/main/' || page_id || '.pdf ', 'http://10.0.0.' || page_id % 256 || '/x',
             'http://198.51.100.' || page_id % 256 || ':8080/x/', 'ftp://files.example.org/' || page_id,
             'http://user@H' || page_id || '.local/x?y=1', 'http://[fe80::' || page_id % 256 || ']/x.y#z',
-            'https://LOCALHOST:' || page_id || '/']) AS link FROM pages""",
+            'https://LOCALHOST:' || page_id || '/', 'http://127.' || page_id % 256 || '/x', 'http://' || (2130706432 + page_id % 256) || '/',
+            'http://0X0a' || lpad(hex(page_id % 256), 6, '0') || '/a.pdf', 'http://0300.0250.01.' || page_id % 256,
+            'http://8.8.4.' || page_id % 256 || '/y', 'http://localhost./' || page_id]) AS link FROM pages""",
     ),
     "global_": (
         "ents papers",
