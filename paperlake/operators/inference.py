@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from queue import SimpleQueue
 from typing import Protocol
 
 import pandas as pd
@@ -18,6 +20,7 @@ from paperlake.schemas import RESPONSES
 SENTENCE_CHARS = 800
 CARD_ENTITIES, CARD_FINDINGS = 15, 10
 ATTEMPTS, BASE_DELAY, TEMPERATURE = 3, 2.0, 0.1
+IN_FLIGHT = 4
 MAX_TOKENS = {"highlight": 2048}
 DEFAULT_MAX_TOKENS = 4096
 BLANKS = r"[ \t]"
@@ -139,10 +142,12 @@ def infer(
     client_factory: Callable[[], Client],
     concurrency: int | None = None,
     sleep: Callable[[float], None] = time.sleep,
+    in_flight: int = IN_FLIGHT,
 ) -> DataFrame:
     """Answer every request: ``(paper_id, task, chunk_no, raw, error, attempts)``.
 
-    One client per partition; ``concurrency`` is the number of partitions and thereby of simultaneous calls. A call is
+    Every partition keeps ``in_flight`` calls going, each on a client of its own, since a call mostly waits;
+    ``concurrency`` is the number of partitions, or None for those of the input. A call is
     tried three times with growing pauses; a refused JSON mode is retried without it. After the last failure ``raw`` is
     null and ``error`` says why, so no failed call ends the job. Write the result to storage before using it: model
     calls must not be repeated when a later stage is recomputed.
@@ -174,14 +179,25 @@ def infer(
         return None, error, ATTEMPTS
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        client = client_factory()
-        for batch in batches:
-            answers = [answer(client, *row) for row in zip(batch["task"], batch["system"], batch["content"])]
-            out = batch[["paper_id", "task", "chunk_no"]].copy()
-            out["raw"] = [a[0] for a in answers]
-            out["error"] = [a[1] for a in answers]
-            out["attempts"] = [a[2] for a in answers]
-            yield out
+        free: SimpleQueue = SimpleQueue()
+        for _ in range(in_flight):
+            free.put(client_factory())
+
+        def one(row: tuple[str, str, str]) -> tuple[str | None, str | None, int]:
+            client = free.get()
+            try:
+                return answer(client, *row)
+            finally:
+                free.put(client)
+
+        with ThreadPoolExecutor(in_flight) as pool:
+            for batch in batches:
+                answers = list(pool.map(one, zip(batch["task"], batch["system"], batch["content"])))
+                out = batch[["paper_id", "task", "chunk_no"]].copy()
+                out["raw"] = [a[0] for a in answers]
+                out["error"] = [a[1] for a in answers]
+                out["attempts"] = [a[2] for a in answers]
+                yield out
 
     return rows.mapInPandas(run, RESPONSE_COLUMNS)
 

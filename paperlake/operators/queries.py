@@ -20,12 +20,11 @@ def _owned(df: DataFrame, user: int | None) -> DataFrame:
 
 
 def list_papers(papers: DataFrame, user: int | None = None) -> DataFrame:
-    """Papers newest first."""
-    return (
-        _owned(papers, user)
-        .select("user_id", "paper_id", "task_id", "title", "doi", "year", "venue", "extraction_status", "created_at")
-        .orderBy(F.desc("created_at"), "paper_id")
+    """Papers of one owner, newest first; of all owners in no order, which a reader of one owner's rows puts in."""
+    rows = _owned(papers, user).select(
+        "user_id", "paper_id", "task_id", "title", "doi", "year", "venue", "extraction_status", "created_at"
     )
+    return rows if user is None else rows.orderBy(F.desc("created_at"), "paper_id")
 
 
 def extraction_status(papers: DataFrame, user: int | None = None) -> DataFrame:
@@ -91,10 +90,11 @@ def list_cards(cards: DataFrame, user: int | None = None) -> DataFrame:
 
 
 def list_annotations(annotations: DataFrame, paper_id: str | None = None, user: int | None = None) -> DataFrame:
+    """Annotations of one paper, newest first; of all papers in no order."""
     rows = _owned(annotations, user)
-    if paper_id is not None:
-        rows = rows.filter(F.col("paper_id") == paper_id)
-    return rows.orderBy("paper_id", F.desc("created_at"), "annotation_id")
+    if paper_id is None:
+        return rows
+    return rows.filter(F.col("paper_id") == paper_id).orderBy(F.desc("created_at"), "annotation_id")
 
 
 def list_tasks(tasks: DataFrame, limit: int = TASK_LIMIT, user: int | None = None, per_owner: bool = True) -> DataFrame:
@@ -131,10 +131,16 @@ def neighbours(entities: DataFrame, relations: DataFrame, k: int = NEIGHBOURS) -
 
 
 def summary_keywords(summaries: DataFrame) -> DataFrame:
-    """Keywords of each summary, most important first."""
-    rows = exploded(summaries, "summary.keywords", "k", "paper_id")
-    return rows.select("paper_id", "pos", "k.text", "k.type", "k.importance").orderBy(
-        "paper_id", F.desc("importance"), "pos"
+    """Keywords of each summary with their rank by importance, the most important first; ties keep their order."""
+    listed = F.transform(
+        "summary.keywords",
+        lambda k, i: F.struct(
+            F.isnull(k["importance"]).alias("last"), (-k["importance"]).alias("less"), i.alias("pos"), k.alias("k")
+        ),
+    )
+    rows = exploded(summaries.select("paper_id", F.array_sort(listed).alias("_ranked")), "_ranked", "r", "paper_id")
+    return rows.select(
+        "paper_id", (F.col("pos") + 1).alias("rank"), F.col("r.pos").alias("pos"), "r.k.text", "r.k.type", "r.k.importance"
     )
 
 

@@ -157,11 +157,10 @@ def assemble_text(
 ) -> DataFrame:
     """Non-blank pages of a document, in page order, joined by blank lines: ``(doc, n_pages, page_texts, text)``.
 
-    A document has to fit in one value whatever the plan, so intake bounds it (see ``sources.files.accept_files``).
+    A document whose pages are all blank has an empty text. A document has to fit in one value whatever the plan, so intake bounds it (see ``sources.files.accept_files``).
     """
-    kept = pages.filter(strip(F.col(text)) != "")
-    ordered = F.sort_array(F.collect_list(F.struct(page, text)))
-    grouped = kept.groupBy(doc_id).agg(F.transform(ordered, lambda p: p[text]).alias("page_texts"))
+    ordered = F.sort_array(F.collect_list(F.when(strip(F.col(text)) != "", F.struct(page, text))))
+    grouped = pages.groupBy(doc_id).agg(F.transform(ordered, lambda p: p[text]).alias("page_texts"))
     return grouped.select(
         doc_id, F.size("page_texts").alias("n_pages"), "page_texts", F.array_join("page_texts", "\n\n").alias("text")
     )

@@ -188,10 +188,11 @@ PARTS: dict[str, tuple[str, str]] = {
     ),
     "texts": (
         "pages_",
-        f"""SELECT paper_id, count(*) AS n_pages, string_agg(text, chr(10) || chr(10) ORDER BY page_no) AS text,
-        string_agg(text, chr(10) || chr(10) ORDER BY page_no) FILTER (rn <= 2) AS first_pages
-        FROM (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY page_no) AS rn FROM pages_
-              WHERE {_strip('text')} <> '') GROUP BY paper_id""",
+        f"""SELECT paper_id, count(*) FILTER (filled) AS n_pages,
+        coalesce(string_agg(text, chr(10) || chr(10) ORDER BY page_no) FILTER (filled), '') AS text,
+        coalesce(string_agg(text, chr(10) || chr(10) ORDER BY page_no) FILTER (filled AND rn <= 2), '') AS first_pages
+        FROM (SELECT *, row_number() OVER (PARTITION BY paper_id, filled ORDER BY page_no) AS rn
+              FROM (SELECT *, {_strip('text')} <> '' AS filled FROM pages_)) GROUP BY paper_id""",
     ),
     "titled": (
         "",

@@ -22,18 +22,26 @@ def read_files(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFr
     )
 
 
-def reject_reason(content: Column, max_mb: int = DEFAULT_MAX_MB) -> Column:
+def reject_reason(content: Column, max_mb: int = DEFAULT_MAX_MB, length: Column | None = None) -> Column:
     """Why a file is not taken, or null: ``empty``, ``too_large`` or ``not_pdf``."""
-    size = F.octet_length(content)
+    size = F.octet_length(content) if length is None else length
     return (
-        F.when(content.isNull() | (size == 0), "empty")
+        F.when(size.isNull() | (size == 0), "empty")
         .when(size > max_mb * 1024 * 1024, "too_large")
         .when(~F.startswith(content, F.lit(PDF_MAGIC)), "not_pdf")
     )
 
 
 def accept_files(df: DataFrame, max_mb: int = DEFAULT_MAX_MB, content: str = "content") -> DataFrame:
-    reason = reject_reason(F.col(content), max_mb)
+    """Add ``reject_reason`` and ``accepted``. Files that come with their ``length`` (``read_files``) are judged by it:
+    the content of those that are too large is never read, and is null in the result."""
+    if "length" in df.columns:
+        limit = max_mb * 1024 * 1024
+        large = df.filter(F.col("length") > limit).withColumn(content, F.lit(None).cast("binary"))
+        df = df.filter(F.coalesce("length", F.lit(0)) <= limit).unionByName(large)
+        reason = reject_reason(F.col(content), max_mb, F.col("length"))
+    else:
+        reason = reject_reason(F.col(content), max_mb)
     return df.withColumn("reject_reason", reason).withColumn("accepted", F.col("reject_reason").isNull())
 
 
@@ -52,17 +60,19 @@ def front_matter(text: Column) -> Column:
     inner = F.regexp_extract(text, r"(?s)\A---(.*?)---", 1)
     lines = F.filter(F.split(inner, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"), lambda line: line.contains(":"))
 
-    def put(found: Column, line: Column) -> Column:
+    def entry(line: Column) -> Column:
         colon = F.call_function("locate", F.lit(":"), line)
-        key = strip(F.substring(line, F.lit(1), colon - 1))
         raw = strip(F.substring(line, colon + 1, F.length(line)))
         bare = F.regexp_extract(raw, r'(?s)\A"(.*)"\z', 1)
         plain = F.replace(F.replace(bare, F.lit('\\"'), F.lit('"')), F.lit("\\\\"), F.lit("\\"))
         value = F.when(raw.rlike(r'(?s)\A".*"\z'), plain).otherwise(raw)
-        return F.map_concat(F.map_filter(found, lambda k, _: k != key), F.create_map(key, value))
+        return F.struct(strip(F.substring(line, F.lit(1), colon - 1)).alias("key"), value.alias("value"))
 
-    empty = F.create_map().cast("map<string,string>")
-    return F.aggregate(lines, empty, put)
+    # Read backwards, the first of equal keys is the one that counts.
+    entries = F.reverse(F.transform(lines, entry))
+    keys = F.transform(entries, lambda e: e["key"])
+    last = F.filter(entries, lambda e, i: F.array_position(keys, e["key"]) == i + 1)
+    return F.map_from_entries(last)
 
 
 def read_notes(spark: SparkSession, path: str) -> DataFrame:
