@@ -8,16 +8,16 @@ from pyspark.sql import functions as F
 
 from paperlake.functions.text import normalize_tags
 from paperlake.operators.knowledge import DIFFICULTY, START_EASE, START_INTERVAL, START_REPETITIONS, make_id
-from paperlake.operators.skew import HOT_ROWS, ordered_parts, split_hot
-from paperlake.session import stored
 
 MIN_EASE = 1.3
-# Beyond this many days the due date leaves the calendar; it is then null.
+# A due date later than this many days after its review is put there: the calendar ends in the year 9999.
 MAX_DAYS = 2_900_000.0
+# Reviews of a card within so many days are folded together, whatever their number elsewhere.
+BLOCK_DAYS = 7
 _DAY_MICROS = 86_400_000_000
 
 
-def ease_step(quality: Column) -> Column:
+def ease_shift(quality: Column) -> Column:
     miss = 5 - quality
     return 0.1 - miss * (0.08 + miss * 0.02)
 
@@ -27,41 +27,73 @@ def next_ease(ease: Column, quality: Column) -> Column:
     return F.greatest(F.lit(MIN_EASE), ease + 0.1 - miss * (0.08 + miss * 0.02))
 
 
-def sm2_fold(log: Column, repetitions: Column, interval: Column, ease: Column) -> Column:
-    """Fold an ordered array of reviews into ``struct(repetitions, interval, ease)``."""
+def due_after(ts: Column, interval: Column) -> Column:
+    """``ts`` plus a fractional number of days, to the microsecond, within the calendar."""
+    micros = F.round(F.least(interval, F.lit(MAX_DAYS)) * _DAY_MICROS).cast("bigint")
+    return F.timestamp_add("MICROSECOND", micros, ts)
+
+
+def _fold_block(log: Column, ease: Column) -> Column:
+    """SM-2 over the ordered reviews of a block, for a card that enters it with ``ease``.
 
-    def step(state: Column, review: Column) -> Column:
-        quality = review["quality"]
-        passed = quality >= 3
+    ``repetitions`` and ``interval`` are those after the last failed review if there is one (``failed``). If not, the
+    block only carries on: ``grow0`` is what it multiplies an interval by, ``grow1`` and ``grow2`` the same without its
+    first one or two reviews, whose intervals are fixed.
+    """
+
+    def step(acc: Column, review: Column) -> Column:
+        quality, passed = review["quality"], review["quality"] >= 3
         grown = (
-            F.when(state["repetitions"] == 0, F.lit(1.0))
-            .when(state["repetitions"] == 1, F.lit(6.0))
-            .otherwise(state["interval"] * state["ease"])
+            F.when(acc["repetitions"] == 0, F.lit(1.0))
+            .when(acc["repetitions"] == 1, F.lit(6.0))
+            .otherwise(acc["interval"] * acc["ease"])
         )
         return F.struct(
-            F.when(passed, state["repetitions"] + 1).otherwise(0).alias("repetitions"),
+            (acc["failed"] | ~passed).alias("failed"),
+            F.when(passed, acc["repetitions"] + 1).otherwise(0).alias("repetitions"),
             F.when(passed, grown).otherwise(1.0).alias("interval"),
-            next_ease(state["ease"], quality).alias("ease"),
+            *[
+                (acc[f"grow{k}"] * F.when(acc["repetitions"] >= k, acc["ease"]).otherwise(1.0)).alias(f"grow{k}")
+                for k in (0, 1, 2)
+            ],
+            next_ease(acc["ease"], quality).alias("ease"),
         )
 
-    start = F.struct(repetitions.alias("repetitions"), interval.alias("interval"), ease.alias("ease"))
+    start = F.struct(
+        F.lit(False).alias("failed"), F.lit(0).alias("repetitions"), F.lit(1.0).alias("interval"),
+        *[F.lit(1.0).alias(f"grow{k}") for k in (0, 1, 2)], ease.alias("ease"),
+    )
     return F.aggregate(log, start, step)
 
 
-def due_after(ts: Column, interval: Column) -> Column:
-    """``ts`` plus a fractional number of days, to the microsecond."""
-    micros = F.when(interval <= MAX_DAYS, F.round(interval * _DAY_MICROS)).cast("bigint")
-    return F.timestamp_add("MICROSECOND", micros, ts)
+def _carry_on(state: Column, block: Column) -> Column:
+    """State of a card after a folded block."""
+    total = state["repetitions"] + block["repetitions"]
+    continued = (
+        F.when(state["repetitions"] >= 2, state["interval"] * block["grow0"])
+        .when(state["repetitions"] == 1, 6.0 * block["grow1"])
+        .when(block["repetitions"] >= 2, 6.0 * block["grow2"])
+        .otherwise(1.0)
+    )
+    return F.struct(
+        F.when(block["failed"], block["repetitions"]).otherwise(total).alias("repetitions"),
+        F.when(block["failed"], block["interval"]).otherwise(continued).alias("interval"),
+        block["ease"].alias("ease"),
+    )
 
 
 def review_state(
-    cards: DataFrame, reviews: DataFrame, card_id: str = "card_id", hot_rows: int = HOT_ROWS
+    cards: DataFrame, reviews: DataFrame, card_id: str = "card_id", block_days: int = BLOCK_DAYS
 ) -> DataFrame:
     """SM-2 state of every card after its reviews, taken in (ts, review_id) order.
 
-    Cards start from their stored state, or from the defaults where that is null, and keep it without reviews.
-    A card's log is folded in one row while it has at most ``hot_rows`` reviews; longer logs are folded in parts
-    (see :func:`_hot_states`).
+    Cards start from their stored state, or from the defaults where that is null, and keep it without reviews. Adds
+    ``due_capped``: the due date would lie beyond the calendar and was put at ``MAX_DAYS``.
+
+    Logs are folded in blocks of ``block_days``, each in a row of its own, so that a long log is spread over tasks. Over
+    a block the ease becomes ``max(floor, ease + shift)`` with two numbers of the block alone; running sums and maxima
+    of these give the ease that enters every block. Folded blocks then chain up to the card's state. Other block lengths
+    give the same state up to floating-point rounding.
     """
     start = cards.withColumns(
         {
@@ -70,129 +102,55 @@ def review_state(
             "repetitions": F.coalesce("repetitions", F.lit(START_REPETITIONS)),
         }
     )
-    cold, hot, n_hot = split_hot(reviews.select(card_id, "ts", "review_id", "quality"), [card_id], hot_rows)
-    logs = cold.groupBy(card_id).agg(
-        F.sort_array(F.collect_list(F.struct("ts", "review_id", "quality"))).alias("_log"),
-        F.max("ts").alias("_ts"),
-    )
-    log = F.coalesce("_log", F.slice(F.array(F.struct(*[F.lit(None).cast(kind).alias(name) for name, kind in cold.dtypes[1:]])), 1, 0))
-    state = sm2_fold(log, F.col("repetitions"), F.col("interval_days"), F.col("ease_factor"))
-    kept = [c for c in start.columns if c not in ("repetitions", "interval_days", "ease_factor")]
-    # The fold is the output of a generator, so that a later filter on it (what is due) does not run it again.
-    folded = start.join(logs, card_id, "left").select(*kept, "_ts", F.inline(F.array(state)))
-    folded = folded.withColumnsRenamed({"interval": "interval_days", "ease": "ease_factor"})
-    if hot is not None:
-        late = _hot_states(start, hot, n_hot, card_id, hot_rows)
-        folded = (
-            folded.join(late, card_id, "left")
-            .withColumns(
-                {
-                    "repetitions": F.coalesce("_hot_state.repetitions", "repetitions"),
-                    "interval_days": F.coalesce("_hot_state.interval", "interval_days"),
-                    "ease_factor": F.coalesce("_hot_state.ease", "ease_factor"),
-                    "_ts": F.coalesce("_hot_ts", "_ts"),
-                }
-            )
-            .drop("_hot_state", "_hot_ts")
-        )
-    due = F.when(F.col("_ts").isNotNull(), due_after(F.col("_ts"), F.col("interval_days"))).otherwise(F.col("next_review"))
-    return folded.withColumns({"next_review": due, "last_review": F.coalesce("_ts", "last_review")}).select(*start.columns)
-
-
-def _hot_states(cards: DataFrame, reviews: DataFrame, n: int, card_id: str, limit: int) -> DataFrame:
-    """State of cards whose log is too long for one row.
-
-    The log is cut into ordered parts. The ease after a part is ``max(floor, ease_before + shift)`` with two numbers
-    that depend on the part alone, so the ease before every part follows from a prefix over the (few) parts. With it
-    each part is folded on its own: either it contains a failed review, and the repetition count and interval at its
-    end are absolute, or it only multiplies what came before. A last short fold over the parts gives the card's state.
-    """
-    parts = ordered_parts(reviews, [card_id], [F.col("ts"), F.col("review_id")], n, limit)
-    logs = stored(
-        parts.groupBy(card_id, "_part").agg(
-            F.sort_array(F.collect_list(F.struct("ts", "review_id", "quality"))).alias("_log"),
-            F.max("ts").alias("_ts"),
-        )
+    block = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (block_days * _DAY_MICROS)).alias("_block")
+    logs = reviews.select(card_id, "ts", "review_id", "quality", block).groupBy(card_id, "_block").agg(
+        F.sort_array(F.collect_list(F.struct("ts", "review_id", "quality"))).alias("_log"), F.max("ts").alias("_ts")
     )
     effect = F.aggregate(
         "_log",
         F.struct(F.lit(float("-inf")).alias("floor"), F.lit(0.0).alias("shift")),
         lambda acc, r: F.struct(
-            next_ease(acc["floor"], r["quality"]).alias("floor"),
-            (acc["shift"] + ease_step(r["quality"])).alias("shift"),
+            next_ease(acc["floor"], r["quality"]).alias("floor"), (acc["shift"] + ease_shift(r["quality"])).alias("shift")
         ),
     )
-    earlier = W.partitionBy(card_id).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    effects = logs.select(card_id, "_part", effect.alias("_effect")).withColumn(
-        "_before", F.collect_list("_effect").over(earlier)
+    order = W.partitionBy(card_id).orderBy("_block")
+    until = order.rowsBetween(W.unboundedPreceding, 0)
+    before = order.rowsBetween(W.unboundedPreceding, -1)
+    effects = (
+        logs.select(card_id, "_block", effect.alias("e"))
+        .withColumn("_sum", F.sum("e.shift").over(until))
+        .withColumn("_least", F.max(F.col("e.floor") - F.col("_sum")).over(before))
+        .withColumn("_before", F.lag("_sum").over(order))
     )
-    entering = effects.join(cards.select(card_id, "ease_factor"), card_id).select(
-        card_id,
-        "_part",
-        F.aggregate(
-            "_before", F.col("ease_factor"), lambda e, p: F.greatest(p["floor"], e + p["shift"])
-        ).alias("_ease"),
+    entering = effects.join(start.select(card_id, "ease_factor"), card_id).select(
+        card_id, "_block",
+        F.when(F.col("_before").isNull(), F.col("ease_factor"))
+        .otherwise(F.greatest("ease_factor", "_least") + F.col("_before")).alias("_ease"),
     )
-
-    def step(acc: Column, review: Column) -> Column:
-        quality, ease = review["quality"], acc["ease"]
-        passed = quality >= 3
-        grown = (
-            F.when(acc["repetitions"] == 0, F.lit(1.0))
-            .when(acc["repetitions"] == 1, F.lit(6.0))
-            .otherwise(acc["interval"] * ease)
-        )
-        return F.struct(
-            (acc["failed"] | ~passed).alias("failed"),
-            F.when(passed, acc["repetitions"] + 1).otherwise(0).alias("repetitions"),
-            F.when(passed, grown).otherwise(1.0).alias("interval"),
-            # Growth over the whole part, and without its first one or two reviews.
-            (acc["grow0"] * ease).alias("grow0"),
-            (acc["grow1"] * F.when(acc["repetitions"] >= 1, ease).otherwise(1.0)).alias("grow1"),
-            (acc["grow2"] * F.when(acc["repetitions"] >= 2, ease).otherwise(1.0)).alias("grow2"),
-            next_ease(ease, quality).alias("ease"),
-        )
-
-    start = F.struct(
-        F.lit(False).alias("failed"),
-        F.lit(0).alias("repetitions"),
-        F.lit(1.0).alias("interval"),
-        F.lit(1.0).alias("grow0"),
-        F.lit(1.0).alias("grow1"),
-        F.lit(1.0).alias("grow2"),
-        F.col("_ease").alias("ease"),
-    )
-    folded = logs.join(entering, [card_id, "_part"]).select(
-        card_id, "_part", "_ts", F.aggregate("_log", start, step).alias("_fold")
+    folded = logs.join(entering, [card_id, "_block"]).select(
+        card_id, "_block", "_ts", _fold_block(F.col("_log"), F.col("_ease")).alias("_fold")
     )
-    per_card = folded.groupBy(card_id).agg(
-        F.sort_array(F.collect_list(F.struct("_part", "_fold"))).alias("_parts"), F.max("_ts").alias("_hot_ts")
+    chained = folded.groupBy(card_id).agg(
+        F.sort_array(F.collect_list(F.struct("_block", "_fold"))).alias("_blocks"), F.max("_ts").alias("_ts")
     )
-
-    def chain(state: Column, part: Column) -> Column:
-        fold = part["_fold"]
-        total = state["repetitions"] + fold["repetitions"]
-        continued = (
-            F.when(state["repetitions"] >= 2, state["interval"] * fold["grow0"])
-            .when(state["repetitions"] == 1, 6.0 * fold["grow1"])
-            .when(fold["repetitions"] >= 2, 6.0 * fold["grow2"])
-            .otherwise(1.0)
-        )
-        return F.struct(
-            F.when(fold["failed"], fold["repetitions"]).otherwise(total).alias("repetitions"),
-            F.when(fold["failed"], fold["interval"]).otherwise(continued).alias("interval"),
-            fold["ease"].alias("ease"),
-        )
-
     initial = F.struct(
-        F.col("repetitions").alias("repetitions"),
-        F.col("interval_days").alias("interval"),
-        F.col("ease_factor").alias("ease"),
-    )
-    base = cards.select(card_id, "repetitions", "interval_days", "ease_factor")
-    return per_card.join(base, card_id).select(
-        card_id, F.aggregate("_parts", initial, chain).alias("_hot_state"), "_hot_ts"
+        F.col("repetitions"), F.col("interval_days").alias("interval"), F.col("ease_factor").alias("ease")
     )
+    blocks = F.coalesce(F.transform("_blocks", lambda b: b["_fold"]), F.array().cast(folded.select(F.array("_fold")).schema[0].dataType))
+    kept = [c for c in start.columns if c not in ("repetitions", "interval_days", "ease_factor")]
+    # The fold is the output of a generator, so that a later filter on it (what is due) does not run it again.
+    state = start.join(chained, card_id, "left").select(
+        *kept, "_ts", F.inline(F.array(F.aggregate(blocks, initial, _carry_on)))
+    ).withColumnsRenamed({"interval": "interval_days", "ease": "ease_factor"})
+    reviewed = F.col("_ts").isNotNull()
+    due = F.when(reviewed, due_after(F.col("_ts"), F.col("interval_days"))).otherwise(F.col("next_review"))
+    return state.withColumns(
+        {
+            "next_review": due,
+            "last_review": F.coalesce("_ts", "last_review"),
+            "due_capped": reviewed & (F.col("interval_days") > MAX_DAYS),
+        }
+    ).select(*start.columns, "due_capped")
 
 
 def valid_reviews(reviews: DataFrame, cards: DataFrame) -> DataFrame:

@@ -287,12 +287,22 @@ class Tables:
         """The events as a stream of files."""
         return self.spark.readStream.schema(self.read("events").schema).option("pathGlobFilter", "events.parquet").parquet(self.folder)
 
-    def review_stream(self) -> DataFrame:
-        return self.event_stream().select(
-            card_id(), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("review_id"),
-            (F.col("event_id") % 6).cast("int").alias("quality"),
+    def started_cards(self) -> DataFrame:
+        """The cards with a state of their own, other than the defaults for most."""
+        return self.cards().withColumns(
+            {
+                "interval_days": F.col("user_id") % 5 + 1.0,
+                "ease_factor": F.lit(1.3) + (F.col("user_id") % 4) * 0.5,
+                "repetitions": (F.col("user_id") % 4).cast("int"),
+            }
         )
 
+    def review_stream(self, files: int = 4) -> DataFrame:
+        """The reviews as a stream of several triggers, whose times overlap, with some of impossible quality."""
+        sent = self.reviews().withColumn("quality", (F.col("review_id") % 7 - 1).cast("int"))
+        folder = stored(sent.repartition(files, F.col("review_id") % files)).inputFiles()[0].rsplit("/", 1)[0]
+        return self.spark.readStream.schema(sent.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
     # ---- texts ------------------------------------------------------------------------------------------------
 
     @_once

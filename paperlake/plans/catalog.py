@@ -22,7 +22,7 @@ from paperlake.plans.bindings import NOW, Tables, now
 from paperlake.plans.oracles import OMITTED, STAMP, _bib, _id, _safe, _sanitize, _squeeze, _strip, _unwrap_once, _yaml, sql
 from paperlake.sources import documents as D
 from paperlake.sources import files as S
-from paperlake.streaming.reviews import latest_state_stream, review_stream
+from paperlake.streaming.reviews import apply_reviews, latest_state_stream
 from paperlake.streaming.run import latest_rows
 
 QUERIES: dict[str, Callable[[Tables], DataFrame]] = {}
@@ -917,18 +917,28 @@ def r1(t: Tables) -> DataFrame:
     )
 
 
+_FOLD_START = """SELECT DISTINCT card_id, 0 AS n, CAST(u % 4 AS INTEGER) AS reps, CAST(u % 5 + 1 AS DOUBLE) AS iv,
+      CAST(1.3 AS DOUBLE) + (u % 4) * CAST(0.5 AS DOUBLE) AS ease, CAST(NULL AS TIMESTAMP) AS ts FROM
+      (SELECT user_id || ':' || event_type AS card_id, user_id AS u FROM events)"""
+
+
 @query(
     "r2_review_stream",
-    sql(
-        "state",
-        f"""SELECT card_id, reps AS repetitions, round(iv, 6) AS interval_days, round(ease, 6) AS ease_factor,
-        strftime(last_review, {STAMP}) AS last_review, CAST(0 AS BIGINT) AS late_reviews FROM state""",
-    ),
+    f"""WITH RECURSIVE log AS (SELECT user_id || ':' || event_type AS card_id, ts, CAST(event_id % 7 - 1 AS INTEGER) AS q,
+      row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events WHERE event_id % 7 BETWEEN 1 AND 6),
+    folded AS ({_FOLD_START} UNION ALL
+      SELECT f.card_id, f.n + 1, CASE WHEN l.q >= 3 THEN f.reps + 1 ELSE 0 END,
+        CASE WHEN l.q < 3 THEN 1.0 WHEN f.reps = 0 THEN 1.0 WHEN f.reps = 1 THEN 6.0 ELSE f.iv * f.ease END,
+        greatest(CAST(1.3 AS DOUBLE), f.ease + CAST(0.1 AS DOUBLE) - (5 - l.q) * (CAST(0.08 AS DOUBLE) + (5 - l.q) * CAST(0.02 AS DOUBLE))),
+        l.ts FROM folded f JOIN log l ON l.card_id = f.card_id AND l.n = f.n + 1)
+    SELECT card_id, reps AS repetitions, round(iv, 6) AS interval_days, round(ease, 6) AS ease_factor,
+      strftime(ts, {STAMP}) AS last_review FROM folded WHERE n > 0
+    QUALIFY row_number() OVER (PARTITION BY card_id ORDER BY n DESC) = 1""",
 )
 def r2(t: Tables) -> DataFrame:
-    """The same log as a stream: in one trigger it must give the batch result."""
-    return latest_rows(review_stream(t.review_stream()), "card_id").select(
-        "card_id", "repetitions", r6("interval_days"), r6("ease_factor"), stamp("last_review"), "late_reviews"
+    """Reviews in several triggers whose times overlap, on cards that have a state, give the state of the batch."""
+    return apply_reviews(t.review_stream(), t.started_cards()).select(
+        "card_id", "repetitions", r6("interval_days"), r6("ease_factor"), stamp("last_review")
     )
 
 

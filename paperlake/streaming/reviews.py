@@ -2,72 +2,41 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
-from paperlake.operators.knowledge import START_EASE, START_INTERVAL, START_REPETITIONS
-from paperlake.operators.srs import MAX_DAYS, MIN_EASE
+from paperlake.operators.srs import review_state, valid_reviews
+from paperlake.session import work_dir
+from paperlake.streaming.run import latest_rows
 
-STATE = "repetitions int, interval_days double, ease_factor double, last_micros bigint, late bigint"
-OUTPUT = (
-    "card_id string, repetitions int, interval_days double, ease_factor double, "
-    "next_review timestamp, last_review timestamp, late_reviews bigint"
-)
 
+def apply_reviews(reviews: DataFrame, cards: DataFrame) -> DataFrame:
+    """Run a stream of reviews until its source is used up; the state of every card that was reviewed.
 
-def sm2(quality: int, repetitions: int, interval: float, ease: float) -> tuple[int, float, float]:
-    """One review. The batch fold in ``operators.srs`` is the same rule as a Spark expression."""
-    if quality >= 3:
-        grown = {0: 1.0, 1: 6.0}.get(repetitions, interval * ease)
-        repetitions, interval = repetitions + 1, grown
-    else:
-        repetitions, interval = 0, 1.0
-    miss = 5 - quality
-    return repetitions, interval, max(MIN_EASE, ease + 0.1 - miss * (0.08 + miss * 0.02))
-
-
-def _apply(key: tuple[str], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    start = (START_REPETITIONS, START_INTERVAL, START_EASE, None, 0)
-    repetitions, interval, ease, last, late = state.get if state.exists else start
-    # Reviews of one trigger arrive unordered, and SM-2 depends on the order. Three numbers per review are kept; how
-    # many one trigger brings is set by the source's rate limit.
-    rows = pd.concat([b[["ts", "review_id", "quality"]] for b in batches]).sort_values(["ts", "review_id"])
-    micros = rows["ts"].astype("datetime64[us]").astype("int64")
-    for quality, at in zip(rows["quality"].tolist(), micros.tolist()):
-        if last is not None and at < last:
-            late += 1
-            continue
-        repetitions, interval, ease = sm2(quality, repetitions, interval, ease)
-        last = at
-    state.update((repetitions, interval, ease, last, late))
-    due = last + round(interval * 86_400_000_000) if interval <= MAX_DAYS else None
-    yield pd.DataFrame(
-        {
-            "card_id": [key[0]],
-            "repetitions": pd.Series([repetitions], dtype="int32"),
-            "interval_days": [interval],
-            "ease_factor": [ease],
-            "next_review": pd.Series([due], dtype="Int64").astype("datetime64[us]"),
-            "last_review": pd.Series([last], dtype="int64").astype("datetime64[us]"),
-            "late_reviews": [late],
-        }
-    )
-
-
-def review_stream(reviews: DataFrame) -> DataFrame:
-    """Card states as they change. ``reviews``: streaming (card_id, ts TIMESTAMP, review_id, quality).
-
-    State is a few numbers per card. Within a trigger reviews are applied in (ts, review_id) order. A review older than
-    one that was already applied to its card cannot be taken in order any more: it is left out and counted in
-    ``late_reviews``. Cards with a count above zero are the ones to recompute with the batch ``review_state``.
+    ``reviews``: streaming (card_id, user_id, ts, review_id, quality); ``cards``: their stored state. Every trigger adds
+    its valid reviews to a log in the shared folder and folds the logs of the cards it touched with the batch
+    expression, from the stored state. So a review that comes late takes its place in the order, and the result is that
+    of the batch over the whole log. A retried trigger overwrites what it wrote.
     """
-    return reviews.groupBy("card_id").applyInPandasWithState(
-        _apply, OUTPUT, STATE, "update", GroupStateTimeout.NoTimeout
-    )
+    spark = reviews.sparkSession
+    root = f"{work_dir(spark).rstrip('/')}/paperlake-reviews-{uuid.uuid4().hex}"
+    columns = ["card_id", "ts", "review_id", "quality"]
+    log_schema = StructType([*reviews.select(*columns).schema.fields, StructField("trigger", LongType())])
+
+    def states(batch: DataFrame, number: int) -> DataFrame:
+        valid = valid_reviews(batch, cards).filter(F.col("reason").isNull())
+        valid.select(*columns).write.mode("overwrite").parquet(f"{root}/trigger={number}")
+        log = spark.read.schema(log_schema).parquet(root).filter(F.col("trigger") <= number)
+        touched = log.filter(F.col("trigger") == number).select("card_id").distinct()
+        return review_state(
+            cards.join(touched, "card_id", "left_semi"), log.drop("trigger").join(touched, "card_id", "left_semi")
+        )
+
+    result = StructType([*cards.schema.fields, StructField("due_capped", BooleanType())])
+    return latest_rows(reviews, "card_id", states, result, mode="append")
 
 
 def latest_state_stream(progress: DataFrame) -> DataFrame:

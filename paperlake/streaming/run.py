@@ -3,32 +3,46 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from paperlake.session import work_dir
 
 
-def latest_rows(stream: DataFrame, key: str) -> DataFrame:
-    """Run an ``update`` stream until its source is used up and return the last row of each key.
+def latest_rows(
+    stream: DataFrame,
+    key: str,
+    of_batch: Callable[[DataFrame, int], DataFrame] | None = None,
+    schema: StructType | None = None,
+    mode: str = "update",
+) -> DataFrame:
+    """Run a stream until its source is used up and return the last row of each key.
 
-    Every trigger writes its own folder, overwriting it when the trigger is retried, so each update counts once.
+    ``of_batch`` turns a trigger's rows into the rows to keep, of ``schema``; by default they are kept as they are. Every
+    trigger writes its own folder, overwriting it when the trigger is retried, so each update counts once. A source
+    without rows gives an empty table.
     """
     spark = stream.sparkSession
     root = f"{work_dir(spark).rstrip('/')}/paperlake-stream-{uuid.uuid4().hex}"
+    fields = list((schema or stream.schema).fields)
+    schema = StructType([*fields, StructField("trigger", LongType())])
+    spark.createDataFrame([], schema).write.parquet(f"{root}/rows/batch=-1")
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{root}/rows/trigger={number}")
+        rows = of_batch(batch, number) if of_batch else batch
+        rows.withColumn("trigger", F.lit(number).cast("bigint")).write.mode("overwrite").parquet(f"{root}/rows/batch={number}")
 
     query = (
-        stream.writeStream.outputMode("update")
+        stream.writeStream.outputMode(mode)
         .option("checkpointLocation", f"{root}/state")
         .foreachBatch(write)
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    rows = spark.read.schema(stream.schema.add("trigger", "long")).parquet(f"{root}/rows")
-    payload = [c for c in stream.columns if c != key]
+    rows = spark.read.schema(schema).parquet(f"{root}/rows")
+    payload = [f.name for f in fields if f.name != key]
     return rows.groupBy(key).agg(F.max_by(F.struct(*payload), "trigger").alias("s")).select(key, "s.*")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from paperlake.operators import srs as R
 from paperlake.plans.bindings import now
 from paperlake.session import stored
-from paperlake.streaming.reviews import review_stream, sm2
+from paperlake.streaming.reviews import apply_reviews
 
 START = datetime(2024, 1, 1)
 REVIEW = "card_id string, ts timestamp_ntz, review_id long, quality int"
@@ -21,11 +21,19 @@ def logs(spark, qualities):
     return cards, spark.createDataFrame(rows, REVIEW)
 
 
-def plain(qualities):
-    state = (0, 1.0, 2.5)
+def plain(qualities, repetitions=0, interval=1.0, ease=2.5):
+    """SM-2 review by review."""
     for q in qualities:
-        state = sm2(q, *state)
-    return state
+        grown = {0: 1.0, 1: 6.0}.get(repetitions, interval * ease)
+        repetitions, interval = (repetitions + 1, grown) if q >= 3 else (0, 1.0)
+        ease = max(1.3, ease + 0.1 - (5 - q) * (0.08 + (5 - q) * 0.02))
+    return repetitions, interval, ease
+
+
+def close(row, state):
+    repetitions, interval, ease = state
+    assert row.repetitions == repetitions, row
+    assert math.isclose(row.interval_days, interval, rel_tol=1e-9) and math.isclose(row.ease_factor, ease, rel_tol=1e-9), row
 
 
 def test_anchor(spark):
@@ -38,7 +46,7 @@ def test_anchor(spark):
     assert (b.repetitions, b.interval_days, b.ease_factor, b.last_review) == (0, 1.0, 2.5, None) and b.next_review == START
 
 
-def test_long_logs_are_folded_in_parts(spark):
+def test_any_block_length_gives_the_same_state(spark):
     rng = random.Random(7)
     qualities = {f"c{i}": [rng.randint(0, 5) for _ in range(rng.randint(1, 60))] for i in range(12)}
     qualities |= {"good": [rng.choice([3, 4, 5, 5]) for _ in range(40)], "start": [4] * 5 + [5] * 6, "one": [2]}
@@ -46,53 +54,48 @@ def test_long_logs_are_folded_in_parts(spark):
     stored_state = cards.withColumns(
         {"repetitions": F.when(F.col("card_id") == "good", 1), "ease_factor": F.when(F.col("card_id") == "start", 1.4)}
     )
-    for base in (cards, stored_state):
-        whole = {r.card_id: r for r in R.review_state(base, reviews).collect()}
-        parts = {r.card_id: r for r in R.review_state(base, reviews, hot_rows=4).collect()}
-        assert whole.keys() == parts.keys() == qualities.keys()
-        for card, want in whole.items():
-            got = parts[card]
-            assert got.repetitions == want.repetitions, card
-            assert math.isclose(got.interval_days, want.interval_days, rel_tol=1e-9), card
-            assert math.isclose(got.ease_factor, want.ease_factor, rel_tol=1e-9), card
-            assert got.last_review == want.last_review
-    for r in R.review_state(cards, reviews).collect():
-        assert (r.repetitions, r.interval_days, r.ease_factor) == plain(qualities[r.card_id])
-
-
-def test_due_date_beyond_the_calendar_is_null(spark):
-    cards, reviews = logs(spark, {"a": [5] * 40})
-    assert R.review_state(cards, reviews).first().next_review is None
+    for days in (1 / 6, 1, 1_000_000):
+        rows = {r.card_id: r for r in R.review_state(cards, reviews, block_days=days).collect()}
+        assert rows.keys() == qualities.keys()
+        for card, row in rows.items():
+            close(row, plain(qualities[card]))
+            assert row.last_review == START + timedelta(hours=len(qualities[card]) - 1)
+        for row in R.review_state(stored_state, reviews, block_days=days).collect():
+            close(row, plain(qualities[row.card_id], int(row.card_id == "good"), ease=1.4 if row.card_id == "start" else 2.5))
+
+
+def test_due_date_beyond_the_calendar_stays_due_at_its_end(spark):
+    cards, reviews = logs(spark, {"a": [5] * 40, "b": [5]})
+    got = {r.card_id: r for r in R.review_state(cards, reviews).collect()}
+    assert got["a"].due_capped and got["a"].next_review.year > 9000 and not got["b"].due_capped
+    due = R.due_cards(R.review_state(cards, reviews), now("9998-01-01 00:00:00")).collect()
+    assert {r.card_id for r in due} == {"a", "b"}
 
 
 def test_stream_equals_batch(spark, tmp_path):
     rng = random.Random(3)
     qualities = {f"c{i}": [rng.randint(0, 5) for _ in range(20)] for i in range(6)}
     cards, reviews = logs(spark, qualities)
+    cards = cards.withColumns({"interval_days": F.lit(15.0), "ease_factor": F.lit(2.0), "repetitions": F.lit(3)})
+    sent = reviews.withColumn("user_id", F.lit(1).cast("bigint"))
     source = str(tmp_path / "in")
-    with_ts = reviews.withColumn("ts", F.col("ts").cast("timestamp"))
-    late = spark.createDataFrame([("c0", START, 999, 0)], REVIEW).withColumn("ts", F.col("ts").cast("timestamp"))
-    # Three triggers: two halves in time order, then a review that is too old.
-    for part in (with_ts.filter("review_id < 10"), with_ts.filter("review_id >= 10"), late):
+    # Three triggers, out of order, and a review of someone else's card.
+    wrong = sent.limit(1).withColumns({"user_id": F.lit(2).cast("bigint"), "quality": F.lit(0)})
+    for part in (sent.filter("review_id % 3 = 1"), sent.filter("review_id % 3 = 0").unionByName(wrong), sent.filter("review_id % 3 = 2")):
         part.coalesce(1).write.mode("append").parquet(source)
-    stream = spark.readStream.schema(with_ts.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    out = str(tmp_path / "out")
-    query = (
-        review_stream(stream)
-        .writeStream.outputMode("update")
-        .option("checkpointLocation", str(tmp_path / "state"))
-        .foreachBatch(lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("append").parquet(out))
-        .trigger(availableNow=True)
-        .start()
-    )
-    assert query.awaitTermination(120)
-    last = spark.read.parquet(out).groupBy("card_id").agg(F.max_by(F.struct("*"), "batch").alias("s")).select("s.*")
-    got = {r.card_id: r for r in last.collect()}
-    for r in R.review_state(cards, reviews).collect():
-        s = got[r.card_id]
-        assert (s.repetitions, s.interval_days, s.ease_factor) == (r.repetitions, r.interval_days, r.ease_factor)
-        assert s.late_reviews == (1 if r.card_id == "c0" else 0)
-        assert abs((s.next_review.replace(tzinfo=None) - r.next_review).total_seconds()) < 1e-3
+    stream = spark.readStream.schema(sent.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    rows = {r.card_id: r for r in apply_reviews(stream, cards).collect()}
+    assert rows.keys() == qualities.keys()
+    for card, row in rows.items():
+        close(row, plain(qualities[card], 3, 15.0, 2.0))
+
+
+def test_stream_without_rows_is_an_empty_table(spark, tmp_path):
+    cards, reviews = logs(spark, {"a": [3]})
+    sent = reviews.withColumn("user_id", F.lit(1).cast("bigint"))
+    source = tmp_path / "none"
+    source.mkdir()
+    assert apply_reviews(spark.readStream.schema(sent.schema).parquet(str(source)), cards).count() == 0
 
 
 def test_due_cards_and_counts(spark):
