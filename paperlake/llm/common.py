@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,7 +33,7 @@ def text_batches(batches: Iterator[pa.RecordBatch], chars: int = 1_000_000) -> I
     that and by the longest text."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index("text"))
-        sizes = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
         start = total = 0
         for row, size in enumerate(sizes):
             if total and total + size > chars:

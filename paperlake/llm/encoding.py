@@ -7,24 +7,19 @@ follow each other share the path down to their common prefix, and the forward st
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paperlake.llm.common import text_batches
-from paperlake.llm.pieces import MARK, MEMO_WORDS, Vocabulary, ids_of, segment, spaced, step_states, word_pattern
+from paperlake.llm.pieces import FIRST_STATE, MARK, MEMO_WORDS, Vocabulary, cuts_lines, spaced, step_states, word_pattern
 
-#: Bytes of text whose distinct words are walked together.
-SLICE = 2_000_000
 
-
-def walk(words: list[str], vocabulary: Vocabulary) -> Iterator[tuple[str, tuple[int, ...]]]:
-    """(word, piece ids) of distinct words, visiting their trie depth first."""
-    stack: list = [(0.0, "", 0)]
+def walk(words: list[str], vocabulary: Vocabulary) -> Iterator[tuple[str, bytes]]:
+    """(word, piece ids as int32) of distinct words, visiting their trie depth first."""
+    stack: list = [FIRST_STATE]
     last = ""
     for word in sorted(words):
         shared = 0
@@ -35,10 +30,70 @@ def walk(words: list[str], vocabulary: Vocabulary) -> Iterator[tuple[str, tuple[
         del stack[shared + 1 :]
         stack += [None] * (len(word) - shared)
         step_states(word, shared, stack, vocabulary)
-        yield word, tuple(ids_of(segment(word, stack), vocabulary))
+        yield word, stack[-1][2]
         last = word
 
 
+class Encoder:
+    """Encodes texts; keeps the ids of words it has seen, as bytes.
+
+    A word is kept without its mark. One that starts a further line is kept behind the line break, which is cut off
+    where it stands alone on every path anyway; then it has no mark.
+    """
+
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        self.vocabulary, self.pattern, self.memo = vocabulary, word_pattern(vocabulary), {}
+        self.lines = vocabulary.dummy_prefix and cuts_lines(vocabulary)
+
+    def words(self, text: str) -> list[str]:
+        # Runs of blanks are pieces of their own kind, which the pattern keeps together.
+        if not self.lines or "  " in text or text[0] == " ":
+            return [" " + w for w in self.pattern.findall(spaced(text, self.vocabulary))]
+        first, *rest = text.split("\n")
+        words = first.split(" ")
+        for line in rest:
+            words += ("\n" + line).split(" ")
+        return words
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        split = [self.words(x) if x else [] for x in texts]
+        if len(self.memo) > MEMO_WORDS:
+            self.memo.clear()
+        new: set[str] = set()
+        for words in split:
+            new.update(words)
+        new.difference_update(self.memo)
+        # As the lattice reads them: a blank stands before words that have their marks.
+        parts = {w: [w[1:]] if w[:1] == " " else ["\n", w[1:]] if w[:1] == "\n" else [MARK + w] for w in new}
+        ids = dict(walk(list({x for p in parts.values() for x in p}), self.vocabulary))
+        for word, own in parts.items():
+            self.memo[word] = b"".join([ids[x] for x in own])
+        return [np.frombuffer(b"".join(map(self.memo.__getitem__, words)), np.int32) for words in split]
+
+
+class Decoder:
+    """Turns piece ids into text."""
+
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        parts = {n: p.replace(MARK, " ").encode() for p, n in vocabulary.ids.items()}
+        parts |= {n: bytes([b]) for b, n in enumerate(vocabulary.byte_ids)} | {vocabulary.unknown: " ⁇ ".encode()}
+        self.table = [parts.get(n, b"") for n in range(max(parts, default=0) + 1)]
+        self.dummy_prefix = vocabulary.dummy_prefix
+
+    def decode(self, ids: np.ndarray) -> str:
+        known = ids[(ids >= 0) & (ids < len(self.table))].tolist()
+        text = b"".join(map(self.table.__getitem__, known)).decode("utf-8", "replace")
+        return text[1:] if self.dummy_prefix and text.startswith(" ") else text
+
+
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate(([0], np.cumsum([len(r) for r in rows])))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([*rows, np.zeros(0, np.int32)]), pa.int32()))
+
+
+_IDS = T.StructField("piece_ids", T.ArrayType(T.IntegerType(), False), False)
+
+
 def encode_papers(papers: DataFrame, vocabulary: Vocabulary, carry: Sequence[str] = ()) -> DataFrame:
     """Piece ids of whole papers, as the SentencePiece model of ``vocabulary`` encodes them.
 
@@ -46,31 +101,15 @@ def encode_papers(papers: DataFrame, vocabulary: Vocabulary, carry: Sequence[str
     row: paper_id, piece_ids (array of int; empty for a null or empty text) and the carried columns. A word without a
     piece for some character gets the pieces of its bytes, or the unknown id.
     """
-    out = T.StructType([
-        papers.schema["paper_id"], T.StructField("piece_ids", T.ArrayType(T.IntegerType(), False), False),
-        *[papers.schema[c] for c in carry],
-    ])
-
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pattern, memo = word_pattern(vocabulary), {}
-        for batch in text_batches(batches, SLICE):
-            texts = [pattern.findall(spaced(x, vocabulary)) if x else [] for x in batch.column("text").to_pylist()]
-            if len(memo) > MEMO_WORDS:
-                memo.clear()
-            memo.update(walk(list({w for words in texts for w in words if w not in memo}), vocabulary))
-            sizes = [0]
-            flat = []
-            for words in texts:
-                own = np.fromiter(chain.from_iterable(map(memo.__getitem__, words)), np.int32)
-                flat.append(own)
-                sizes.append(len(own))
-            ids = pa.ListArray.from_arrays(
-                pa.array(np.cumsum(sizes), pa.int32()), pa.array(np.concatenate(flat) if flat else [], pa.int32())
-            )
+        encoder = Encoder(vocabulary)
+        for batch in text_batches(batches):
+            ids = _lists(encoder.encode(batch.column("text").to_pylist()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("paper_id"), ids, *[batch.column(c) for c in carry]], ["paper_id", "piece_ids", *carry]
             )
 
+    out = T.StructType([papers.schema["paper_id"], _IDS, *[papers.schema[c] for c in carry]])
     return papers.select(*dict.fromkeys(["paper_id", "text", *carry])).mapInArrow(task, out)
 
 
@@ -81,35 +120,35 @@ def decode_papers(encoded: DataFrame, vocabulary: Vocabulary, carry: Sequence[st
     no ids; bytes that are no UTF-8 become U+FFFD, unknown ids U+2047 between blanks, ids outside the model nothing) and
     the carried columns. A text comes back as it was, except that a mark (U+2581) in it comes back as a blank.
     """
-    out = T.StructType([
-        encoded.schema["paper_id"], T.StructField("decoded", T.StringType(), False), *[encoded.schema[c] for c in carry],
-    ])
-    parts = {n: p.replace(MARK, " ").encode() for p, n in vocabulary.ids.items()}
-    parts |= {n: bytes([b]) for b, n in enumerate(vocabulary.byte_ids)} | {vocabulary.unknown: " ⁇ ".encode()}
-    cut = 1 if vocabulary.dummy_prefix else 0
-
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = [parts.get(n, b"") for n in range(max(parts, default=0) + 1)]
+        decoder = Decoder(vocabulary)
         for batch in batches:
-            column = batch.column("piece_ids")
-            texts = []
-            for row in range(batch.num_rows):
-                ids = column[row].values
-                ids = ids.to_numpy(zero_copy_only=False) if ids is not None else np.zeros(0, int)
-                ids = ids[(ids >= 0) & (ids < len(table))].tolist()
-                text = b"".join(map(table.__getitem__, ids)).decode("utf-8", "replace")
-                texts.append(text[cut:] if cut and text.startswith(" ") else text)
+            lists = [x.values for x in batch.column("piece_ids")]
+            texts = ["" if x is None else decoder.decode(x.to_numpy(zero_copy_only=False)) for x in lists]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("paper_id"), pa.array(texts, pa.string()), *[batch.column(c) for c in carry]],
                 ["paper_id", "decoded", *carry],
             )
 
+    decoded = T.StructField("decoded", T.StringType(), False)
+    out = T.StructType([encoded.schema["paper_id"], decoded, *[encoded.schema[c] for c in carry]])
     return encoded.select(*dict.fromkeys(["paper_id", "piece_ids", *carry])).mapInArrow(task, out)
 
 
 def round_trips(papers: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """Encode papers, decode them, and say whether the text came back: paper_id, piece_ids, exact (boolean)."""
-    encoded = encode_papers(papers, vocabulary, carry=("text",))
-    decoded = decode_papers(encoded, vocabulary, carry=("piece_ids", "text"))
-    plain = F.translate(F.coalesce("text", F.lit("")), MARK, " ")
-    return decoded.select("paper_id", "piece_ids", (F.col("decoded") == plain).alias("exact"))
+    """Encode papers and decode them again: paper_id, piece_ids, exact (boolean: the text came back).
+
+    ``papers`` and the rows are as in :func:`encode_papers`. Both ways are taken in one task, which reads a text once.
+    """
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, decoder = Encoder(vocabulary), Decoder(vocabulary)
+        for batch in text_batches(batches):
+            texts = batch.column("text").to_pylist()
+            rows = encoder.encode(texts)
+            exact = [decoder.decode(ids) == (text or "").replace(MARK, " ") for ids, text in zip(rows, texts, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("paper_id"), _lists(rows), pa.array(exact, pa.bool_())], ["paper_id", "piece_ids", "exact"]
+            )
+
+    out = T.StructType([papers.schema["paper_id"], _IDS, T.StructField("exact", T.BooleanType(), False)])
+    return papers.select("paper_id", "text").mapInArrow(task, out)

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 
 MARK = "▁"
 #: Entries after which tables of pairs and of words are started anew; they only save work.
-MEMO_PAIRS, MEMO_WORDS = 500_000, 200_000
+MEMO_PAIRS, MEMO_WORDS = 500_000, 400_000
 
 
 @dataclass
@@ -23,7 +23,7 @@ class Vocabulary:
     bpe: bool
     ids: dict[str, int]
     scores: dict[str, float]
-    longest: int
+    endings: dict[str, bytes]  # every ending of a piece: its id in 4 bytes if encoding can give it, else nothing
     unknown: int
     byte_ids: list[int]  # 256 ids, or empty where the model has no byte pieces
     unknown_score: float
@@ -83,7 +83,7 @@ def load_vocabulary(model_file: str) -> Vocabulary:
         raise ValueError("pieces go across words; words of this model cannot be segmented one by one")
     normal = proto.normalizer_spec
     vocabulary = Vocabulary(
-        bpe=spec.model_type == spec.BPE, ids=ids, scores=scores, longest=max(map(len, ids), default=1),
+        bpe=spec.model_type == spec.BPE, ids=ids, scores=scores, endings={},
         unknown=processor.unk_id(), byte_ids=[byte_ids[k] for k in range(256)] if len(byte_ids) == 256 else [],
         unknown_score=min(scores.values(), default=0.0) - 10.0, dummy_prefix=normal.add_dummy_prefix,
         plain=not normal.precompiled_charsmap and not normal.remove_extra_whitespaces,
@@ -92,6 +92,11 @@ def load_vocabulary(model_file: str) -> Vocabulary:
         raise ValueError("models that normalise their input are not read here; normalise the texts before")
     if vocabulary.bpe:
         vocabulary.split = {p: m for p in ids if len(p) > 1 and (m := _last_merge(p, scores)) is not None}
+    for piece in ids:
+        for cut in range(len(piece)):
+            vocabulary.endings.setdefault(piece[cut:], b"")
+        if len(piece) == 1 or not vocabulary.bpe or piece in vocabulary.split:
+            vocabulary.endings[piece] = ids[piece].to_bytes(4, "little")
     return vocabulary
 
 
@@ -132,10 +137,15 @@ def _fits(left: str, right: str, vocabulary: Vocabulary) -> bool:
             ends_right, right = scores[right], b[0]
 
 
+def cuts_lines(vocabulary: Vocabulary) -> bool:
+    """Whether a text can be cut at line breaks: one that is in no piece stands alone on every path, and where bytes are
+    pieces it does not join other unknown characters."""
+    return bool(vocabulary.byte_ids) and not any("\n" in p for p in vocabulary.ids)
+
+
 def word_pattern(vocabulary: Vocabulary) -> re.Pattern[str]:
-    """Cuts a spaced text into marked words. A line break that is in no piece stands alone on every path, so where its
-    bytes are pieces of their own a text can be cut there too."""
-    line = "\n" if vocabulary.byte_ids and not any("\n" in p for p in vocabulary.ids) else ""
+    """Cuts a spaced text into marked words, and lines where that can be done."""
+    line = "\n" if cuts_lines(vocabulary) else ""
     return re.compile(f"{MARK}+[^{MARK}{line}]*|[^{MARK}{line}]+" + ("|\n" if line else ""))
 
 
@@ -144,59 +154,58 @@ def spaced(text: str, vocabulary: Vocabulary) -> str:
     return (MARK if vocabulary.dummy_prefix else "") + text.replace(" ", MARK) if text else ""
 
 
+def unknown_code(letter: str, last: str, vocabulary: Vocabulary) -> bytes:
+    """Ids for a character that is no piece: those of its bytes, or the unknown id. Neighbouring unknown characters are
+    one unknown piece in models without byte pieces."""
+    if vocabulary.byte_ids:
+        return b"".join([vocabulary.byte_ids[b].to_bytes(4, "little") for b in letter.encode("utf-8")])
+    return b"" if last and last not in vocabulary.ids else vocabulary.unknown.to_bytes(4, "little")
+
+
+#: State of an empty prefix: score of its best path, last piece or character, ids as 4 bytes each.
+FIRST_STATE = (0.0, "", b"")
+
+
 def step_states(word: str, start: int, states: list, vocabulary: Vocabulary) -> None:
     """Extend forward states over ``word`` from position ``start`` on.
 
-    ``states[i]`` is (score, last piece or character, where it begins) of the best path over the first i characters;
-    states before ``start`` hold for this word too. Ties go to the longest last piece.
+    ``states[i]`` is that of the best path over the first i characters; those before ``start`` hold for this word too.
+    Ties go to the longest last piece; the library, which adds single precision numbers from the start of the text on,
+    may choose another of the paths that tie. At every end, longer and longer endings are tried for as long as any piece
+    ends like that.
     """
-    scores, longest, bpe = vocabulary.scores, vocabulary.longest, vocabulary.bpe
+    endings, scores, known = vocabulary.endings, vocabulary.scores, vocabulary.fits_memo
     for end in range(start + 1, len(word) + 1):
         best = None
-        for begin in range(max(0, end - longest), end):
-            piece = word[begin:end]
-            score = scores.get(piece)
-            if score is None:
-                if begin < end - 1:
-                    continue
-                score = vocabulary.unknown_score
-            before = states[begin]
-            if bpe:
-                if len(piece) > 1 and piece not in vocabulary.split:
-                    continue
-                if before is None or (before[1] and not fits(before[1], piece, vocabulary)):
-                    continue
-                best = (0.0, piece, begin)
-                break
-            total = before[0] + score
-            if best is None or total > best[0]:
-                best = (total, piece, begin)
+        begin = end - 1
+        piece = word[begin]
+        code = endings.get(piece)
+        if vocabulary.bpe:
+            while True:
+                if code or begin == end - 1:
+                    last = states[begin]
+                    if last is not None:
+                        fit = not last[1] or known.get((last[1], piece))
+                        if fit is None:
+                            fit = fits(last[1], piece, vocabulary)
+                        if fit:
+                            best = (0.0, piece, last[2] + (code or unknown_code(piece, last[1], vocabulary)))
+                            break
+                if code is None or not begin:
+                    break
+                begin -= 1
+                piece = word[begin:end]
+                code = endings.get(piece)
+        else:
+            last = states[begin]
+            own = code or unknown_code(piece, last[1], vocabulary)
+            best = (last[0] + scores.get(piece, vocabulary.unknown_score), piece, last[2] + own)
+            while code is not None and begin:
+                begin -= 1
+                piece = word[begin:end]
+                code = endings.get(piece)
+                if code:
+                    total = states[begin][0] + scores[piece]
+                    if total >= best[0]:
+                        best = (total, piece, states[begin][2] + code)
         states[end] = best
-
-
-def segment(word: str, states: list) -> list[str]:
-    """Pieces of the best path over a whole word."""
-    pieces, end = [], len(word)
-    while end:
-        _, piece, begin = states[end]
-        pieces.append(piece)
-        end = begin
-    return pieces[::-1]
-
-
-def ids_of(pieces: list[str], vocabulary: Vocabulary) -> list[int]:
-    """Ids of pieces; a character that is no piece gives the pieces of its bytes, or the unknown id. Neighbouring
-    unknown characters are one unknown piece in models without byte pieces."""
-    out: list[int] = []
-    ids, byte_ids, after_unknown = vocabulary.ids, vocabulary.byte_ids, False
-    for piece in pieces:
-        number = ids.get(piece)
-        if number is not None:
-            out.append(number)
-            after_unknown = False
-        elif byte_ids:
-            out += [byte_ids[b] for b in piece.encode("utf-8")]
-        elif not after_unknown:
-            out.append(vocabulary.unknown)
-            after_unknown = True
-    return out

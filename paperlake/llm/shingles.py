@@ -94,7 +94,7 @@ def partitions_of(end: int, percent: int) -> int:
 def signatures(elements: np.ndarray, tag: int, percent: int) -> np.ndarray:
     """The set's signatures under one size tag, as rows of (signature, info).
 
-    info holds the size of the set, the tag, and the number of empty ranges that have no signature.
+    info holds the size of the set, the tag, and the number of empty ranges.
 
     ``elements`` is sorted, so cutting the 64-bit domain in equal ranges makes every partition a run. At most ``bound``
     of the ``parts`` partitions differ between two sets that are similar enough, so at least ``parts - bound`` agree
@@ -109,18 +109,41 @@ def signatures(elements: np.ndarray, tag: int, percent: int) -> np.ndarray:
     salt = np.uint64((tag * 0x9E3779B97F4A7C15 + 0x1234567) % 2**64)
     filled = place[starts]
     own = mix(sums * GOLDEN + filled + salt)
-    info = (len(elements) << 32) | (tag << 24)
+    info = (len(elements) << 32) | (tag << 24) | (parts - len(filled))
     if len(filled) > distance_bound(end, percent):
-        return _with_info(own, info | (parts - len(filled)))
+        return _with_info(own, info)
     empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), filled)
     return _with_info(np.concatenate((own, mix(mix(empty + salt) + GOLDEN))), info)
 
 
 def _with_info(own: np.ndarray, info: int) -> np.ndarray:
-    return np.column_stack((own.view(np.int64), np.full(len(own), info, np.int64)))
+    # 48 bits: a chance agreement of two of them is one more candidate at worst, which the counts and the comparison
+    # of the sets turn down.
+    return np.column_stack(((own >> np.uint64(16)).view(np.int64), np.full(len(own), info, np.int64)))
 
 
-def all_signatures(elements: np.ndarray, percent: int) -> np.ndarray:
+def all_signatures(elements: np.ndarray, percent: int) -> list[np.ndarray]:
     """Signatures of a set under its own band's tag and the next one; two sets of neighbouring bands share a tag."""
     band = band_of(len(elements), percent)
-    return np.concatenate([signatures(elements, band + k, percent) for k in (0, 1)])
+    return [signatures(elements, band + k, percent) for k in (0, 1)]
+
+
+def pack_signatures(parts: list[np.ndarray]) -> bytes:
+    """Per tag: info and number as 8 bytes each, then 6 bytes a signature."""
+    return b"".join(
+        np.array([part[0, 1], len(part)], np.int64).tobytes()
+        + np.ascontiguousarray(part[:, 0]).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+        for part in parts
+    )
+
+
+def unpack_signatures(packed: bytes) -> np.ndarray:
+    """Rows of (signature, info)."""
+    parts, at = [], 0
+    while at < len(packed):
+        info, count = np.frombuffer(packed, np.int64, 2, at)
+        wide = np.zeros((count, 8), np.uint8)
+        wide[:, :6] = np.frombuffer(packed, np.uint8, count * 6, at + 16).reshape(-1, 6)
+        parts.append(np.column_stack((wide.view(np.int64).ravel(), np.full(count, info))))
+        at += 16 + int(count) * 6
+    return np.concatenate(parts)
