@@ -16,13 +16,12 @@ from paperlake.functions.text import (
     yaml_quote,
 )
 from paperlake.operators.knowledge import IMPORTANCE, CONFIDENCE, entity_papers, global_entities
-from paperlake.operators.skew import HOT_ROWS, ordered_text
 from paperlake.schemas import KnowledgeBase
-from paperlake.session import stored
 
 SCHEMA_VERSION = "1.0.0"
 KEY_PREFIX = "paperlake"
-LINE_ORDER = ["sec", "k", "a", "b"]
+# Lines of so many chunks are one part of a note; lines in order of a text (a time, an id) go by its first characters.
+CHUNKS_IN_PART, KEY_IN_PART = 64, 10
 
 
 def text_or_empty(c: Column | str) -> Column:
@@ -138,25 +137,49 @@ def section_lines(
     return rows.filter(F.col("line").isNotNull())
 
 
-def with_headings(lines: DataFrame, keys: list[str], headings: dict[int, str], closing: dict[int, str]) -> DataFrame:
-    """Add a first line to every section present, and a last one to those in ``closing``.
+def note_parts(lines: DataFrame, keys: list[str], headings: dict[int, str], closing: dict[int, str]) -> DataFrame:
+    """Lines of notes gathered into parts: ``(*keys, part, heading, content, closing)``.
 
-    The lines are stored first: they come out of many joins and are read again to find the sections present (a distinct
-    that combines before its shuffle), to size the notes, and to join them.
+    A part is a run of a section's lines. Which part a line is in depends on the line alone, so notes of any length are
+    gathered alike, in one shuffle, and a long one is spread over tasks. ``part`` sorts the parts of a note. The heading
+    of a section stands before its first part and its closing after the last one (:func:`whole_notes`).
     """
-    lines = stored(lines)
-    present = lines.select(*keys, "sec").distinct()
-
-    def marks(texts: dict[int, str], k: str, a: int) -> DataFrame:
-        by_sec = F.create_map(*[F.lit(x) for pair in texts.items() for x in pair])
-        return present.filter(F.col("sec").isin(*texts)).select(
-            *keys, "sec", F.lit(k).alias("k"), F.lit(a).cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("b"),
-            by_sec[F.col("sec")].alias("line"),
+    def of_section(texts: dict[int, str]) -> Column:
+        pairs = [F.lit(x) for pair in texts.items() for x in pair]
+        return F.create_map(*pairs)[F.col("part.sec")] if pairs else F.lit(None).cast("string")
+
+    by_chunk = F.when(F.col("k") == "", F.floor(F.col("a") / CHUNKS_IN_PART)).otherwise(0)
+    part = F.struct("sec", F.substring("k", 1, KEY_IN_PART).alias("k"), by_chunk.alias("a"))
+    ordered = F.sort_array(F.collect_list(F.struct("k", "a", "b", "line")))
+    parts = lines.groupBy(*keys, part.alias("part")).agg(
+        F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("content")
+    )
+    return parts.select(*keys, "part", of_section(headings).alias("heading"), "content", of_section(closing).alias("closing"))
+
+
+def whole_notes(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """``(*keys, content)``: the parts of every note put together. A note's text is one value here; what has to scale
+    beyond that works on the parts."""
+    rows = F.sort_array(F.collect_list(F.struct("part", "heading", "content", "closing")))
+
+    def other(at: Column, i: Column) -> Column:
+        return ~F.get("_parts", at)["part"]["sec"].eqNullSafe(F.get("_parts", i)["part"]["sec"])
+
+    def lines(x: Column, i: Column) -> Column:
+        return F.array(
+            F.when((i == 0) | other(i - 1, i), x["heading"]), x["content"], F.when(other(i + 1, i), x["closing"])
         )
 
-    out = lines.unionByName(marks(headings, "", -(2**62)))
-    # The highest code point sorts after every order key.
-    return out.unionByName(marks(closing, "\U0010ffff", 2**62)) if closing else out
+    texts = F.filter(F.flatten(F.transform("_parts", lines)), lambda x: x.isNotNull())
+    return parts.groupBy(*keys).agg(rows.alias("_parts")).select(*keys, F.array_join(texts, "\n").alias("content"))
+
+
+def note_hashes(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """``(*keys, content_hash)``: sha256 over the hashes of a note's parts in order."""
+    own = F.sha2(F.concat_ws("\x00", "heading", "content", "closing"), 256).alias("h")
+    rows = F.sort_array(F.collect_list(F.struct("part", own)))
+    joined = F.array_join(F.transform(rows, lambda x: x["h"]), "")
+    return parts.groupBy(*keys).agg(F.sha2(joined, 256).alias("content_hash"))
 
 
 def _by_pos(items: DataFrame, sec: int, line: Column) -> DataFrame:
@@ -167,8 +190,8 @@ def _by_pos(items: DataFrame, sec: int, line: Column) -> DataFrame:
     return section_lines(items, ["paper_id"], sec, line, F.lit(""), chunk, pos)
 
 
-def paper_note_lines(kb: KnowledgeBase, key_prefix: str = KEY_PREFIX) -> DataFrame:
-    """Lines of the plain paper notes: front matter, metadata, abstract, then one section per kind of item."""
+def paper_note_parts(kb: KnowledgeBase, key_prefix: str = KEY_PREFIX) -> DataFrame:
+    """Parts of the plain paper notes: front matter, metadata, abstract, then one section per kind of item."""
     m = {n: F.col(f"metadata.{n}") for n in ("title", "year", "doi", "venue", "abstract", "keywords")}
     title = F.coalesce(m["title"], F.lit(UNTITLED))
 
@@ -221,12 +244,12 @@ def paper_note_lines(kb: KnowledgeBase, key_prefix: str = KEY_PREFIX) -> DataFra
     headings = {
         1: "## Key Concepts", 2: "## Relationships", 3: "## Key Findings", 4: "## Methods", 5: "## Flashcards"
     }
-    return with_headings(lines, ["paper_id"], headings, {1: "", 2: "", 3: ""})
+    return note_parts(lines, ["paper_id"], headings, {1: "", 2: "", 3: ""})
 
 
-def paper_notes(kb: KnowledgeBase, key_prefix: str = KEY_PREFIX, limit: int = HOT_ROWS) -> DataFrame:
-    """``(paper_id, part_no, content, lines_hash)``; see ``ordered_text`` for notes of several parts."""
-    return ordered_text(paper_note_lines(kb, key_prefix), ["paper_id"], LINE_ORDER, "line", limit=limit)
+def paper_notes(kb: KnowledgeBase, key_prefix: str = KEY_PREFIX) -> DataFrame:
+    """``(paper_id, content)``."""
+    return whole_notes(paper_note_parts(kb, key_prefix), ["paper_id"])
 
 
 def _quoted_literal(c: Column) -> Column:
@@ -241,8 +264,8 @@ def _time_key(created_at: str, *rest: str) -> Column:
     return F.concat_ws("/", stamp, *[F.col(c) for c in rest])
 
 
-def entity_note_lines(kb: KnowledgeBase) -> DataFrame:
-    """Lines of the plain entity notes, per user and key: attributes of the first appearance, then every paper title."""
+def entity_note_parts(kb: KnowledgeBase) -> DataFrame:
+    """Parts of the plain entity notes, per user and key: attributes of the first appearance, then every paper title."""
     keys = ["user_id", "entity_key"]
     first = global_entities(kb.entities, kb.papers)
     header = F.concat_ws(
@@ -266,32 +289,29 @@ def entity_note_lines(kb: KnowledgeBase) -> DataFrame:
             _time_key("created_at", "paper_id"), F.col("first_chunk"), F.col("first_pos"),
         )
     )
-    return with_headings(lines, keys, {1: "## Appears In"}, {1: ""})
+    return note_parts(lines, keys, {1: "## Appears In"}, {1: ""})
 
 
-def entity_notes(kb: KnowledgeBase, limit: int = HOT_ROWS) -> DataFrame:
-    return ordered_text(entity_note_lines(kb), ["user_id", "entity_key"], LINE_ORDER, "line", limit=limit)
+def entity_notes(kb: KnowledgeBase) -> DataFrame:
+    """``(user_id, entity_key, content)``."""
+    return whole_notes(entity_note_parts(kb), ["user_id", "entity_key"])
 
 
-def content_hash(content: Column, lines_hash: Column) -> Column:
-    """sha256 of a note's text; for a note of several parts the hash of its ordered lines."""
-    return F.coalesce(lines_hash, F.sha2(content, 256))
+def note_paths(notes: DataFrame, folder: str, item: Column) -> DataFrame:
+    """Add ``relative_path`` below the user's own folder. Of notes with one name, ignoring case, the first by ``item``
+    has it plain and the others carry a hash of theirs, so no two notes meet."""
+    own = notes.withColumns({"_item": item.cast("string"), "_name": F.lower("name")})
+    first = own.groupBy("user_id", "_name").agg(F.min("_item").alias("_first"))
+    suffix = F.when(F.col("_item") != F.col("_first"), F.concat(F.lit("-"), F.substring(F.sha2("_item", 256), 1, 16)))
+    path = F.concat(F.col("user_id").cast("string"), F.lit(f"/{folder}/"), F.col("name"), text_or_empty(suffix), F.lit(".md"))
+    return own.join(first, ["user_id", "_name"]).withColumn("relative_path", path).drop("_item", "_name", "_first")
 
 
-def notes_table(kb: KnowledgeBase, key_prefix: str = KEY_PREFIX, limit: int = HOT_ROWS) -> DataFrame:
-    """All plain notes: ``(user_id, relative_path, part_no, content, content_hash)``."""
+def notes_table(kb: KnowledgeBase, key_prefix: str = KEY_PREFIX) -> DataFrame:
+    """All plain notes in parts: ``(relative_path, user_id, part, heading, content, closing)``; paths are unique."""
     titles = kb.papers.select("paper_id", "user_id", safe_filename(F.coalesce("title", F.lit(UNTITLED))).alias("name"))
-    papers = paper_notes(kb, key_prefix, limit).join(titles, "paper_id")
     names = global_entities(kb.entities, kb.papers).select("user_id", "entity_key", safe_filename(F.col("name")).alias("name"))
-    entities = entity_notes(kb, limit).join(names, ["user_id", "entity_key"])
-
-    def shaped(df: DataFrame, folder: str) -> DataFrame:
-        return df.select(
-            "user_id",
-            F.concat(F.lit(folder + "/"), F.col("name"), F.lit(".md")).alias("relative_path"),
-            "part_no",
-            "content",
-            content_hash(F.col("content"), F.col("lines_hash")).alias("content_hash"),
-        )
-
-    return shaped(papers, "papers").unionByName(shaped(entities, "entities"))
+    papers = paper_note_parts(kb, key_prefix).join(note_paths(titles, "papers", F.col("paper_id")), "paper_id")
+    entities = entity_note_parts(kb).join(note_paths(names, "entities", F.col("entity_key")), ["user_id", "entity_key"])
+    columns = ["relative_path", "user_id", "part", "heading", "content", "closing"]
+    return papers.select(*columns).unionByName(entities.select(*columns))

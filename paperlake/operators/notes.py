@@ -3,23 +3,22 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from paperlake.functions.text import UNTITLED, WS, key_nfkc, or_default, sanitize_name, strip, yaml_quote
 from paperlake.operators.export import (
     KEY_PREFIX,
-    LINE_ORDER,
-    content_hash,
+    note_parts,
     optional,
     section_lines,
     text_or_empty,
-    with_headings,
+    whole_notes,
     _by_pos,
     _time_key,
 )
 from paperlake.operators.knowledge import ENTITY_TYPE, incident_relations
 from paperlake.operators.lifecycle import mapping_id, note_target
-from paperlake.operators.skew import HOT_ROWS, numbered, ordered_text
 from paperlake.schemas import KnowledgeBase
 
 # Wording of the note format.
@@ -168,7 +167,7 @@ def _linked_relations(relations: DataFrame, entity_links: DataFrame) -> DataFram
     return with_links(with_links(named, "source", "_from", entity_links), "target", "_to", entity_links)
 
 
-def linked_paper_note_lines(
+def linked_paper_note_parts(
     kb: KnowledgeBase,
     paper_links: DataFrame,
     entity_links: DataFrame,
@@ -176,9 +175,8 @@ def linked_paper_note_lines(
     live_cards: DataFrame | None = None,
     live_annotations: DataFrame | None = None,
     key_prefix: str = KEY_PREFIX,
-    limit: int = HOT_ROWS,
 ) -> DataFrame:
-    """Lines of the linked paper notes.
+    """Parts of the linked paper notes.
 
     ``paper_links``: (paper_id, target), the name of each paper's note. ``summaries``: (task_id, summary_page).
     Live cards replace a document's own where the paper has any; annotations come from the live table only.
@@ -288,7 +286,7 @@ def linked_paper_note_lines(
         own = live_cards.join(owners, ["paper_id", "user_id"], "left_semi")
         live = own.select(*columns, F.lit(0).alias("_a"), F.lit(0).cast("bigint").alias("_b"), F.col("card_id").alias("_c"))
         rows = rows.join(own.select("paper_id"), "paper_id", "left_anti").unionByName(live)
-    shown = numbered(rows, ["paper_id"], ["_a", "_b", "_c"], "n", limit)
+    shown = _numbered(rows)
     shown = shown.withColumn("next_review", _iso(shown, "next_review"))
     lines = lines.unionByName(section_lines(shown, ["paper_id"], 11, card, F.lit(""), F.lit(0), F.col("n")))
 
@@ -308,7 +306,7 @@ def linked_paper_note_lines(
         )
     # Methods and cards end with a blank line of their own.
     closing = {sec: "" for sec in HEADINGS if sec not in (9, 11)}
-    return with_headings(lines, ["paper_id"], HEADINGS, closing)
+    return note_parts(lines, ["paper_id"], HEADINGS, closing)
 
 
 def _struct_body(ddl: str) -> str:
@@ -324,24 +322,36 @@ def _iso(df: DataFrame, name: str) -> Column:
     return F.regexp_replace(F.date_format(name, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), r"\.000000\z", "")
 
 
-def _finish(notes: DataFrame) -> DataFrame:
-    """Single-part notes end with exactly one newline."""
-    tidy = F.concat(F.regexp_replace("content", rf"{WS}+\z", ""), F.lit("\n"))
-    return notes.withColumn("content", F.when(F.col("lines_hash").isNull(), tidy).otherwise(F.col("content")))
+def _numbered(cards: DataFrame) -> DataFrame:
+    """Number the cards of each paper from 1 as ``n``, in the order (_a, _b, _c).
 
+    Runs of cards are counted, the runs' places follow from their sizes, and only the cards of a run are ordered
+    together: a paper with very many cards is not sorted by one task.
+    """
+    run = ["paper_id", "_a", "_run"]
+    placed = cards.withColumn("_run", F.when(F.col("_c") == "", F.floor(F.col("_b") / 1024).cast("string")).otherwise(F.substring("_c", 1, 6)))
+    order = [F.col("_a"), F.when(F.col("_own"), F.col("_least")), F.col("_run")]
+    sizes = placed.groupBy(*run, (F.col("_c") == "").alias("_own")).agg(F.count("*").alias("_size"), F.min("_b").alias("_least"))
+    before = W.partitionBy("paper_id").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select(*run, F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(W.partitionBy(*run).orderBy("_b", "_c"))
+    return placed.withColumn("_n", inside).join(offsets, run).withColumn("n", F.col("_before") + F.col("_n")).drop("_run", "_n", "_before")
 
-def linked_paper_notes(
-    kb: KnowledgeBase, paper_links: DataFrame, entity_links: DataFrame, limit: int = HOT_ROWS, **options
-) -> DataFrame:
-    """``(paper_id, part_no, content, lines_hash)``."""
-    lines = linked_paper_note_lines(kb, paper_links, entity_links, limit=limit, **options)
-    return _finish(ordered_text(lines, ["paper_id"], LINE_ORDER, "line", limit=limit))
+
+def _finished(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Whole notes that end with exactly one newline."""
+    return whole_notes(parts, keys).withColumn("content", F.concat(F.regexp_replace("content", rf"{WS}+\z", ""), F.lit("\n")))
 
 
-def linked_entity_note_lines(
+def linked_paper_notes(kb: KnowledgeBase, paper_links: DataFrame, entity_links: DataFrame, **options) -> DataFrame:
+    """``(paper_id, content)``."""
+    return _finished(linked_paper_note_parts(kb, paper_links, entity_links, **options), ["paper_id"])
+
+
+def linked_entity_note_parts(
     entities: DataFrame, links: DataFrame, relations: DataFrame, entity_links: DataFrame, key_prefix: str = KEY_PREFIX
 ) -> DataFrame:
-    """Lines of the linked entity notes, per user and link key.
+    """Parts of the linked entity notes, per user and link key.
 
     ``entities``: ``note_entities``; attributes come from the first paper. ``links``: ``entity_paper_links``.
     ``relations``: (user_id, source, target, …) of all papers of the user.
@@ -381,12 +391,12 @@ def linked_entity_note_lines(
             )
         )
     )
-    return with_headings(lines, keys, {1: APPEARS_IN, 2: RELATED}, {1: "", 2: ""})
+    return note_parts(lines, keys, {1: APPEARS_IN, 2: RELATED}, {1: "", 2: ""})
 
 
 def linked_entity_notes(
-    entities: DataFrame, links: DataFrame, relations: DataFrame, entity_links: DataFrame,
-    key_prefix: str = KEY_PREFIX, limit: int = HOT_ROWS,
+    entities: DataFrame, links: DataFrame, relations: DataFrame, entity_links: DataFrame, key_prefix: str = KEY_PREFIX
 ) -> DataFrame:
-    lines = linked_entity_note_lines(entities, links, relations, entity_links, key_prefix)
-    return _finish(ordered_text(lines, ["user_id", "entity_key"], LINE_ORDER, "line", limit=limit))
+    """``(user_id, entity_key, content)``."""
+    parts = linked_entity_note_parts(entities, links, relations, entity_links, key_prefix)
+    return _finished(parts, ["user_id", "entity_key"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -20,6 +21,8 @@ from paperlake.operators import srs as R
 from paperlake.operators import text as T
 from paperlake.plans.bindings import NOW, Tables, now
 from paperlake.plans.oracles import OMITTED, STAMP, _bib, _id, _safe, _sanitize, _squeeze, _strip, _unwrap_once, _yaml, sql
+from paperlake.schemas import DOCUMENT
+from paperlake.session import stored, work_dir
 from paperlake.sources import documents as D
 from paperlake.sources import files as S
 from paperlake.streaming.reviews import apply_reviews, latest_state_stream
@@ -1367,7 +1370,7 @@ _LINKED_PAPER = f""", ne AS (SELECT d.user_id, e.paper_id, {_squeeze('lower(name
   cd AS (SELECT paper_id, front, back, tag, difficulty, row_number() OVER (PARTITION BY paper_id ORDER BY pos) AS n FROM kcards ANTI JOIN own USING (paper_id)
     UNION ALL SELECT paper_id, front, back, back, 3, row_number() OVER (PARTITION BY paper_id ORDER BY card_id) FROM own),
   an AS (SELECT a.* FROM annots a JOIN done d ON a.paper_id = d.paper_id AND a.user_id = d.user_id)
-SELECT paper_id, 0 AS part_no, regexp_replace(concat_ws({_NL}, '---', 'paperlake_id: ' || {_yaml('paper_id')}, 'paperlake_type: "paper"', 'title: ' || {_yaml('title')}, '---' || {_NL},
+SELECT paper_id, regexp_replace(concat_ws({_NL}, '---', 'paperlake_id: ' || {_yaml('paper_id')}, 'paperlake_type: "paper"', 'title: ' || {_yaml('title')}, '---' || {_NL},
   '# ' || title || {_NL}, '个人笔记：[[' || {_sanitize(_sanitize('title') + " || ' - Notes'")} || ']]' || {_NL}, '{N.HEADINGS[2]}',
   '- 作者：' || CASE WHEN o_orderkey % 2 = 0 THEN authors[1] || ' (' || split_part(title, '/', 1) || '), Cher' ELSE authors[1] END, '- 年份：' || year, '- 会议/期刊：' || venue,
   '- DOI：' || doi, '- 关键词：' || array_to_string(keywords, ', '), '', '{N.HEADINGS[3]}' || {_NL} || abstract || {_NL}, b5, b6, b7, b8, b9, b10, b11, b12), '[ \\s]+$', '') || {_NL} AS content
@@ -1387,7 +1390,7 @@ def e7(t: Tables) -> DataFrame:
     kb, _, papers, _, links = _linked(t)
     live = t.live_cards().withColumns({"tags": F.array("back"), "difficulty": F.lit(3), "next_review": now()})
     notes = N.linked_paper_notes(kb, papers, links, live_cards=live, live_annotations=t.annotations())
-    return notes.select("paper_id", "part_no", "content")
+    return notes.select("paper_id", "content")
 
 
 _LINKED_ENTITY = f""", ne AS (SELECT d.user_id, d.created_at, e.paper_id, {_squeeze('lower(name)')} AS k, trim(name) AS name, type, definition
@@ -1402,7 +1405,7 @@ _LINKED_ENTITY = f""", ne AS (SELECT d.user_id, d.created_at, e.paper_id, {_sque
   inc AS (SELECT user_id, s AS k, * EXCLUDE (user_id) FROM ends UNION ALL SELECT user_id, g, * EXCLUDE (user_id) FROM ends WHERE s <> g),
   rl AS (SELECT i.user_id, i.k, string_agg('- [[' || coalesce(a.target, {_sanitize('i.source')}) || ']] **' || i.type || '** [[' || coalesce(b.target, {_sanitize('i.target')}) || ']]：' || i.description,
       {_NL} ORDER BY i.paper_id, i.chunk_no, i.pos) AS l FROM inc i LEFT JOIN lk a ON a.user_id = i.user_id AND a.k = i.s LEFT JOIN lk b ON b.user_id = i.user_id AND b.k = i.g GROUP BY 1, 2)
-SELECT f.user_id, f.k AS entity_key, 0 AS part_no, concat_ws({_NL}, '---', 'paperlake_type: "entity"', 'paperlake_entity_key: ' || {_yaml('f.k')}, 'name: ' || {_yaml('f.name')},
+SELECT f.user_id, f.k AS entity_key, concat_ws({_NL}, '---', 'paperlake_type: "entity"', 'paperlake_entity_key: ' || {_yaml('f.k')}, 'name: ' || {_yaml('f.name')},
   'type: ' || {_yaml('f.type')}, '---' || {_NL}, '# ' || f.name || {_NL}, f.definition || {_NL}, '{N.APPEARS_IN}', ls.l, CASE WHEN rl.l IS NOT NULL THEN {_NL} || '{N.RELATED}' || {_NL} || rl.l END) || {_NL} AS content
 FROM f LEFT JOIN ls USING (user_id, k) LEFT JOIN rl USING (user_id, k)"""
 
@@ -1413,29 +1416,88 @@ def e8(t: Tables) -> DataFrame:
     paper_links = K.entity_paper_links(mapping, kb.entities, kb.papers)
     relations = K.with_paper(kb.relations, kb.papers, "user_id")
     ordered = K.with_paper(entities, kb.papers, "created_at")
-    return N.linked_entity_notes(ordered, paper_links, relations, links).select("user_id", "entity_key", "part_no", "content")
+    return N.linked_entity_notes(ordered, paper_links, relations, links).select("user_id", "entity_key", "content")
 
 
 @query(
     "e9_export_documents",
-    sql("done", "SELECT paper_id, title, year, list_extract(authors, 1) AS first_author FROM done"),
+    sql(
+        "done ents rels global_",
+        """SELECT 'paper' AS kind, paper_id AS id, title AS name, CAST(year AS BIGINT) AS year, coalesce(e, 0) AS items FROM done
+          LEFT JOIN (SELECT paper_id, count(*) AS e FROM ents GROUP BY 1) USING (paper_id)
+        UNION ALL SELECT 'entity', user_id || '/' || entity_key, name, CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM (
+          SELECT g.* FROM global_ g SEMI JOIN done USING (paper_id)
+          QUALIFY row_number() OVER (PARTITION BY g.user_id, entity_key ORDER BY g.created_at, g.paper_id, first_chunk, first_pos) = 1)
+        UNION ALL SELECT 'manifest', '1.0.0', '2024-02-01', 0, 0""",
+    ),
 )
 def e9(t: Tables) -> DataFrame:
-    """The paper documents of the full export, read back."""
-    docs = D.parse_knowledge(D.assemble_documents(t.knowledge(keep=True), now(), "m"))
-    m = "knowledge.metadata"
-    return docs.filter("part_no = 0").select(
-        "paper_id", f"{m}.title", f"{m}.year", F.get(f"{m}.authors", F.lit(0))["name"].alias("first_author")
+    """The full export, written and read back: every part of the papers, the global entities, and the manifest."""
+    kb, path = t.knowledge(keep=True), f"{work_dir(t.spark)}/paperlake-export-{uuid.uuid4().hex}"
+    D.export_all(D.assemble_documents(kb, now(), "m"), K.global_entities(kb.entities, kb.papers), "2024-02-01", path)
+    papers = t.spark.read.schema(DOCUMENT).json(f"{path}/papers")
+    zero = F.lit(0).cast("bigint")
+    heads = papers.groupBy("id").agg(
+        F.max("metadata.title").alias("name"), F.max("metadata.year").cast("bigint").alias("year"),
+        F.sum(F.size("entities")).cast("bigint").alias("items"),
+    )
+    entities = t.spark.read.schema("user_id long, entity_key string, name string").json(f"{path}/global_entities")
+    manifest = t.spark.read.schema("schema_version string, exported_at string").json(f"{path}/manifest")
+    return (
+        heads.select(F.lit("paper").alias("kind"), "id", "name", "year", "items")
+        .unionByName(entities.select(F.lit("entity").alias("kind"), F.concat_ws("/", "user_id", "entity_key").alias("id"), "name", zero.alias("year"), zero.alias("items")))
+        .unionByName(manifest.select(F.lit("manifest").alias("kind"), F.col("schema_version").alias("id"), F.col("exported_at").alias("name"), zero.alias("year"), zero.alias("items")))
     )
 
 
 @query(
     "e10_notes_table",
     sql(
-        "ents done",
-        f"""{_DONE_FIRSTS} x AS (SELECT 1) SELECT user_id, 'papers/' || {_safe('title')} || '.md' AS relative_path FROM done
-        UNION ALL SELECT user_id, 'entities/' || {_safe('name')} || '.md' FROM f""",
+        "done ents rels findings items kcards",
+        f"""SELECT user_id || '/papers/' || {_safe('title')} || '.md' AS relative_path, sha256(content) AS content_hash
+          FROM done JOIN ({_PAPER_NOTE}) n USING (paper_id)
+        UNION ALL SELECT user_id || '/entities/' || {_safe('name')} || CASE WHEN entity_key <> min(entity_key) OVER (PARTITION BY user_id, lower({_safe('name')}))
+            THEN '-' || substr(sha256(entity_key), 1, 16) ELSE '' END || '.md', sha256(content)
+          FROM (WITH {_ENTITY_NOTE.lstrip(', ').replace('SELECT user_id, entity_key, concat_ws', 'SELECT user_id, entity_key, name, concat_ws')})""",
     ),
 )
 def e10(t: Tables) -> DataFrame:
-    return E.notes_table(t.knowledge(keep=True)).select("user_id", "relative_path")
+    notes = E.whole_notes(E.notes_table(t.knowledge(keep=True)), ["relative_path"])
+    return notes.select("relative_path", F.sha2("content", 256).alias("content_hash"))
+
+
+@query(
+    "s6_export_sinks",
+    sql(
+        "ents done",
+        """SELECT f AS format, e.id, e.name, e.definition FROM ents e JOIN done USING (paper_id), unnest(['csv', 'json', 'text']) AS u(f)""",
+    ),
+)
+def s6(t: Tables) -> DataFrame:
+    """Entity rows written as CSV, JSON lines and text, and read back."""
+    rows = stored(E.export_entities(t.knowledge()))
+    path = f"{work_dir(t.spark)}/paperlake-sinks-{uuid.uuid4().hex}"
+    S.write_export(rows, "csv", f"{path}/csv")
+    S.write_export(rows, "json", f"{path}/json")
+    S.write_export(rows.select(F.to_json(F.struct("id", "name", "definition")).alias("value")), "text", f"{path}/text")
+    schema = "id string, name string, definition string"
+    csv = t.spark.read.options(header="true", ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false", quote='"', escape='"', multiLine="true").csv(f"{path}/csv").select("id", "name", "definition")
+    text = t.spark.read.text(f"{path}/text").select(F.inline(F.array(F.from_json("value", schema))))
+    json = t.spark.read.schema(schema).json(f"{path}/json")
+    out = [df.select(F.lit(name).alias("format"), "id", "name", "definition") for name, df in (("csv", csv), ("json", json), ("text", text))]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query(
+    "s4_read_notes",
+    sql("done", f"SELECT user_id || '/papers/' || {_safe('title')} || '.md' AS relative_path, title, paper_id AS note_id FROM done"),
+)
+def s4_files(t: Tables) -> DataFrame:
+    """Paper notes written as files in the run, read back with their front matter."""
+    kb = t.knowledge()
+    names = kb.papers.select("paper_id", "user_id", X.safe_filename(F.col("title")).alias("name"))
+    paths = E.note_paths(names, "papers", F.col("paper_id"))
+    root = f"{work_dir(t.spark)}/paperlake-vault-{uuid.uuid4().hex}"
+    S.materialise_notes(E.paper_notes(kb).join(paths, "paper_id"), root.removeprefix("file://"))
+    m = F.col("front_matter")
+    return S.read_notes(t.spark, root).select("relative_path", m["title"].alias("title"), m["paperlake_id"].alias("note_id"))

@@ -38,16 +38,6 @@ def work_dir(spark: SparkSession) -> str:
     return shared or _private[application]
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on a table that has fewer input splits than the session has cores.
-
-    Costly expressions on a few large row groups would run in as few tasks. Tables with many splits, which is what a
-    cluster reads, are returned as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from paperlake.functions.text import key_simple
 from paperlake.operators.export import SCHEMA_VERSION
 from paperlake.operators.rows import exploded
-from paperlake.operators.skew import HOT_ROWS, ordered_parts, split_hot
 from paperlake.schemas import DOCUMENT, KnowledgeBase
 from paperlake.session import stored
 
@@ -102,29 +101,24 @@ def _tagged(kb: KnowledgeBase) -> DataFrame:
     return out
 
 
-def assemble_documents(
-    kb: KnowledgeBase, extracted_at: Column, model: str, limit: int = HOT_ROWS
-) -> DataFrame:
+# Entities and relations of so many chunks go into one document.
+CHUNKS_IN_PART = 64
+
+
+def assemble_documents(kb: KnowledgeBase, extracted_at: Column, model: str) -> DataFrame:
     """Stored documents ``(paper_id, part_no, knowledge_json)``.
 
-    All item kinds meet in one shuffle by paper. A paper with more than ``limit`` items becomes several documents, each
-    with a range of its items; readers explode them, so nothing else changes for them.
+    All item kinds meet in one shuffle by paper and part. Which part an item is in follows from its chunk alone
+    (``CHUNKS_IN_PART``), so a paper of few chunks is one document and a very long one is several, of a bounded number of
+    model answers each; readers explode them. Part 0 is the head with the metadata.
     """
-    items = stored(_tagged(kb))
-    cold, hot, n_hot = split_hot(items, ["paper_id"], limit)
-
-    def grouped(df: DataFrame, part: Column) -> DataFrame:
-        def listed(kind: str) -> Column:
-            ordered = F.sort_array(F.collect_list(F.when(F.col(kind).isNotNull(), F.struct("a", "b", kind))))
-            return F.transform(ordered, lambda x: x[kind]).alias(kind)
+    items = _tagged(kb).withColumn("part_no", F.floor(F.col("a") / CHUNKS_IN_PART).cast("int"))
 
-        return df.withColumn("part_no", part).groupBy("paper_id", "part_no").agg(*[listed(k) for k in _PARTS])
+    def listed(kind: str) -> Column:
+        ordered = F.sort_array(F.collect_list(F.when(F.col(kind).isNotNull(), F.struct("a", "b", kind))))
+        return F.transform(ordered, lambda x: x[kind]).alias(kind)
 
-    bodies = grouped(cold, F.lit(0))
-    if hot is not None:
-        # The head keeps part 0; the ranges follow from 1.
-        parts = ordered_parts(hot, ["paper_id"], [F.col("kind"), F.col("a"), F.col("b")], n_hot, limit)
-        bodies = bodies.unionByName(grouped(parts, F.col("_part") + 1))
+    bodies = items.groupBy("paper_id", "part_no").agg(*[listed(k) for k in _PARTS])
     heads = kb.papers.select("paper_id", F.lit(0).alias("part_no"), "metadata")
     joined = heads.join(bodies, ["paper_id", "part_no"], "full_outer")
 

@@ -109,7 +109,7 @@ def write_export(df: DataFrame, fmt: str, path: str) -> None:
     if fmt == "csv":
         writer.option("header", "true").option("quote", '"').option("escape", '"').option("emptyValue", "").option(
             "lineSep", "\r\n"
-        ).csv(path)
+        ).option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(path)
     elif fmt == "json":
         writer.json(path)
     elif fmt == "text":
@@ -118,27 +118,30 @@ def write_export(df: DataFrame, fmt: str, path: str) -> None:
         raise ValueError(f"unknown export format: {fmt}")
 
 
-def write_notes(notes: DataFrame, root: str) -> None:
-    """Write notes as files below ``root`` from the executors, each through a rename so that no reader sees half a note.
+def write_notes(notes: DataFrame, path: str) -> None:
+    """Write notes as a table; on a cluster that is where they stay."""
+    notes.write.mode("overwrite").parquet(path)
+
+
+def materialise_notes(notes: DataFrame, root: str) -> None:
+    """Write whole notes ``(relative_path, content)`` as files below ``root``, each through a rename so that no reader
+    sees half a note. Tasks write to their machine's own disk, so this is for local mode and refused elsewhere."""
+    if not notes.sparkSession.sparkContext.master.startswith("local"):
+        raise ValueError("files of executors would lie on different machines; write a table instead")
 
-    ``notes``: (relative_path, part_no, content). A note of several parts is written to as many files, ``name.md``,
-    ``name.part-N.md``; no part is ever joined with others in memory.
-    """
     def write(rows) -> None:
         import os
         import uuid
 
         for row in rows:
-            stem, dot, ext = row["relative_path"].rpartition(".")
-            name = row["relative_path"] if row["part_no"] == 0 else f"{stem}.part-{row['part_no']}{dot}{ext}"
-            target = os.path.join(root, name)
+            target = os.path.join(root, row["relative_path"])
             os.makedirs(os.path.dirname(target), exist_ok=True)
             draft = os.path.join(os.path.dirname(target), f".{os.path.basename(target)}.{uuid.uuid4().hex[:8]}.tmp")
             with open(draft, "w", encoding="utf-8", newline="\n") as handle:
                 handle.write(row["content"])
             os.replace(draft, target)
 
-    notes.select("relative_path", "part_no", "content").foreachPartition(write)
+    notes.select("relative_path", "content").foreachPartition(write)
 
 
 def align_schema(df: DataFrame, schema: StructType | str, defaults: dict[str, object] | None = None) -> DataFrame:

@@ -1,3 +1,4 @@
+from dataclasses import replace
 from datetime import datetime
 
 import pytest
@@ -8,7 +9,6 @@ from paperlake.operators import highlights as H
 from paperlake.operators import knowledge as K
 from paperlake.operators import lifecycle as M
 from paperlake.operators import notes as N
-from paperlake.operators import skew
 from paperlake.plans.bindings import now
 from paperlake.schemas import DOCUMENT
 from paperlake.sources import documents as D
@@ -102,11 +102,13 @@ def test_documents_to_tables(docs):
     assert (entity["p1glue"].type, entity["p1glue"].definition, entity["p1bert"].definition) == ("dataset", "benchmark", "encoder")
 
 
-def test_large_documents_are_stored_in_parts(docs, spark):
+def test_any_part_length_holds_the_same_items(docs, spark, monkeypatch):
     kb = D.to_tables(D.parse_knowledge(docs))
+    kb = replace(kb, entities=kb.entities.withColumn("first_chunk", F.col("first_pos") * 3))
     whole = D.assemble_documents(kb, now(), "m").collect()
     assert sorted((r.paper_id, r.part_no) for r in whole) == [("p1", 0), ("p2", 0)]
-    parts = D.parse_knowledge(D.assemble_documents(kb, now(), "m", limit=3))
+    monkeypatch.setattr(D, "CHUNKS_IN_PART", 3)
+    parts = D.parse_knowledge(D.assemble_documents(kb, now(), "m"))
     assert parts.filter("paper_id = 'p1'").count() > 1
     back = D.to_tables(parts)
     for name in ("papers", "entities", "relations", "findings", "methods", "datasets", "cards", "sections"):
@@ -194,21 +196,31 @@ def test_links_of_the_current_run_win(docs, spark):
     assert [(r.title, r.target) for r in links.collect()] == [("New title", "New")]
 
 
-def test_notes_of_many_lines_come_in_parts(docs, spark):
+def test_any_part_length_gives_the_same_notes(docs, spark, monkeypatch):
     kb = D.to_tables(D.parse_knowledge(docs))
     whole = {r.paper_id: r.content for r in E.paper_notes(kb).collect()}
-    rows = E.paper_notes(kb, limit=4).collect()
-    assert len(rows) > len(whole) and all(r.lines_hash for r in rows if r.paper_id == "p1")
-    for paper, text in whole.items():
-        parts = sorted((r.part_no, r.content) for r in rows if r.paper_id == paper)
-        assert "\n".join(content for _, content in parts) == text
+    parts = E.paper_note_parts(kb).count()
+    monkeypatch.setattr(E, "CHUNKS_IN_PART", 1)
+    spread = kb.entities.withColumns({"first_chunk": F.col("first_pos"), "chunk_no": F.col("first_pos")})
+    assert {r.paper_id: r.content for r in E.paper_notes(replace(kb, entities=spread)).collect()} == whole
+    assert E.paper_note_parts(replace(kb, entities=spread)).count() > parts
     assert 'title: "Transformer/BERT"' in whole["p1"] and "- **DOI**: [10.1/x_y](https://doi.org/10.1/x_y)" in whole["p1"]
 
 
-def test_numbering_of_hot_groups(spark):
-    df = spark.range(200).select((F.col("id") % 10 == 0).alias("k"), (F.col("id") * 7 % 199).alias("v"))
-    want = sorted((r.k, r.v, r.n) for r in skew.numbered(df, ["k"], ["v"]).collect())
-    assert sorted((r.k, r.v, r.n) for r in skew.numbered(df, ["k"], ["v"], limit=30).collect()) == want
+def test_note_paths_never_meet(spark):
+    names = spark.createDataFrame([(1, "a", "X"), (1, "b", "x"), (2, "c", "X"), (1, "d", "Y")], "user_id long, paper_id string, name string")
+    paths = {r.paper_id: r.relative_path for r in E.note_paths(names, "papers", F.col("paper_id")).collect()}
+    assert paths["a"] == "1/papers/X.md" and paths["c"] == "2/papers/X.md" and paths["d"] == "1/papers/Y.md"
+    assert paths["b"].startswith("1/papers/x-") and len({p.lower() for p in paths.values()}) == 4
+
+
+def test_cards_are_numbered_in_order(spark):
+    rows = [("p", 0, b, "") for b in range(0, 5000, 7)] + [("q", 0, 0, f"card_{i}") for i in range(300)] + [("p", 1, 3, "")]
+    df = spark.createDataFrame(rows, "paper_id string, _a int, _b long, _c string")
+    got = sorted((r.paper_id, r.n, r._a, r._b, r._c) for r in N._numbered(df).collect())
+    for paper in "pq":
+        want = sorted((a, b, c) for p, a, b, c in rows if p == paper)
+        assert [x[1:] for x in got if x[0] == paper] == [(i + 1, *w) for i, w in enumerate(want)]
 
 
 def test_colliding_names(spark):
@@ -262,10 +274,10 @@ def test_notes_are_written_only_when_changed(spark, tmp_path):
     assert tuple(M.note_counts(planned).first()) == (3, 1)
 
     out = spark.createDataFrame(
-        [("Papers/a b.md", 0, '---\nlake_type: "paper"\nlake_id: "a \\"q\\""\n---\n\n# A\n'), (".hidden/x.md", 0, "---\na: b\n---\n"), ("Papers/none.md", 0, "text")],
-        "relative_path string, part_no int, content string",
+        [("Papers/a b.md", '---\nlake_type: "paper"\nlake_id: "a \\"q\\""\n---\n\n# A\n'), (".hidden/x.md", "---\na: b\n---\n"), ("Papers/none.md", "text")],
+        "relative_path string, content string",
     )
-    S.write_notes(out, str(tmp_path / "vault"))
+    S.materialise_notes(out, str(tmp_path / "vault"))
     found = {r.relative_path: r.front_matter for r in S.read_notes(spark, str(tmp_path / "vault")).collect()}
     assert found == {"Papers/a b.md": {"lake_type": "paper", "lake_id": 'a "q"'}, "Papers/none.md": {}}
     kept = S.note_inventory(S.read_notes(spark, str(tmp_path / "vault")), "/v", "lake").filter("note_id is not null").first()
