@@ -133,9 +133,7 @@ def note_counts(planned: DataFrame) -> DataFrame:
 _ITEM = ["vault_path", "item_type", "item_id"]
 
 
-def resolve_paths(
-    items: DataFrame, mapping: DataFrame, inventory: DataFrame, root: str = "Papers", max_rounds: int = 50
-) -> DataFrame:
+def resolve_paths(items: DataFrame, mapping: DataFrame, inventory: DataFrame, root: str = "Papers") -> DataFrame:
     """Give every note a path: ``(vault_path, item_type, item_id, …, relative_path)``.
 
     ``items``: (vault_path, item_type, item_id, normalized_key, source_name, folder, desired_name, mapping_id), one row
@@ -144,8 +142,8 @@ def resolve_paths(
     item, the desired name if it is free, the desired name with a suffix.
 
     The first claimant of a name (by item id) gets it plain. The others add three hex digits of their own hash, which
-    spreads even a very common name over 4096 classes that are numbered independently. Names chosen that way may by
-    accident be taken, which the next round settles; each round only joins what is still unplaced.
+    spreads even a very common name over 4096 stems. Those of a stem are numbered, and the numbers that files already
+    have are left out: the claimants take the free ones in order.
     """
     files = inventory.select("vault_path", "relative_path").distinct()
     known = mapping.select("mapping_id", F.col("relative_path").alias("_mapped"))
@@ -161,74 +159,49 @@ def resolve_paths(
         "vault_path", F.col("note_type").alias("item_type"), F.col("note_id").alias("_note_id")
     ).agg(F.min("relative_path").alias("_found"))
     # A paper note names its paper id, an entity note its link key.
-    located = (
+    suffix = F.substring(F.sha1(F.concat_ws(":", "item_type", "normalized_key", "source_name")), 1, 3)
+    base = F.concat_ws("/", F.lit(root), F.col("folder"), F.col("desired_name"))
+    located = stored(
         mapped.withColumn("_note_id", F.col("normalized_key"))
         .join(claimed, ["vault_path", "item_type", "_note_id"], "left")
-        .withColumn("_settled", F.coalesce("_mapped", "_found"))
-        .drop("_note_id", "_mapped", "_found")
+        .withColumns({"_settled": F.coalesce("_mapped", "_found"), "_base": base, "_stem": F.concat_ws("-", base, suffix)})
+        .select(*items.columns, "_settled", "_base", "_stem")
     )
-    suffix = F.substring(F.sha1(F.concat_ws(":", "item_type", "normalized_key", "source_name")), 1, 3)
-    base = F.concat_ws("/", F.lit(root), F.col("folder"), F.col("desired_name"))
-    located = stored(located.withColumns({"_base": base, "_suffix": suffix}))
-
-    done = located.filter(F.col("_settled").isNotNull()).withColumn("relative_path", F.col("_settled"))
-    taken = files.unionByName(done.select("vault_path", "relative_path")).distinct()
+    done = located.filter(F.col("_settled").isNotNull()).select(*items.columns, F.col("_settled").alias("relative_path"))
     todo = located.filter(F.col("_settled").isNull())
 
     # Plain names: the smallest item id wins a name that is not taken.
     winner = todo.groupBy("vault_path", "_base").agg(F.min(F.struct("item_type", "item_id")).alias("_first"))
+    held = files.select("vault_path", F.col("relative_path").alias("_plain"), F.lit(True).alias("_taken"))
     candidates = (
-        todo.join(winner, ["vault_path", "_base"])
-        .withColumn("relative_path", F.concat("_base", F.lit(".md")))
-        .join(taken.withColumn("_taken", F.lit(True)), ["vault_path", "relative_path"], "left")
+        todo.join(winner, ["vault_path", "_base"]).withColumn("_plain", F.concat("_base", F.lit(".md")))
+        .join(held, ["vault_path", "_plain"], "left")
     )
     plain = (F.col("_first") == F.struct("item_type", "item_id")) & F.col("_taken").isNull()
-    candidates = stored(candidates.withColumn("_placed", plain).drop("_first", "_taken"))
-    placed = done.select(*items.columns, "relative_path").unionByName(
-        candidates.filter("_placed").select(*items.columns, "relative_path")
+    candidates = stored(candidates.select(*items.columns, "_plain", "_stem", plain.alias("_placed")))
+    placed = candidates.filter("_placed").select(*items.columns, F.col("_plain").alias("relative_path"))
+
+    # Numbers of a stem that are taken, by files or by plain names of this run: 1 for the stem itself.
+    used = files.unionByName(placed.select("vault_path", "relative_path")).distinct()
+    name = F.regexp_replace("relative_path", r"\.md\z", "")
+    numbered = F.regexp_extract(name, r"_([2-9]|[1-9][0-9]{1,8})\z", 1)
+    readings = F.array(
+        F.struct(name.alias("_stem"), F.lit(1).cast("bigint").alias("number")),
+        F.struct(F.regexp_replace(name, r"_[0-9]+\z", "").alias("_stem"), F.nullif(numbered, F.lit("")).cast("bigint").alias("number")),
     )
-    rest = candidates.filter(~F.col("_placed")).drop("_placed", "relative_path", "_settled")
-
-    # Suffixed names: number the class, then retry the accidental clashes with the numbers not yet used.
-    number = F.row_number().over(W.partitionBy("vault_path", "_base", "_suffix").orderBy("item_type", "item_id"))
-    rest = stored(rest.withColumn("_n", number))
-    bump = 0
-    while not rest.isEmpty():
-        if bump >= max_rounds:
-            raise RuntimeError("note names keep clashing with existing files")
-        used = files.unionByName(placed.select("vault_path", "relative_path")).distinct()
-        name = F.when(F.col("_n") == 1, F.concat_ws("-", "_base", "_suffix")).otherwise(
-            F.concat_ws("-", "_base", "_suffix", F.col("_n").cast("string"))
-        )
-        tried = stored(
-            rest.withColumn("relative_path", F.concat(name, F.lit(".md")))
-            .join(used.withColumn("_taken", F.lit(True)), ["vault_path", "relative_path"], "left")
-            .withColumn("_ok", F.col("_taken").isNull())
-            .drop("_taken")
-        )
-        # Two classes can spell the same path ("a-b" + "c" and "a" + "b-c"): the smaller item keeps it.
-        keeper = tried.filter("_ok").groupBy("vault_path", "relative_path").agg(
-            F.min(F.struct("item_type", "item_id")).alias("_keeper")
-        )
-        judged = stored(
-            tried.join(keeper, ["vault_path", "relative_path"], "left").withColumn(
-                "_ok", F.col("_ok") & (F.col("_keeper") == F.struct("item_type", "item_id"))
-            )
-        )
-        placed = stored(
-            placed.unionByName(judged.filter("_ok").select(*items.columns, "relative_path"))
-        )
-        losers = judged.filter(~F.coalesce("_ok", F.lit(False)))
-        # A class with a clash moves its losers past its largest number, so that no number is tried twice.
-        top = judged.groupBy("vault_path", "_base", "_suffix").agg(F.max("_n").alias("_top"))
-        again = F.row_number().over(W.partitionBy("vault_path", "_base", "_suffix").orderBy("item_type", "item_id"))
-        rest = stored(
-            losers.join(top, ["vault_path", "_base", "_suffix"])
-            .withColumn("_n", F.col("_top") + again)
-            .select(*items.columns, "_base", "_suffix", "_n")
-        )
-        bump += 1
-    return placed
+    rest = candidates.filter(~F.col("_placed"))
+    taken = (
+        used.select("vault_path", F.inline(readings)).filter(F.col("number").isNotNull())
+        .join(rest.select("vault_path", "_stem").distinct(), ["vault_path", "_stem"], "left_semi")
+        .groupBy("vault_path", "_stem").agg(F.sort_array(F.collect_set("number")).alias("_numbers"))
+    )
+    # So many numbers below the j-th taken one are free; claimant n passes all taken ones that have fewer than n.
+    turn = F.row_number().over(W.partitionBy("vault_path", "_stem").orderBy("item_type", "item_id"))
+    passed = F.size(F.filter(F.transform("_numbers", lambda x, j: x - j - 1), lambda free: free < F.col("_turn")))
+    number = F.col("_turn") + F.coalesce(F.when(F.col("_numbers").isNotNull(), passed), F.lit(0))
+    path = F.concat("_stem", F.when(number > 1, F.concat(F.lit("_"), number.cast("string"))).otherwise(""), F.lit(".md"))
+    others = rest.withColumn("_turn", turn).join(taken, ["vault_path", "_stem"], "left").select(*items.columns, path.alias("relative_path"))
+    return done.unionByName(placed).unionByName(others)
 
 
 def note_target(relative_path: Column) -> Column:

@@ -1121,9 +1121,14 @@ def m6_counts(t: Tables) -> DataFrame:
           CASE WHEN o_orderkey % 12 = 0 THEN 'Root/Papers/Mapped ' || paper_id || '.md' WHEN o_orderkey % 4 = 0 THEN 'Moved/' || paper_id || '.md' END AS settled FROM papers),
         w AS (SELECT base, min(item_id) AS first_id FROM i WHERE settled IS NULL GROUP BY base),
         r AS (SELECT item_id, base || '-' || suffix AS stem, row_number() OVER (PARTITION BY base, suffix ORDER BY item_id) AS n
-          FROM i JOIN w USING (base) WHERE settled IS NULL AND item_id <> first_id)
+          FROM i JOIN w USING (base) WHERE settled IS NULL AND item_id <> first_id),
+        t AS (SELECT DISTINCT base || '-' || suffix AS stem, unnest(CASE WHEN o_orderkey % 3 = 0 THEN [1] ELSE [2, 3] END) AS used
+          FROM i JOIN papers ON paper_id = item_id WHERE o_orderkey % 4 = 1),
+        -- The free numbers of a stem in order.
+        f AS (SELECT x.stem, k, row_number() OVER (PARTITION BY x.stem ORDER BY k) AS n
+          FROM (SELECT stem, unnest(range(1, max(n) + 4)) AS k FROM r GROUP BY stem) x ANTI JOIN t ON t.stem = x.stem AND t.used = x.k)
         SELECT item_id, settled AS relative_path FROM i WHERE settled IS NOT NULL UNION ALL SELECT first_id, base || '.md' FROM w
-        UNION ALL SELECT item_id, stem || CASE WHEN n > 1 THEN '-' || n ELSE '' END || '.md' FROM r""",
+        UNION ALL SELECT item_id, stem || CASE WHEN k > 1 THEN '_' || k ELSE '' END || '.md' FROM r JOIN f USING (stem, n)""",
     ),
 )
 def m7(t: Tables) -> DataFrame:
@@ -1145,6 +1150,12 @@ def m7(t: Tables) -> DataFrame:
         .otherwise(F.concat(F.lit("Moved/"), F.col("item_id"), F.lit(".md"))).alias("relative_path"),
         F.lit("paper").alias("note_type"), F.col("item_id").alias("note_id"),
     )
+    # Files of nobody that have some of the suffixed names already.
+    suffix = F.substring(F.sha1(F.concat_ws(":", F.lit("paper"), "item_id", "source_name")), 1, 3)
+    stem = F.concat(F.lit("Root/Papers/"), "desired_name", F.lit("-"), suffix)
+    endings = F.when(number % 3 == 0, F.array(F.lit(".md"))).otherwise(F.array(F.lit("_2.md"), F.lit("_3.md")))
+    strangers = items.filter(number % 4 == 1).select("vault_path", F.explode(F.transform(endings, lambda e: F.concat(stem, e))).alias("relative_path"))
+    inventory = inventory.unionByName(strangers.distinct(), allowMissingColumns=True)
     return M.resolve_paths(items, mapping, inventory, root="Root").select("item_id", "relative_path")
 
 
