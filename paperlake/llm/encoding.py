@@ -17,6 +17,10 @@ from paperlake.llm.common import text_batches
 from paperlake.llm.pieces import FIRST_STATE, MARK, MEMO_WORDS, Vocabulary, cuts_lines, spaced, step_states, word_pattern
 
 
+#: Bytes of text whose distinct words are walked together: the more, the more prefixes they share.
+SLICE = 4_000_000
+
+
 def walk(words: list[str], vocabulary: Vocabulary) -> Iterator[tuple[str, bytes]]:
     """(word, piece ids as int32) of distinct words, visiting their trie depth first."""
     stack: list = [FIRST_STATE]
@@ -103,7 +107,7 @@ def encode_papers(papers: DataFrame, vocabulary: Vocabulary, carry: Sequence[str
     """
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary)
-        for batch in text_batches(batches):
+        for batch in text_batches(batches, SLICE):
             ids = _lists(encoder.encode(batch.column("text").to_pylist()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("paper_id"), ids, *[batch.column(c) for c in carry]], ["paper_id", "piece_ids", *carry]
@@ -142,7 +146,7 @@ def round_trips(papers: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoder = Encoder(vocabulary), Decoder(vocabulary)
-        for batch in text_batches(batches):
+        for batch in text_batches(batches, SLICE):
             texts = batch.column("text").to_pylist()
             rows = encoder.encode(texts)
             exact = [decoder.decode(ids) == (text or "").replace(MARK, " ") for ids, text in zip(rows, texts, strict=True)]
