@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from queue import SimpleQueue
 from typing import Protocol
@@ -16,9 +16,8 @@ from paperlake.functions.text import WS, strip
 from paperlake.operators.text import budget
 from paperlake.schemas import RESPONSES
 
-# Limits of a request (fixed values).
-SENTENCE_CHARS = 800
-CARD_ENTITIES, CARD_FINDINGS = 15, 10
+# Characters of a text in one request.
+SLICE_CHARS = 8000
 ATTEMPTS, BASE_DELAY, TEMPERATURE = 3, 2.0, 0.1
 IN_FLIGHT = 4
 MAX_TOKENS = {"highlight": 2048}
@@ -60,17 +59,37 @@ def _request(df: DataFrame, task: str, content: Column, chunk: Column | None = N
     )
 
 
-def text_requests(texts: DataFrame) -> DataFrame:
-    """Requests that need only the assembled text: metadata, sections, findings and summary, one pass over the texts."""
-    tasks = F.array(
-        F.struct(F.lit("metadata").alias("task"), F.array_join(F.slice("page_texts", 1, 2), "\n\n").alias("content")),
-        F.struct(F.lit("sections").alias("task"), F.substring("text", 1, 8000).alias("content")),
-        F.struct(F.lit("findings").alias("task"), F.substring("text", 1, 8000).alias("content")),
-        F.struct(F.lit("summary").alias("task"), F.concat(F.lit(SUMMARY_PREFIX), budget(F.col("text"))).alias("content")),
+TEXT_TASKS = ("metadata", "sections", "findings", "summary")
+
+
+def text_requests(
+    texts: DataFrame, tasks: Sequence[str] = TEXT_TASKS, slice_chars: int = SLICE_CHARS, first_slice_only: bool = False
+) -> DataFrame:
+    """Requests that need only the assembled text, in one pass over the texts.
+
+    ``metadata`` sees the opening pages and ``summary`` a budgeted context, which is what they are. ``sections`` and
+    ``findings`` see the whole text, in slices of ``slice_chars``, a request each (``chunk_no``); with
+    ``first_slice_only`` they see what comes first and no more.
+    """
+    last = F.lit(0) if first_slice_only else F.greatest(F.length("text") - 1, F.lit(0))
+    slices = F.transform(
+        F.sequence(F.lit(0), last, F.lit(slice_chars)), lambda at: F.substring("text", at + 1, F.lit(slice_chars))
     )
-    prompt = F.create_map(*[F.lit(x) for task in ("metadata", "sections", "findings", "summary") for x in (task, PROMPTS[task])])
-    return texts.select("paper_id", F.inline(tasks)).select(
-        "paper_id", "task", F.lit(0).alias("chunk_no"), prompt[F.col("task")].alias("system"), "content"
+    contents = {
+        "metadata": F.array(F.array_join(F.slice("page_texts", 1, 2), "\n\n")),
+        "sections": slices,
+        "findings": slices,
+        "summary": F.array(F.concat(F.lit(SUMMARY_PREFIX), budget(F.col("text")))),
+    }
+
+    def of(task: str) -> Column:
+        return F.transform(
+            contents[task], lambda c, i: F.struct(F.lit(task).alias("task"), i.alias("chunk_no"), c.alias("content"))
+        )
+
+    prompt = F.create_map(*[F.lit(x) for task in tasks for x in (task, PROMPTS[task])])
+    return texts.select("paper_id", F.inline(F.concat(*[of(task) for task in tasks]))).select(
+        "paper_id", "task", "chunk_no", prompt[F.col("task")].alias("system"), "content"
     )
 
 
@@ -78,35 +97,47 @@ def entity_requests(chunks: DataFrame) -> DataFrame:
     return _request(chunks, "entities", F.col("text"), F.col("chunk_no"))
 
 
-def highlight_requests(chunks: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """One request per packed chunk (``pack_sentence_chunks``): a JSON list of its sentences, each cut to 800 characters."""
+def highlight_requests(chunks: DataFrame, doc_id: str = "doc_id", sentence_chars: int | None = None) -> DataFrame:
+    """One request per packed chunk (``pack_sentence_chunks``): a JSON list of its sentences, whole or each cut to
+    ``sentence_chars``."""
     items = F.transform(
         "items",
         lambda s: F.struct(
             s["sentence_id"].alias("sentence_id"),
             (s["page_index"] + 1).alias("page"),
-            F.substring(s["text"], 1, SENTENCE_CHARS).alias("text"),
+            (s["text"] if sentence_chars is None else F.substring(s["text"], 1, sentence_chars)).alias("text"),
         ),
     )
     return _request(chunks, "highlight", F.concat(F.lit(HIGHLIGHT_PREFIX), F.to_json(items)), F.col("chunk_no"), doc_id)
 
 
-def card_requests(entities: DataFrame, findings: DataFrame) -> DataFrame:
-    """JSON of the first 15 entities and 10 findings of each paper.
+def card_requests(entities: DataFrame, findings: DataFrame, first: tuple[int, int] | None = None) -> DataFrame:
+    """JSON of the entities and findings that cards are to be made of.
 
-    The two limits are ranks with a pre-shuffle limit, so at most 25 items per paper are ever collected.
+    Every entity and finding goes into a request: one for each chunk they came from (``chunk_no``), so what a request
+    holds is bounded by the answers for that chunk. With ``first`` a paper has one request, for its first so many
+    entities and findings; the two limits are ranks, which Spark applies before it shuffles.
     """
     from pyspark.sql import Window as W
 
-    def first(df: DataFrame, n: int, order: list[str]) -> DataFrame:
+    def taken(df: DataFrame, n: int, order: list[str]) -> DataFrame:
         rank = F.row_number().over(W.partitionBy("paper_id").orderBy(*order))
-        return df.withColumn("_rank", rank).filter(F.col("_rank") <= n)
-
-    ents = first(entities, CARD_ENTITIES, ["first_chunk", "first_pos"]).select(
-        "paper_id", "_rank", F.struct("name", "type", "aliases", "definition", "importance", "id").alias("entity"),
+        return df.withColumn("_rank", rank).filter(F.col("_rank") <= n).withColumn("_chunk", F.lit(0))
+
+    chunk = F.coalesce("chunk_no", F.lit(0)) if "chunk_no" in findings.columns else F.lit(0)
+    if first is None:
+        entities = entities.withColumns({"_rank": F.col("first_pos"), "_chunk": F.col("first_chunk")})
+        findings = findings.withColumns({"_rank": F.col("pos"), "_chunk": chunk})
+    else:
+        entities = taken(entities, first[0], ["first_chunk", "first_pos"])
+        findings = taken(findings, first[1], ["pos"])
+    ents = entities.select(
+        "paper_id", F.col("_chunk").cast("int"), F.col("_rank").cast("bigint"),
+        F.struct("name", "type", "aliases", "definition", "importance", "id").alias("entity"),
     )
-    finds = first(findings, CARD_FINDINGS, ["pos"]).select(
-        "paper_id", "_rank", F.struct("type", "statement", "evidence", "id").alias("finding")
+    finds = findings.select(
+        "paper_id", F.col("_chunk").cast("int"), F.col("_rank").cast("bigint"),
+        F.struct("type", "statement", "evidence", "id").alias("finding"),
     )
     both = ents.unionByName(finds, allowMissingColumns=True)
 
@@ -114,8 +145,8 @@ def card_requests(entities: DataFrame, findings: DataFrame) -> DataFrame:
         ranked = F.collect_list(F.when(F.col(name).isNotNull(), F.struct("_rank", name)))
         return F.transform(F.sort_array(ranked), lambda x: x[name])
 
-    grouped = both.groupBy("paper_id").agg(listed("entity").alias("entities"), listed("finding").alias("findings"))
-    return _request(grouped, "flashcards", F.to_json(F.struct("entities", "findings")))
+    grouped = both.groupBy("paper_id", "_chunk").agg(listed("entity").alias("entities"), listed("finding").alias("findings"))
+    return _request(grouped, "flashcards", F.to_json(F.struct("entities", "findings")), F.col("_chunk"))
 
 
 def simplify_requests(chunks: DataFrame) -> DataFrame:

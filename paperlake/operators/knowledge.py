@@ -40,9 +40,20 @@ def relation_mentions(responses: DataFrame) -> DataFrame:
     )
 
 
+# Items of a paper's second request are numbered from here on, those of the third from twice that.
+REQUEST_STEP = 100_000
+
+
+def _items(responses: DataFrame, path: str, name: str) -> DataFrame:
+    """Items of responses with their place in the paper: that in the response, moved on by its request."""
+    chunk = F.coalesce("chunk_no", F.lit(0)) if "chunk_no" in responses.columns else F.lit(0)
+    rows = exploded(responses, path, name, "paper_id", chunk.alias("chunk_no"))
+    return rows.withColumn("pos", F.col("chunk_no") * REQUEST_STEP + F.col("pos"))
+
+
 def sections(responses: DataFrame) -> DataFrame:
     """Sections numbered ``sec_1, sec_2 …`` in response order."""
-    rows = exploded(responses, "parsed.sections", "s", "paper_id")
+    rows = _items(responses, "parsed.sections", "s")
     return rows.select(
         "paper_id",
         (F.col("pos") + 1).alias("section_no"),
@@ -54,10 +65,11 @@ def sections(responses: DataFrame) -> DataFrame:
 
 
 def findings(responses: DataFrame) -> DataFrame:
-    rows = exploded(responses, "parsed.findings", "f", "paper_id")
+    rows = _items(responses, "parsed.findings", "f")
     return rows.select(
         make_id("find", F.col("paper_id"), F.col("pos")).alias("id"),
         "paper_id",
+        "chunk_no",
         "pos",
         "f.type",
         "f.title",
@@ -68,18 +80,18 @@ def findings(responses: DataFrame) -> DataFrame:
 
 
 def methods(responses: DataFrame) -> DataFrame:
-    rows = exploded(responses, "parsed.methods", "m", "paper_id")
+    rows = _items(responses, "parsed.methods", "m")
     return rows.select("paper_id", "pos", "m.name", "m.description", "m.inputs", "m.outputs")
 
 
 def datasets(responses: DataFrame) -> DataFrame:
-    rows = exploded(responses, "parsed.datasets", "d", "paper_id")
+    rows = _items(responses, "parsed.datasets", "d")
     return rows.select("paper_id", "pos", "d.name", "d.description", "d.usage")
 
 
 def new_cards(responses: DataFrame, now: Column) -> DataFrame:
     """Cards of a response with their defaults, due at once."""
-    rows = exploded(responses, "parsed.flashcards", "c", "paper_id")
+    rows = _items(responses, "parsed.flashcards", "c")
     return rows.select(
         make_id("fc", F.col("paper_id"), F.col("pos")).alias("id"),
         "paper_id",

@@ -19,8 +19,9 @@ from paperlake.operators import notes as N
 from paperlake.operators import queries as Q
 from paperlake.operators import srs as R
 from paperlake.operators import text as T
+from paperlake.plans import extraction as P
 from paperlake.plans.bindings import NOW, Tables, now
-from paperlake.plans.oracles import OMITTED, STAMP, _bib, _id, _safe, _sanitize, _squeeze, _strip, _unwrap_once, _yaml, sql
+from paperlake.plans.oracles import APPEARS_IN, HEADINGS, ORPHAN_MESSAGE, RELATED, OMITTED, STAMP, _bib, _id, _safe, _sanitize, _squeeze, _strip, _unwrap_once, _yaml, sql
 from paperlake.schemas import DOCUMENT
 from paperlake.session import stored, work_dir
 from paperlake.sources import documents as D
@@ -308,7 +309,7 @@ def t16(t: Tables) -> DataFrame:
     ),
 )
 def l1(t: Tables) -> DataFrame:
-    return L.text_requests(t.texts()).select("paper_id", "task", "content")
+    return L.text_requests(t.texts(), first_slice_only=True).select("paper_id", "task", "content")
 
 
 @query(
@@ -336,7 +337,7 @@ def l1_entities(t: Tables) -> DataFrame:
 )
 def l1_highlight(t: Tables) -> DataFrame:
     """Requests, read back from their JSON."""
-    requests = L.highlight_requests(T.pack_sentence_chunks(t.documents()))
+    requests = L.highlight_requests(T.pack_sentence_chunks(t.documents()), sentence_chars=800)
     body = F.substring("content", len(L.HIGHLIGHT_PREFIX) + 1, 2**31 - 1)
     items = F.from_json(body, "array<struct<sentence_id: string, page: int, text: string>>")
     rows = requests.select("paper_id", F.col("chunk_no").cast("bigint").alias("chunk_no"), items.alias("items"))
@@ -357,7 +358,7 @@ def l1_highlight(t: Tables) -> DataFrame:
     ),
 )
 def l1_cards(t: Tables) -> DataFrame:
-    requests = L.card_requests(t.entities(), t.knowledge().findings)
+    requests = L.card_requests(t.entities(), t.knowledge().findings, first=(15, 10))
     parsed = F.from_json("content", "entities array<struct<name: string>>, findings array<struct<statement: string>>")
     rows = requests.select("paper_id", parsed.alias("p"))
     return rows.select(
@@ -402,6 +403,96 @@ def l2(t: Tables) -> DataFrame:
     )
 
 
+def _reader():
+    """A model that reads what it is sent: its first and last word, how long it is, the first sentence it is offered."""
+
+    class Reader:
+        def complete(self, system: str, content: str, temperature: float, max_tokens: int, json_mode: bool) -> str:
+            import json
+
+            if '"sections"' in system:
+                return json.dumps({"sections": []})
+            if '"entities"' in system:
+                first, last = content.split()[0], content.split()[-1]
+                return json.dumps({"entities": [{"name": first}, {"name": last}], "relationships": [{"source": first, "target": last}]})
+            if '"findings"' in system:
+                return json.dumps({"findings": [{"statement": content[:5]}], "methods": [{"name": str(len(content))}], "datasets": []})
+            if '"flashcards"' in system:
+                asked = json.loads(content)
+                return json.dumps({"flashcards": [{"front": str(len(asked["entities"])), "back": str(len(asked["findings"]))}]})
+            if '"highlights"' in system:
+                asked = json.loads(content.split("\n\n", 1)[1])
+                chosen = [{"sentence_id": asked[0]["sentence_id"], "category": "key_data"}]
+                return "```json\n" + json.dumps({"highlights": chosen}) + "\n```"
+            if "plain everyday" in system:
+                return content.lower()
+            return json.dumps({"title": content[:10], "one_liner": content[:30]})
+
+    return Reader
+
+
+@query(
+    "x1_extract",
+    """WITH w AS (SELECT CAST(doc_id AS VARCHAR) AS paper_id, text, length(text) AS n,
+      regexp_split_to_array(trim(text, chr(32) || chr(9) || chr(10) || chr(13)), '\\s+') AS words FROM documents)
+    SELECT paper_id, substr(text, 1, 10) AS title, 'completed' AS extraction_status, CAST(0 AS BIGINT) AS failed_calls,
+      CASE WHEN lower(words[1]) = lower(words[-1]) THEN 1 ELSE 2 END::BIGINT AS entities, CAST(1 AS BIGINT) AS relations,
+      ((n + 7999) // 8000)::BIGINT AS findings, n::BIGINT AS read, ((n + 7999) // 8000)::BIGINT AS cards FROM w""",
+)
+def x1(t: Tables) -> DataFrame:
+    """Three waves of inference over whole documents, with a model that reads what it is sent."""
+    texts = t.plain_texts().withColumn("page_texts", F.array("text"))
+    papers = t.documents().select(F.col("doc_id").cast("string").alias("paper_id"), F.lit(1).cast("bigint").alias("user_id"), now().alias("created_at"))
+    kb, _ = P.extract(texts, papers, _reader(), now())
+    counts = Q.paper_counts(kb.papers, kb.entities, kb.findings, kb.cards, kb.relations)
+    read = kb.methods.groupBy("paper_id").agg(F.sum(F.col("name").cast("bigint")).alias("read"))
+    return kb.papers.join(counts, "paper_id").join(read, "paper_id").select(
+        "paper_id", "title", "extraction_status", "failed_calls", "entities", F.col("relationships").alias("relations"), "findings", "read", "cards"
+    )
+
+
+_UNWRAPPED = sql(
+    "packed",
+    """SELECT CAST(d.doc_id AS VARCHAR) AS doc_id, coalesce(n, 0)::BIGINT AS chosen, coalesce(n, 0)::BIGINT AS total,
+      CAST(0 AS BIGINT) AS failed_matches, CASE WHEN n > 0 THEN 'success' ELSE 'failed' END AS status
+    FROM documents d LEFT JOIN (SELECT doc_id, count(DISTINCT chunk_no) AS n FROM packed GROUP BY 1) USING (doc_id)""",
+).replace("FROM documents", "FROM unwrapped").replace(
+    "WITH RECURSIVE ",
+    f"WITH RECURSIVE unwrapped AS (SELECT doc_id, replace({_unwrap_once(_unwrap_once('text'))}, chr(10), '') AS text FROM documents), ", 1,
+)
+
+
+@query("x2_highlight", _UNWRAPPED)
+def x2(t: Tables) -> DataFrame:
+    """Key sentences of unwrapped documents: the first of every chunk, and the status of each document."""
+    applied, stats = P.highlight(t.documents(), _reader())
+    chosen = applied.filter("matched").groupBy("doc_id").agg(F.count("*").alias("chosen"))
+    return stats.join(chosen, "doc_id", "left").select("doc_id", F.coalesce("chosen", F.lit(0)).alias("chosen"), "total", "failed_matches", "status")
+
+
+@query(
+    "x3_summarise",
+    """SELECT CAST(doc_id AS VARCHAR) AS paper_id, substr('Paper text:' || chr(10) || chr(10) || text, 1, 30) AS one_liner, '' AS summary_error FROM documents""",
+)
+def x3(t: Tables) -> DataFrame:
+    texts = t.plain_texts().withColumn("page_texts", F.array("text"))
+    found = P.summarise(texts, _reader())
+    return found.select("paper_id", "summary.one_liner", E.text_or_empty("summary_error").alias("summary_error"))
+
+
+@query(
+    "x4_simplify",
+    """SELECT CAST(doc_id AS VARCHAR) AS paper_id, i::BIGINT AS chunk_no, lower(substr(text, i * 2000 + 1, 2000)) AS body
+    FROM (SELECT doc_id, text, unnest(range(0, (length(text) + 1999) // 2000)) AS i FROM documents)""",
+)
+def x4(t: Tables) -> DataFrame:
+    """Every slice of every document in plain words; what stands between the template's parts is compared."""
+    cut = F.transform(F.sequence(F.lit(0), F.length("text") - 1, F.lit(2000)), lambda at: F.substring("text", at + 1, F.lit(2000)))
+    chunks = t.documents().select(F.col("doc_id").alias("paper_id"), F.posexplode(cut).alias("chunk_no", "text"))
+    body = F.regexp_extract("text", r"(?s)\n\ntext: (.*)\n\nrewritten:\z", 1)
+    return P.simplify(chunks, _reader()).select("paper_id", F.col("chunk_no").cast("bigint").alias("chunk_no"), body.alias("body"))
+
+
 @query(
     "l3_parse_response",
     """SELECT conv_id AS paper_id, turn AS chunk_no, CASE WHEN turn % 5 = 4 THEN '' ELSE text END AS one_liner,
@@ -1016,7 +1107,7 @@ def m2_drafts(t: Tables) -> DataFrame:
     sql(
         "tasks",
         f"""SELECT task_id, CASE WHEN status = 'completed' THEN status ELSE 'error' END AS status,
-        CASE WHEN status IN ('completed', 'error') THEN '' ELSE '{M.ORPHAN_MESSAGE}' END AS message FROM tasks""",
+        CASE WHEN status IN ('completed', 'error') THEN '' ELSE '{ORPHAN_MESSAGE}' END AS message FROM tasks""",
     ),
 )
 def m3(t: Tables) -> DataFrame:
@@ -1364,7 +1455,7 @@ def _linked(t: Tables):
 
 def _block_sql(sec: int, table: str, line: str, order: str, name: str, blank: bool = True) -> str:
     tail = f" || {_NL}" if blank else ""
-    return f"""LEFT JOIN (SELECT paper_id, '{N.HEADINGS[sec]}' || {_NL} || string_agg({line}, {_NL} ORDER BY {order}){tail} AS {name}
+    return f"""LEFT JOIN (SELECT paper_id, '{HEADINGS[sec]}' || {_NL} || string_agg({line}, {_NL} ORDER BY {order}){tail} AS {name}
       FROM {table} GROUP BY 1) USING (paper_id)"""
 
 
@@ -1382,9 +1473,9 @@ _LINKED_PAPER = f""", ne AS (SELECT d.user_id, e.paper_id, {_squeeze('lower(name
     UNION ALL SELECT paper_id, front, back, back, 3, row_number() OVER (PARTITION BY paper_id ORDER BY card_id) FROM own),
   an AS (SELECT a.* FROM annots a JOIN done d ON a.paper_id = d.paper_id AND a.user_id = d.user_id)
 SELECT paper_id, regexp_replace(concat_ws({_NL}, '---', 'paperlake_id: ' || {_yaml('paper_id')}, 'paperlake_type: "paper"', 'title: ' || {_yaml('title')}, '---' || {_NL},
-  '# ' || title || {_NL}, '个人笔记：[[' || {_sanitize(_sanitize('title') + " || ' - Notes'")} || ']]' || {_NL}, '{N.HEADINGS[2]}',
+  '# ' || title || {_NL}, '个人笔记：[[' || {_sanitize(_sanitize('title') + " || ' - Notes'")} || ']]' || {_NL}, '{HEADINGS[2]}',
   '- 作者：' || CASE WHEN o_orderkey % 2 = 0 THEN authors[1] || ' (' || split_part(title, '/', 1) || '), Cher' ELSE authors[1] END, '- 年份：' || year, '- 会议/期刊：' || venue,
-  '- DOI：' || doi, '- 关键词：' || array_to_string(keywords, ', '), '', '{N.HEADINGS[3]}' || {_NL} || abstract || {_NL}, b5, b6, b7, b8, b9, b10, b11, b12), '[ \\s]+$', '') || {_NL} AS content
+  '- DOI：' || doi, '- 关键词：' || array_to_string(keywords, ', '), '', '{HEADINGS[3]}' || {_NL} || abstract || {_NL}, b5, b6, b7, b8, b9, b10, b11, b12), '[ \\s]+$', '') || {_NL} AS content
 FROM done
 {_block_sql(5, "it WHERE chunk_no IN (4, 5)", "CASE chunk_no WHEN 5 THEN '  ' ELSE '' END || '- ' || p_name || '：' || p_brand", "ord", "b5")}
 {_block_sql(6, "en", "'- [[' || target || ']] (' || type || ')：' || definition", "first_chunk, first_pos", "b6")}
@@ -1417,7 +1508,7 @@ _LINKED_ENTITY = f""", ne AS (SELECT d.user_id, d.created_at, e.paper_id, {_sque
   rl AS (SELECT i.user_id, i.k, string_agg('- [[' || coalesce(a.target, {_sanitize('i.source')}) || ']] **' || i.type || '** [[' || coalesce(b.target, {_sanitize('i.target')}) || ']]：' || i.description,
       {_NL} ORDER BY i.paper_id, i.chunk_no, i.pos) AS l FROM inc i LEFT JOIN lk a ON a.user_id = i.user_id AND a.k = i.s LEFT JOIN lk b ON b.user_id = i.user_id AND b.k = i.g GROUP BY 1, 2)
 SELECT f.user_id, f.k AS entity_key, concat_ws({_NL}, '---', 'paperlake_type: "entity"', 'paperlake_entity_key: ' || {_yaml('f.k')}, 'name: ' || {_yaml('f.name')},
-  'type: ' || {_yaml('f.type')}, '---' || {_NL}, '# ' || f.name || {_NL}, f.definition || {_NL}, '{N.APPEARS_IN}', ls.l, CASE WHEN rl.l IS NOT NULL THEN {_NL} || '{N.RELATED}' || {_NL} || rl.l END) || {_NL} AS content
+  'type: ' || {_yaml('f.type')}, '---' || {_NL}, '# ' || f.name || {_NL}, f.definition || {_NL}, '{APPEARS_IN}', ls.l, CASE WHEN rl.l IS NOT NULL THEN {_NL} || '{RELATED}' || {_NL} || rl.l END) || {_NL} AS content
 FROM f LEFT JOIN ls USING (user_id, k) LEFT JOIN rl USING (user_id, k)"""
 
 

@@ -25,37 +25,38 @@ def answer(requests: DataFrame, client: Callable[[], L.Client], concurrency: int
 
 
 def extract(
-    texts: DataFrame, papers: DataFrame, client: Callable[[], L.Client], now: Column, concurrency: int | None = None
+    texts: DataFrame, papers: DataFrame, client: Callable[[], L.Client], now: Column, concurrency: int | None = None,
+    slice_chars: int = L.SLICE_CHARS,
 ) -> tuple[KnowledgeBase, DataFrame]:
     """Knowledge tables of every paper in ``texts`` (``assemble_text``) and one row per failed model call.
 
-    ``papers``: (paper_id, user_id, created_at, …). A paper whose calls fail keeps empty parts.
+    ``papers``: (paper_id, user_id, created_at, …); those without a text are left out of the result. Whole texts are
+    read, in requests of ``slice_chars``. A paper whose calls fail keeps empty parts and is completed; its index row
+    counts the failed calls (``knowledge.paper_index``).
     """
     texts = stored(texts.withColumn("paper_id", F.col("paper_id").cast("string")))
-    first = answer(L.text_requests(texts).filter(F.col("task") != "summary"), client, concurrency)
+    first = answer(L.text_requests(texts, ("metadata", "sections", "findings"), slice_chars), client, concurrency)
     sections = K.sections(L.parse_response(first, "sections"))
-    found = L.parse_response(first, "findings")
+    found = stored(L.parse_response(first, "findings"))
     findings = K.findings(found)
 
     chunks = T.select_chunks(texts, sections)
     second = answer(L.entity_requests(chunks), client, concurrency)
-    parsed = L.parse_response(second, "entities")
+    parsed = stored(L.parse_response(second, "entities"))
     entities = stored(K.entity_index(K.dedup_entities(K.entity_mentions(parsed))))
-    relations = K.resolve_relations(K.relation_mentions(parsed), entities)
+    relations = stored(K.resolve_relations(K.relation_mentions(parsed), entities))
 
     third = answer(L.card_requests(entities, findings), client, concurrency)
     cards = K.new_cards(L.parse_response(third, "flashcards"), now)
 
-    metadata = L.parse_response(first, "metadata").select("paper_id", F.col("parsed").alias("metadata"))
-    described = papers.join(metadata, "paper_id", "left").withColumns(
-        {
-            "title": F.coalesce("metadata.title", F.lit("")),
-            "extraction_status": F.lit("completed"),
-            "has_document": F.lit(True),
-        }
-    )
     answers = first.unionByName(second).unionByName(third)
     failed = answers.filter(F.col("raw").isNull()).select("paper_id", "task", "chunk_no", "error")
+    metadata = L.parse_response(first, "metadata").select("paper_id", F.col("parsed").alias("metadata"))
+    run = papers.join(texts.select("paper_id"), "paper_id", "left_semi").join(metadata, "paper_id", "left")
+    errors = failed.limit(0).select("paper_id", F.col("error").alias("message"))
+    index = K.paper_index(run, failed, errors)
+    replaced = [c for c in index.columns if c != "paper_id"]
+    described = run.drop(*replaced).join(index, "paper_id").withColumn("has_document", F.lit(True))
     knowledge = KnowledgeBase(
         papers=described,
         sections=sections,
@@ -74,11 +75,11 @@ def highlight(
     documents: DataFrame, client: Callable[[], L.Client], concurrency: int | None = None, page: str | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Key sentences of every document ``(doc_id, [page,] text)`` and their statistics with status."""
-    documents = documents.withColumn("doc_id", F.col("doc_id").cast("string"))
-    chunks = T.pack_sentence_chunks(documents, page=page)
+    documents = T.unwrap_lines(documents.withColumn("doc_id", F.col("doc_id").cast("string")))
+    chunks = stored(T.pack_sentence_chunks(documents, page=page))
     answers = answer(L.highlight_requests(chunks), client, concurrency)
     chosen = H.selections(L.parse_response(answers, "highlight"), "paper_id").withColumnRenamed("paper_id", "doc_id")
-    applied = H.apply_selections(T.sentences(documents, page=page), chosen)
+    applied = H.apply_selections(chunks.select("doc_id", F.inline("items")), chosen)
     stats = H.highlight_stats(applied)
     # Documents without any selection are failures too.
     every = documents.select("doc_id").distinct().join(stats, "doc_id", "left").fillna(0)
@@ -86,10 +87,14 @@ def highlight(
 
 
 def summarise(texts: DataFrame, client: Callable[[], L.Client], concurrency: int | None = None) -> DataFrame:
-    """``(paper_id, summary)``; a summary that fails after all attempts fails the job, as it has no empty form."""
-    requests = L.text_requests(texts.withColumn("paper_id", F.col("paper_id").cast("string")))
-    answers = answer(requests.filter(F.col("task") == "summary"), client, concurrency)
-    parsed = L.parse_response(answers, "summary")
-    problem = F.concat(F.lit("summary failed for paper "), F.col("paper_id"), F.lit(": "), F.coalesce("error", F.lit("no JSON object")))
-    checked = F.when(F.col("parse_failed"), F.raise_error(problem).cast("string"))
-    return parsed.filter(F.coalesce(checked, F.lit("")) == "").select("paper_id", F.col("parsed").alias("summary"))
+    """``(paper_id, summary, summary_error)``: a paper whose summary fails after all attempts has a reason instead."""
+    requests = L.text_requests(texts.withColumn("paper_id", F.col("paper_id").cast("string")), ("summary",))
+    parsed = L.parse_response(answer(requests, client, concurrency), "summary")
+    reason = F.when(F.col("parse_failed"), F.coalesce("error", F.lit("no JSON object")))
+    return parsed.select("paper_id", F.col("parsed").alias("summary"), reason.alias("summary_error"))
+
+
+def simplify(chunks: DataFrame, client: Callable[[], L.Client], concurrency: int | None = None) -> DataFrame:
+    """``(paper_id, chunk_no, text, simplify_error)``: every chunk of text in plain words, or why it is not there."""
+    answers = answer(L.simplify_requests(chunks), client, concurrency)
+    return answers.select("paper_id", "chunk_no", F.trim("raw").alias("text"), F.col("error").alias("simplify_error"))

@@ -1,6 +1,5 @@
-"""Registered queries against their SQL; set PAPERLAKE_ALL=1 for all of them (tools/compare.py does the same by name)."""
+"""Every registered query against its SQL (tools/compare.py does the same by name)."""
 
-import os
 import sys
 from pathlib import Path
 
@@ -12,11 +11,7 @@ from compare import TABLES, rows  # noqa: E402
 
 from __spark_entry__ import entry, oracle_sql, queries  # noqa: E402
 
-QUICK = (
-    "s2_decode_payload t4_pack_chunks t5_split_sections l3_parse_response k2_dedup_entities k4_resolve_relations "
-    "h2_highlight_stats q6_due_cards q11_neighbours r1_review_state m5_latest_state u2_screen_url e3_bibtex"
-).split()
-NAMES = sorted(oracle_sql()) if os.environ.get("PAPERLAKE_ALL") else QUICK
+NAMES = sorted(oracle_sql())
 
 
 @pytest.fixture(scope="module")
