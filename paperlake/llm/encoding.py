@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from paperlake.llm.common import text_batches
-from paperlake.llm.pieces import FIRST_STATE, MARK, MEMO_WORDS, Vocabulary, cuts_lines, spaced, step_states, word_pattern
+from paperlake.llm.pieces import FIRST_STATE, MARK, MEMO_WORDS, Vocabulary, WordCutter, step_states
 
 
 #: Bytes of text whose distinct words are walked together: the more, the more prefixes they share.
@@ -39,36 +39,20 @@ def walk(words: list[str], vocabulary: Vocabulary) -> Iterator[tuple[str, bytes]
 
 
 class Encoder:
-    """Encodes texts; keeps the ids of words it has seen, as bytes.
-
-    A word is kept without its mark. One that starts a further line is kept behind the line break, which is cut off
-    where it stands alone on every path anyway; then it has no mark.
-    """
+    """Encodes texts; keeps the ids of words it has seen, as bytes."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
-        self.vocabulary, self.pattern, self.memo = vocabulary, word_pattern(vocabulary), {}
-        self.lines = vocabulary.dummy_prefix and cuts_lines(vocabulary)
-
-    def words(self, text: str) -> list[str]:
-        # Runs of blanks are pieces of their own kind, which the pattern keeps together.
-        if not self.lines or "  " in text or text[0] == " ":
-            return [" " + w for w in self.pattern.findall(spaced(text, self.vocabulary))]
-        first, *rest = text.split("\n")
-        words = first.split(" ")
-        for line in rest:
-            words += ("\n" + line).split(" ")
-        return words
+        self.vocabulary, self.cutter, self.memo = vocabulary, WordCutter(vocabulary), {}
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = [self.words(x) if x else [] for x in texts]
+        split = [self.cutter.words(x) for x in texts]
         if len(self.memo) > MEMO_WORDS:
             self.memo.clear()
         new: set[str] = set()
         for words in split:
             new.update(words)
         new.difference_update(self.memo)
-        # As the lattice reads them: a blank stands before words that have their marks.
-        parts = {w: [w[1:]] if w[:1] == " " else ["\n", w[1:]] if w[:1] == "\n" else [MARK + w] for w in new}
+        parts = {w: self.cutter.parts(w) for w in new}
         ids = dict(walk(list({x for p in parts.values() for x in p}), self.vocabulary))
         for word, own in parts.items():
             self.memo[word] = b"".join([ids[x] for x in own])

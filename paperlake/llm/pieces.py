@@ -154,6 +154,36 @@ def spaced(text: str, vocabulary: Vocabulary) -> str:
     return (MARK if vocabulary.dummy_prefix else "") + text.replace(" ", MARK) if text else ""
 
 
+class WordCutter:
+    """Cuts texts into words, and says what the lattice reads for a word.
+
+    A word is kept without its mark. One that starts a further line is kept behind the line break, which stands alone on
+    every path, and has no mark. Runs of blanks are pieces of their own kind: texts with such runs are cut by the
+    pattern, and their words are kept with their marks, behind a blank.
+    """
+
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        self.vocabulary, self.pattern = vocabulary, word_pattern(vocabulary)
+        self.by_blanks = vocabulary.dummy_prefix and cuts_lines(vocabulary)
+
+    def words(self, text: str | None) -> list[str]:
+        if not text:
+            return []
+        if not self.by_blanks or "  " in text or text[0] == " ":
+            return [" " + w for w in self.pattern.findall(spaced(text, self.vocabulary))]
+        first, *rest = text.split("\n")
+        words = first.split(" ")
+        for line in rest:
+            words += ("\n" + line).split(" ")
+        return words
+
+    @staticmethod
+    def parts(word: str) -> list[str]:
+        if word[:1] == " ":
+            return [word[1:]]
+        return ["\n", word[1:]] if word[:1] == "\n" else [MARK + word]
+
+
 def unknown_code(letter: str, last: str, vocabulary: Vocabulary) -> bytes:
     """Ids for a character that is no piece: those of its bytes, or the unknown id. Neighbouring unknown characters are
     one unknown piece in models without byte pieces."""

@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from paperlake.llm.common import text_batches
-from paperlake.llm.pieces import MEMO_WORDS, Vocabulary, fits, spaced, word_pattern
+from paperlake.llm.pieces import MEMO_WORDS, Vocabulary, WordCutter, fits
 
 
 class PieceCounts(dict):
-    """Marked word -> number of pieces, computed once per distinct word.
+    """Word (of a ``WordCutter``) -> number of pieces, computed once per distinct word.
 
     The automaton gives, at every character, all pieces that end there, the longest first. The best score (or, for a BPE
     model, whether the piece fits the one before it) and the number of pieces are all that is carried along; a tie goes
@@ -35,7 +35,7 @@ class PieceCounts(dict):
     def __missing__(self, word: str) -> int:
         if len(self) >= MEMO_WORDS:
             self.clear()
-        value = self[word] = self.count(word)
+        value = self[word] = sum(map(self.count, WordCutter.parts(word)))
         return value
 
     def count(self, word: str) -> int:
@@ -80,12 +80,9 @@ def count_tokens(papers: DataFrame, vocabulary: Vocabulary, carry: Sequence[str]
     ])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pattern, counts = word_pattern(vocabulary), PieceCounts(vocabulary)
+        cutter, counts = WordCutter(vocabulary), PieceCounts(vocabulary)
         for batch in text_batches(batches):
-            totals = [
-                sum(map(counts.__getitem__, pattern.findall(spaced(x, vocabulary)))) if x else 0
-                for x in batch.column("text").to_pylist()
-            ]
+            totals = [sum(map(counts.__getitem__, cutter.words(x))) for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("paper_id"), pa.array(np.array(totals, np.int64)), *[batch.column(c) for c in carry]],
                 ["paper_id", "n_tokens", *carry],
