@@ -49,17 +49,21 @@ def export_entities(kb: KnowledgeBase) -> DataFrame:
 
 
 def export_relations(kb: KnowledgeBase) -> DataFrame:
-    """Relation rows; an end is shown by its entity's name, else the relation's own text, else the id."""
-    names = kb.entities.select("paper_id", F.col("id").alias("_id"), text_or_empty("name").alias("_name"))
+    """Relation rows; an end is shown by its entity's name, else the relation's own text, else the id.
+
+    Relations that were resolved in this run carry the names of their ends; those read from documents are looked up.
+    """
     titles = kb.papers.select("paper_id", F.col("title").alias("paper_title"))
     rows = kb.relations.join(titles, "paper_id")
-    for side in ("source", "target"):
-        end = names.select("paper_id", F.col("_id").alias(f"{side}_entity_id"), F.col("_name").alias(f"_{side}"))
-        rows = rows.join(end, ["paper_id", f"{side}_entity_id"], "left")
+    if "source_name" not in rows.columns:
+        names = kb.entities.select("paper_id", F.col("id").alias("_id"), text_or_empty("name").alias("_name"))
+        for side in ("source", "target"):
+            end = names.select("paper_id", F.col("_id").alias(f"{side}_entity_id"), F.col("_name").alias(f"{side}_name"))
+            rows = rows.join(end, ["paper_id", f"{side}_entity_id"], "left")
     return rows.select(
         "id",
-        F.coalesce("_source", "source", "source_entity_id").alias("source"),
-        F.coalesce("_target", "target", "target_entity_id").alias("target"),
+        F.coalesce("source_name", "source", "source_entity_id").alias("source"),
+        F.coalesce("target_name", "target", "target_entity_id").alias("target"),
         text_or_empty("type").alias("type"),
         text_or_empty("description").alias("description"),
         F.coalesce("confidence", F.lit(CONFIDENCE)).alias("confidence"),

@@ -154,13 +154,12 @@ def resolve_relations(relations: DataFrame, entities: DataFrame) -> DataFrame:
     """Relations whose two ends are entities of the same paper, by exact lower-cased name.
 
     The lookup does not strip while de-duplication does, so a padded name stays unresolved. De-duplicated names differ
-    in their lower-cased form within a paper, so neither join can multiply rows.
+    in their lower-cased form within a paper, so neither join can multiply rows. The entities' own names come along as
+    ``source_name`` and ``target_name``.
     """
-    names = entities.select("paper_id", F.lower("name").alias("_name"), F.col("id").alias("_id"))
-
     def end(side: str) -> DataFrame:
-        return names.select(
-            "paper_id", F.col("_name").alias(f"_{side}"), F.col("_id").alias(f"{side}_entity_id")
+        return entities.select(
+            "paper_id", F.lower("name").alias(f"_{side}"), F.col("id").alias(f"{side}_entity_id"), F.col("name").alias(f"{side}_name")
         )
 
     keyed = relations.withColumns({"_source": F.lower("source"), "_target": F.lower("target")})
