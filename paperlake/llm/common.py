@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperlake.session import stored, work_dir
+from paperlake.session import new_path, stored
 
 #: 64-bit words in the bitmap of :func:`maybe_among`: 2**17 rows of two longs are broadcast at most, whatever the input.
 BITMAP_WORDS = 1 << 17
@@ -23,11 +22,6 @@ def fold(key: Column, folds: int) -> Column:
     return F.coalesce(F.crc32(key.cast("string")) % folds, F.lit(-1)).cast("int")
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    """An unused path in the shared folder."""
-    return f"{work_dir(spark).rstrip('/')}/paperlake-{name}-{uuid.uuid4().hex}"
-
-
 def text_batches(batches: Iterator[pa.RecordBatch], chars: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Slices whose ``text`` column holds about ``chars`` bytes each, so that what a task builds per slice is bounded by
     that and by the longest text."""
