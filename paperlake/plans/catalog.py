@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -23,7 +22,7 @@ from paperlake.plans import extraction as P
 from paperlake.plans.bindings import NOW, Tables, now
 from paperlake.plans.oracles import APPEARS_IN, HEADINGS, ORPHAN_MESSAGE, RELATED, OMITTED, STAMP, _bib, _id, _safe, _sanitize, _squeeze, _strip, _unwrap_once, _yaml, sql
 from paperlake.schemas import DOCUMENT
-from paperlake.session import stored, work_dir
+from paperlake.session import new_path, stored
 from paperlake.sources import documents as D
 from paperlake.sources import files as S
 from paperlake.streaming.reviews import apply_reviews, latest_state_stream
@@ -1535,7 +1534,7 @@ def e8(t: Tables) -> DataFrame:
 )
 def e9(t: Tables) -> DataFrame:
     """The full export, written and read back: every part of the papers, the global entities, and the manifest."""
-    kb, path = t.knowledge(keep=True), f"{work_dir(t.spark)}/paperlake-export-{uuid.uuid4().hex}"
+    kb, path = t.knowledge(keep=True), new_path(t.spark, "export")
     D.export_all(D.assemble_documents(kb, now(), "m"), K.global_entities(kb.entities, kb.papers), "2024-02-01", path)
     papers = t.spark.read.schema(DOCUMENT).json(f"{path}/papers")
     zero = F.lit(0).cast("bigint")
@@ -1578,7 +1577,7 @@ def e10(t: Tables) -> DataFrame:
 def s6(t: Tables) -> DataFrame:
     """Entity rows written as CSV, JSON lines and text, and read back."""
     rows = stored(E.export_entities(t.knowledge()))
-    path = f"{work_dir(t.spark)}/paperlake-sinks-{uuid.uuid4().hex}"
+    path = new_path(t.spark, "sinks")
     S.write_export(rows, "csv", f"{path}/csv")
     S.write_export(rows, "json", f"{path}/json")
     S.write_export(rows.select(F.to_json(F.struct("id", "name", "definition")).alias("value")), "text", f"{path}/text")
@@ -1599,7 +1598,7 @@ def s4_files(t: Tables) -> DataFrame:
     kb = t.knowledge()
     names = kb.papers.select("paper_id", "user_id", X.safe_filename(F.col("title")).alias("name"))
     paths = E.note_paths(names, "papers", F.col("paper_id"))
-    root = f"{work_dir(t.spark)}/paperlake-vault-{uuid.uuid4().hex}"
+    root = new_path(t.spark, "vault")
     S.materialise_notes(E.paper_notes(kb).join(paths, "paper_id"), root.removeprefix("file://"))
     m = F.col("front_matter")
     return S.read_notes(t.spark, root).select("relative_path", m["title"].alias("title"), m["paperlake_id"].alias("note_id"))

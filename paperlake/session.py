@@ -18,6 +18,7 @@ DEFAULTS = {
 
 
 _private: dict[str, str] = {}
+_made: dict[str, list[str]] = {}
 
 
 def build_session(app_name: str = "paperlake", **conf: str) -> SparkSession:
@@ -38,12 +39,26 @@ def work_dir(spark: SparkSession) -> str:
     return shared or _private[application]
 
 
+def new_path(spark: SparkSession, name: str = "table") -> str:
+    """An unused path in the shared folder; :func:`remove_stored` removes what was written there."""
+    path = f"{work_dir(spark).rstrip('/')}/paperlake-{name}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def remove_stored(spark: SparkSession) -> None:
+    """Remove what this application wrote to the shared folder, when nothing is going to read it any more."""
+    for path in _made.pop(spark.sparkContext.applicationId, []):
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     For results that are used several times, or that must not be computed twice: a lost executor then costs a re-read,
     never a different answer. A Parquet table keeps column pruning, filters and sizes for the plans that follow.
     """
-    path = f"{work_dir(df.sparkSession).rstrip('/')}/paperlake-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

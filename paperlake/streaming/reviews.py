@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from paperlake.operators.srs import review_state, valid_reviews
-from paperlake.session import work_dir
+from paperlake.session import new_path
 from paperlake.streaming.run import latest_rows
 
 
@@ -22,7 +20,7 @@ def apply_reviews(reviews: DataFrame, cards: DataFrame) -> DataFrame:
     of the batch over the whole log. A retried trigger overwrites what it wrote.
     """
     spark = reviews.sparkSession
-    root = f"{work_dir(spark).rstrip('/')}/paperlake-reviews-{uuid.uuid4().hex}"
+    root = new_path(spark, "reviews")
     columns = ["card_id", "ts", "review_id", "quality"]
     log_schema = StructType([*reviews.select(*columns).schema.fields, StructField("trigger", LongType())])
 

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from paperlake.session import work_dir
+from paperlake.session import new_path
 
 
 def latest_rows(
@@ -26,7 +25,7 @@ def latest_rows(
     without rows gives an empty table.
     """
     spark = stream.sparkSession
-    root = f"{work_dir(spark).rstrip('/')}/paperlake-stream-{uuid.uuid4().hex}"
+    root = new_path(spark, "stream")
     fields = list((schema or stream.schema).fields)
     schema = StructType([*fields, StructField("trigger", LongType())])
     spark.createDataFrame([], schema).write.parquet(f"{root}/rows/batch=-1")
