@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -901,11 +902,11 @@ def q5(t: Tables) -> DataFrame:
     sql(
         "state",
         f"""SELECT user_id, card_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY next_review, card_id) AS rank
-        FROM state WHERE next_review <= TIMESTAMP '{NOW}') WHERE rank <= 3""",
+        FROM state WHERE next_review <= TIMESTAMP '{NOW}') WHERE rank <= 20""",
     ),
 )
 def q6(t: Tables) -> DataFrame:
-    return R.due_cards(_state(t), now(), limit=3).select("user_id", "card_id", F.col("rank").cast("bigint").alias("rank"))
+    return R.due_cards(_state(t), now()).select("user_id", "card_id", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query(
@@ -1068,6 +1069,21 @@ def r4(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "r4_accept_annotations",
+    sql(
+        "annots papers",
+        f"""SELECT {_id('ann', 'a.paper_id', 'CAST(a.user_id AS VARCHAR)', "strftime(a.created_at, '%Y-%m-%d %H:%M:%S')", 'content')} AS annotation_id,
+          a.paper_id, a.user_id, content, type || '|x' AS tags FROM annots a JOIN papers p ON p.paper_id = a.paper_id AND p.user_id = a.user_id""",
+    ),
+)
+def r4_annotations(t: Tables) -> DataFrame:
+    sent = t.annotations().drop("annotation_id").withColumn("tags", F.concat(F.lit(" "), "type", F.lit(" ,, x")))
+    return R.accept_annotations(sent, t.papers()).select(
+        "annotation_id", "paper_id", "user_id", "content", F.array_join("tags", "|").alias("tags")
+    )
+
+
 # ---- lifecycle ------------------------------------------------------------------------------------------------
 
 
@@ -1085,6 +1101,27 @@ def m1(t: Tables) -> DataFrame:
     return M.plan_extraction(tasks, t.papers().filter(number % 4 != 0)).select("task_id", "action")
 
 
+@query(
+    "m1_claim_papers",
+    sql(
+        "papers",
+        """SELECT * FROM (WITH p AS (SELECT *, o_orderkey % 5 <> 0 AS finished, o_orderkey % 4 <> 0 AS known FROM papers),
+        q AS (SELECT *, known AND finished AND extraction_status NOT IN ('extracting', 'completed') AS again FROM p)
+        SELECT CASE WHEN known THEN paper_id ELSE 'pk_' || substr(sha256(task_id), 1, 24) END AS paper_id, task_id,
+          CASE WHEN again OR NOT known THEN 'extracting' ELSE extraction_status END AS extraction_status,
+          CASE WHEN known AND NOT again THEN coalesce(extraction_error, '') ELSE '' END AS extraction_error,
+          CASE WHEN again OR NOT known THEN 'm2' ELSE 'm1' END AS extraction_model FROM q WHERE known OR finished)""",
+    ),
+)
+def m1_claims(t: Tables) -> DataFrame:
+    """The paper table after the claims: restarted papers without their error, new ones appended, all others as they were."""
+    number = F.substring("paper_id", 4, 20).cast("bigint")
+    tasks = t.papers().select("task_id", "user_id", F.when(number % 5 == 0, "rewriting").otherwise("completed").alias("status"))
+    known = t.papers().filter(number % 4 != 0).withColumns({"extraction_model": F.lit("m1"), "updated_at": now("2024-01-01 00:00:00")})
+    claimed = M.claim_papers(known, M.plan_extraction(tasks, known), "m2", now())
+    return claimed.select("paper_id", "task_id", "extraction_status", E.text_or_empty("extraction_error").alias("extraction_error"), "extraction_model")
+
+
 @query(
     "m2_expired",
     sql("tasks", f"SELECT task_id FROM tasks WHERE created_at < TIMESTAMP '{NOW}' - INTERVAL 20000 MINUTE AND status IN ('completed', 'error')"),
@@ -1116,24 +1153,31 @@ def m3(t: Tables) -> DataFrame:
 @query(
     "m4_delete_papers",
     sql(
-        "ents rels annots",
-        """SELECT 'entities' AS kind, id FROM ents WHERE CAST(substr(paper_id, 4) AS BIGINT) % 3 <> 0
-        UNION ALL SELECT 'relations', id FROM rels WHERE CAST(substr(paper_id, 4) AS BIGINT) % 3 <> 0
-        UNION ALL SELECT 'annotations', annotation_id FROM annots WHERE CAST(substr(paper_id, 4) AS BIGINT) % 3 <> 0""",
+        "ents rels annots papers live",
+        " UNION ALL ".join(
+            f"SELECT '{kind}' AS kind, {key} AS id FROM {table} WHERE CAST(substr(paper_id, 4) AS BIGINT) % 3 <> 0"
+            for kind, key, table in (
+                ("papers", "paper_id", "papers"), ("entities", "id", "ents"), ("relations", "id", "rels"),
+                ("annotations", "annotation_id", "annots"), ("cards", "card_id", "live"),
+            )
+        ),
     ),
 )
 def m4(t: Tables) -> DataFrame:
+    """A paper goes with its entities, relations, annotations and cards."""
     gone = t.papers().filter(F.substring("paper_id", 4, 20).cast("bigint") % 3 == 0).select("paper_id")
     left = M.delete_papers(
         {
+            "papers": t.papers().withColumn("id", F.col("paper_id")),
             "entities": t.entities(),
             "relations": t.relations(),
             "annotations": t.annotations().withColumnRenamed("annotation_id", "id"),
+            "cards": t.live_cards().withColumnRenamed("card_id", "id"),
         },
         gone,
     )
     rows = [df.select(F.lit(kind).alias("kind"), "id") for kind, df in left.items()]
-    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+    return reduce(DataFrame.unionByName, rows)
 
 
 _LATEST = """SELECT CAST(user_id AS VARCHAR) AS task_id, event_id AS seq, CASE event_type WHEN 'signup' THEN 'pending' WHEN 'view' THEN 'parsing'
