@@ -12,7 +12,7 @@ from paperlake.llm.decontamination import contaminated_papers
 from paperlake.llm.encoding import round_trips
 from paperlake.llm.hidden_markov import score_papers
 from paperlake.llm.language import fit_languages, identify_languages
-from paperlake.llm.licenses import scan_licenses
+from paperlake.llm.licenses import EQUIVALENT, LICENSES, scan_licenses
 from paperlake.llm.near_duplicates import near_duplicates
 from paperlake.llm.nearest import nearest_vectors
 from paperlake.llm.pieces import load_vocabulary
@@ -114,7 +114,40 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _ASCII = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _canonical(text: str) -> str:
+    """SQL for the canonical form of a text."""
+    lines = rf"regexp_replace(lower({text}), '(?m)^[\s*#/;\-]*(copyright|©|\(c\)|all rights reserved)[^\n]*$', ' ', 'g')"
+    words = rf"' ' || regexp_replace(replace({lines}, '&', ' and '), '[^\p{{L}}\p{{N}}]+', ' ', 'g') || ' '"
+    for form, same in EQUIVALENT:
+        words = f"replace({words}, ' {form} ', ' {same} ')"
+    return f"trim(regexp_replace({words}, ' +', ' ', 'g'))"
+
+
+_GAP = "(contains(text, chr(10) || chr(10)) OR contains(text, chr(10) || chr(13) || chr(10)))"
+
 ORACLES: dict[str, str] = {
+    "op3_license_scans": rf"""
+WITH known AS (
+  SELECT DISTINCT license, {_canonical("text")} AS form
+  FROM (VALUES {", ".join(f"({_text(n)}, {_text(t)})" for n, t in LICENSES)}) v(license, text)
+), paragraphs AS (
+  SELECT doc_id, unnest(regexp_split_to_array(text, '\n\r?\n')) AS part FROM documents WHERE {_GAP}
+), units AS (
+  SELECT doc_id, 'text' AS scope, text AS part FROM documents WHERE text IS NOT NULL
+  UNION ALL SELECT doc_id, 'paragraph', part FROM paragraphs
+  UNION ALL SELECT doc_id, 'line', unnest(string_split(part, chr(10))) FROM (
+    SELECT doc_id, part FROM paragraphs UNION ALL SELECT doc_id, text FROM documents WHERE NOT {_GAP}
+  ) WHERE contains(part, chr(10))
+), forms AS (SELECT doc_id, scope, {_canonical("part")} AS form FROM units)
+SELECT doc_id, license, scope, count(*) AS matches FROM forms JOIN known USING (form) WHERE form <> ''
+GROUP BY doc_id, license, scope
+""",
     "op5_ngram_jaccard_join": rf"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_ASCII}), '[^\x20\x09-\x0D]+') AS w FROM documents
