@@ -307,7 +307,7 @@ def _score(model: HiddenMarkov, arrow: pa.Schema):
 
 
 def score_papers(
-    papers: DataFrame, states: int = 4, top_words: int = 2048, rounds: int = 3
+    papers: DataFrame, states: int = 6, top_words: int = 2048, rounds: int = 4
 ) -> DataFrame:
     """Train the model on the papers that learn, and score all of them.
 
