@@ -2,7 +2,8 @@
 
 Texts become templates: numbers, names and units are typed placeholders, other words are themselves. Windows of template
 words are looked up in the hashed windows of the cards' fronts, and what stands in the placeholders has to agree: one
-value of a card is one value in the paper.
+value of a card is one value in the paper. Copies are also looked for in the plain words, without case and punctuation:
+a long run of a card's words is a hit whatever share of the card it is.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from paperlake.llm.common import pieces_of, stored, text_batches
-from paperlake.llm.shingles import MEMO_WORDS, windows
+from paperlake.llm.shingles import GOLDEN, MEMO_WORDS, windows
 
 # Measures that count as units, and words that count as numbers.
 UNITS = frozenset((
@@ -37,25 +38,32 @@ NUMBER_WORDS = frozenset((
 ))
 NUMBER = re.compile(r"[-+$€£]?\d[\d.,:/]*[%€$£]?")
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
+MARKS = re.compile(r"[\W_]+")
 ENDS = (".", "!", "?", ":", ";")
 
 WORD, NUMERIC, UNIT, CAPITAL = range(4)
 ENDS_BIT, SKIP_BIT = 4, 8
 LOW_BITS = np.uint64(15)
 
-#: Template windows of cards that one pass over the papers looks for (8 bytes each, and the cards' texts); a larger set
-#: of cards is taken in blocks, one pass each.
+#: Words of cards that one pass over the papers looks for (two windows of 8 bytes each, and the cards' texts); a larger
+#: set of cards is taken in blocks, one pass each.
 PASS_WINDOWS = 500_000
 
 
 class Tokens(dict):
-    """Raw token -> hash of its normal form with kind and flags in the low bits, computed once per distinct token."""
+    """Raw token -> its place in ``packed`` and ``plain``, computed once per distinct token.
+
+    ``packed`` is the hash of its normal form with kind and flags in the low bits, ``plain`` that of its letters and
+    digits alone, without case.
+    """
+
+    def __init__(self) -> None:
+        self.packed, self.plain = np.zeros(1024, np.uint64), np.zeros(1024, np.uint64)
 
     def __missing__(self, raw: bytes) -> int:
-        if len(self) >= MEMO_WORDS:
-            self.clear()
         token = raw.decode("utf-8", "surrogatepass")
         inner = EDGES.sub("", token)
+        plain = MARKS.sub("", inner).casefold()
         if NUMBER.fullmatch(token.rstrip(".,;:!?)\"'").lstrip("(\"'")):
             inner, kind = token.strip(".,;:!?()\"'+$€£%"), NUMERIC
         else:
@@ -63,8 +71,19 @@ class Tokens(dict):
             kind = NUMERIC if lower in NUMBER_WORDS else UNIT if lower in UNITS else CAPITAL if inner[:1].isupper() else WORD
             inner = lower
         flags = kind | (ENDS_BIT if token.rstrip("\"')").endswith(ENDS) else 0) | (0 if inner else SKIP_BIT)
-        value = self[raw] = (xxhash.xxh3_64_intdigest(inner.encode("utf-8", "surrogatepass")) & ~15) | flags
-        return value
+        place = len(self)
+        if place == len(self.packed):
+            self.packed, self.plain = np.tile(self.packed, 2), np.tile(self.plain, 2)
+        self.packed[place] = (xxhash.xxh3_64_intdigest(inner.encode("utf-8", "surrogatepass")) & ~15) | flags
+        self.plain[place] = xxhash.xxh3_64_intdigest(plain.encode("utf-8", "surrogatepass"))
+        self[raw] = place
+        return place
+
+    def of(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self) >= MEMO_WORDS:
+            self.clear()
+        places = np.fromiter(map(self.__getitem__, raw), np.int64, len(raw))
+        return self.packed[places], self.plain[places]
 
 
 @dataclass
@@ -72,20 +91,22 @@ class Template:
     codes: np.ndarray  # of template words: placeholders share one code per kind
     values: np.ndarray  # of what stood there
     slots: np.ndarray  # bool
+    plain: np.ndarray  # of letters and digits alone, whatever the kind
 
 
 def template(text: str | None, memo: Tokens) -> Template:
     """Template words of a whole text. A capitalised word is a name unless it starts a sentence."""
     raw = text.encode("utf-8", "surrogatepass").split() if text else []
-    packed = np.fromiter(map(memo.__getitem__, raw), np.uint64, len(raw))
-    packed = packed[(packed & np.uint64(SKIP_BIT)) == 0]
+    packed, plain = memo.of(raw)
+    keep = (packed & np.uint64(SKIP_BIT)) == 0
+    packed, plain = packed[keep], plain[keep]
     kind = packed & np.uint64(3)
     starts = np.ones(len(packed), bool)
     starts[1:] = (packed[:-1] & np.uint64(ENDS_BIT)) != 0
     values = packed & ~LOW_BITS
     slots = (kind == NUMERIC) | (kind == UNIT) | ((kind == CAPITAL) & ~starts)
     codes = np.where(slots, kind, values)
-    return Template(codes, values, slots)
+    return Template(codes, values, slots, plain)
 
 
 def window_hashes(one: Template, width: int, least_words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -97,10 +118,33 @@ def window_hashes(one: Template, width: int, least_words: int) -> tuple[np.ndarr
     return windows(one.codes, width)[places], places
 
 
+def run_hashes(plain: np.ndarray, width: int) -> np.ndarray:
+    """Hash of every run of ``width`` plain words, put together from those of half the width."""
+    if width == 1:
+        return plain
+    half = width // 2
+    part = run_hashes(plain, half)
+    factor = np.uint64(pow(int(GOLDEN), half, 1 << 64))
+    count = max(0, len(plain) - width + 1)
+    total = part[:count] * factor + part[half : half + count]
+    return total if width % 2 == 0 else total * GOLDEN + plain[width - 1 : width - 1 + count]
+
+
+def _table(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, owners, places) of all parts in the order of the hashes, and a bitmap of the hashes' first bits."""
+    hashes, owner, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(hashes, kind="stable")
+    hashes = hashes[order]
+    bitmap = np.zeros(1 << 20, bool)
+    bitmap[(hashes >> np.uint64(44)).astype(np.int64)] = True
+    return hashes, owner[order], place[order], bitmap
+
+
 class CardIndex:
-    """Hashed template windows of a block of cards. A card shorter than ``width`` is one window of its length."""
+    """Hashed template windows and runs of plain words of a block of cards. A card shorter than ``width`` is one window
+    of its length, and one shorter than ``run`` one run."""
 
-    def __init__(self, cards: list[tuple[object, str]], width: int, least_words: int) -> None:
+    def __init__(self, cards: list[tuple[object, str]], width: int, least_words: int, run: int = 13) -> None:
         memo = Tokens()
         self.ids, self.width, self.least_words = [c for c, _ in cards], width, least_words
         self.templates = [template(t, memo) for _, t in cards]
@@ -113,17 +157,43 @@ class CardIndex:
             hashes, places = window_hashes(one, size, least_words)
             self.totals[number] = len(hashes)
             rows.setdefault(size, []).append((hashes, np.full(len(hashes), number), places))
-        self.by_size = {}
-        for size, parts in rows.items():
-            hashes, owner, place = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.argsort(hashes, kind="stable")
-            hashes = hashes[order]
-            bitmap = np.zeros(1 << 20, bool)
-            bitmap[(hashes >> np.uint64(44)).astype(np.int64)] = True
-            self.by_size[size] = (hashes, owner[order], place[order], bitmap)
-
-    def hits(self, one: Template) -> list[tuple[int, float, int, bool]]:
-        """(card number, share of its windows found, windows found, whether a placeholder holds something else)."""
+        self.by_size = {size: _table(parts) for size, parts in rows.items()}
+        rows = {}
+        for number, one in enumerate(self.templates):
+            size = min(run, len(one.plain))
+            if size >= max(1, least_words):
+                hashes = run_hashes(one.plain, size)
+                rows.setdefault(size, []).append((hashes, np.full(len(hashes), number), np.arange(len(hashes))))
+        self.runs_by_size = {size: _table(parts) for size, parts in rows.items()}
+
+    def runs(self, one: Template) -> dict[int, int]:
+        """Card number -> words of the longest run of its plain words that is found, if it is long enough."""
+        longest: dict[int, int] = {}
+        for size, (hashes, owner, place, bitmap) in self.runs_by_size.items():
+            own = run_hashes(one.plain, size)
+            likely = np.flatnonzero(bitmap[(own >> np.uint64(44)).astype(np.int64)])
+            if not len(likely):
+                continue
+            low = np.searchsorted(hashes, own[likely], "left")
+            many = np.searchsorted(hashes, own[likely], "right") - low
+            if not many.any():
+                continue
+            row = np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())
+            card, start = owner[row], place[row]
+            shift = np.repeat(likely, many) - start
+            order = np.lexsort((start, shift, card))
+            card, start, shift = card[order], start[order], shift[order]
+            # Windows that follow each other at one distance from the card's are one run.
+            breaks = np.flatnonzero((np.diff(card) != 0) | (np.diff(shift) != 0) | (np.diff(start) != 1)) + 1
+            begins = np.concatenate(([0], breaks))
+            lengths = np.diff(np.concatenate((begins, [len(card)]))) + size - 1
+            for c, n in zip(card[begins].tolist(), lengths.tolist(), strict=True):
+                longest[c] = max(longest.get(c, 0), n)
+        return longest
+
+    def hits(self, one: Template) -> list[tuple[int, float, int, bool, int]]:
+        """(card number, share of its windows found, windows found, whether a placeholder holds something else, words of
+        its longest run found)."""
         found: dict[int, set[int]] = {}
         changed: dict[int, bool] = {}
         for size, (hashes, owner, place, bitmap) in self.by_size.items():
@@ -152,22 +222,28 @@ class CardIndex:
                         slots.update(fresh)
                         found.setdefault(card, set()).add(start)
                         changed[card] = changed.get(card, False) or differs
-        return [(c, len(s) / int(self.totals[c]), len(s), changed[c]) for c, s in sorted(found.items())]
+        runs = self.runs(one)
+        return [
+            (c, len(s) / int(self.totals[c]) if s else 0.0, len(s), changed.get(c, False), runs.get(c, 0))
+            for c in sorted(found.keys() | runs.keys()) for s in [found.get(c, ())]
+        ]
 
 
 def mark_contamination(
     papers: DataFrame, cards: DataFrame, width: int = 8, least_words: int = 4, coverage: float = 0.5,
-    carry: Sequence[str] = (),
-) -> DataFrame:
+    run: int = 13, carry: Sequence[str] = (),
+) -> DataFrame:
     """Which cards' questions the papers hold.
 
     ``papers`` has paper_id and text, ``cards`` card_id and front; other columns are ignored but for those named in
     ``carry``, which come back as they are. Returns one row per row of papers: paper_id, hits (array of card_id,
-    coverage, windows, changed; empty where there is none) and the carried columns.
+    coverage, windows, changed, run; empty where there is none) and the carried columns.
 
     A card is hit where at least ``coverage`` of its windows of ``width`` template words are in the paper with
-    placeholders that agree. Windows with fewer than ``least_words`` plain words are not looked for, nor are cards of
-    fewer template words, null or blank fronts. ``changed`` says that a placeholder holds another value than the card.
+    placeholders that agree, or where ``run`` of its words (all, if it has fewer) follow each other in the paper in any
+    case and punctuation; ``run`` of a hit is the longest such run, 0 if none is long enough. Template windows with fewer
+    than ``least_words`` plain words are not looked for, nor are cards of fewer words, null or blank fronts. ``changed``
+    says that a placeholder of a template window holds another value than the card.
     Null and empty papers hold nothing; repeated cards count once, ids that have several fronts once per front. Cards
     are read in blocks of about ``PASS_WINDOWS`` windows; every block is searched in all papers.
     """
@@ -179,6 +255,7 @@ def mark_contamination(
     hit = T.StructType([
         T.StructField("card_id", card_kind), T.StructField("coverage", T.DoubleType()),
         T.StructField("windows", T.IntegerType()), T.StructField("changed", T.BooleanType()),
+        T.StructField("run", T.IntegerType()),
     ])
     arrow_hits = to_arrow_type(T.ArrayType(hit))
     frame = papers.select("paper_id", "text", *carry).withColumn("hits", F.array().cast(T.ArrayType(hit)))
@@ -190,8 +267,8 @@ def mark_contamination(
                 rows = batch.column("hits").to_pylist()
                 for row, text in zip(rows, batch.column("text").to_pylist(), strict=True):
                     row += [
-                        {"card_id": index.ids[c], "coverage": share, "windows": n, "changed": changed}
-                        for c, share, n, changed in index.hits(template(text, memo)) if share >= coverage
+                        {"card_id": index.ids[c], "coverage": share, "windows": n, "changed": changed, "run": longest}
+                        for c, share, n, changed, longest in index.hits(template(text, memo)) if longest or n and share >= coverage
                     ]
                 place = batch.schema.get_field_index("hits")
                 yield batch.set_column(place, batch.schema.field(place), pa.array(rows, arrow_hits))
@@ -200,13 +277,13 @@ def mark_contamination(
 
     for number in range(blocks):
         rows = [(r["card_id"], r["front"]) for r in known.where(part == number).collect()]
-        index = CardIndex(sorted(rows, key=lambda r: (str(r[0]), r[1])), width, least_words)
+        index = CardIndex(sorted(rows, key=lambda r: (str(r[0]), r[1])), width, least_words, run)
         # A pass ends before the next one starts, so that no task holds more than one block.
         frame = (stored(frame) if number else frame).mapInArrow(search(index), frame.schema)
     return frame.drop("text")
 
 
 def contaminated_papers(papers: DataFrame, cards: DataFrame, **options) -> DataFrame:
-    """(paper_id, card_id, coverage, windows, changed) for every paper and card that :func:`mark_contamination` finds."""
+    """(paper_id, card_id, coverage, windows, changed, run) for every paper and card that :func:`mark_contamination` finds."""
     marked = mark_contamination(papers, cards, **options)
     return marked.select("paper_id", F.explode("hits").alias("hit")).select("paper_id", "hit.*")

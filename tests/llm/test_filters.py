@@ -227,3 +227,31 @@ def test_hits_equal_the_definition():
         index = D.CardIndex([(1, card)], 8, 4)
         hits = index.hits(D.template(paper, D.Tokens()))
         assert (hits[0][1] if hits else 0.0) == pytest.approx(brute_hits(paper, card)), (card, paper)
+
+
+def test_copies_are_found_in_any_case_and_in_part(spark):
+    words = QUESTION.split()
+    names = "Anna Maria Lopez Garcia met Paul Peter Jones"  # no template window has four plain words
+    papers = [
+        QUESTION, QUESTION.upper(), QUESTION.title(), QUESTION.replace(",", "").replace(".", ""), " ".join(words[:13]), " ".join(words[-13:]),
+        " ".join(words[:12]), names, names.lower(), "Anna Maria Lopez Garcia met Paul Peter Smith",
+    ]
+    texts = [f"other words come first {p} and others follow" for p in papers]
+    frame = spark.createDataFrame(list(enumerate(texts)), "paper_id long, text string")
+    fronts = spark.createDataFrame([(10, QUESTION), (11, names)], "card_id int, front string")
+    got = {(r.paper_id, r.card_id): r.run for r in contaminated_papers(frame, fronts).collect()}
+    assert got.items() >= {(0, 10): 21, (1, 10): 21, (2, 10): 21, (3, 10): 21, (4, 10): 13, (5, 10): 13, (7, 11): 8, (8, 11): 8}.items()
+    assert (9, 11) not in got and all(n >= 8 for k, n in got.items() if k != (6, 10))
+
+
+def test_runs_equal_the_definition():
+    draw = random.Random(4)
+    for _ in range(300):
+        card, paper = ([draw.choice("ab") for _ in range(draw.randint(0, n))] for n in (12, 40))
+        index = D.CardIndex([(1, " ".join(card))], 8, 4, run=6)
+        least = min(6, len(card))
+        both = [
+            n for n in range(max(least, 4), len(card) + 1) for i in range(len(card) - n + 1)
+            if any(paper[k : k + n] == card[i : i + n] for k in range(len(paper) - n + 1))
+        ]
+        assert index.runs(D.template(" ".join(paper).upper(), D.Tokens())).get(0, 0) == (max(both) if both and least >= 4 else 0)
