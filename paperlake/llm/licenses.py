@@ -2,9 +2,41 @@
 
 from __future__ import annotations
 
+import re
+from importlib.resources import files
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# A line that is a notice: copyright with a sign, a year or a name. Licences are wrapped anywhere, so a line that begins
+# with "copyright notice", "copyright holder" or a clause (c) belongs to the text.
+_NO_NAME = (
+    r"(?!(?i:notices?|holders?|owners?|laws?|licen[cs]es?|licen[cs]ed|statements?|interests?|permissions?|treaty|treaties|"
+    r"protection|rights?|disclaimers?|terms|claims?|information|management|infringement|and|or|in|on|of|to|for|is|as|that|"
+    r"which|with|under|from|has|may|shall|will|this|these|those|any|other|similar)\b)"
+)
+_NO_CLAUSE = (
+    r"(?!\s+(?i:you|the|any|for|to|if|in|all|each|an?|that|such|under|may|must|shall|it|its|with|without|by|use|where|when|"
+    r"from|of|or|and|this|these|those|no|not|other|on|at|as|is|are|neither|accompany|convey|keep|include|prohibit|require|"
+    r"retain|give|provide|cause|distribute|publicity)\b)"
+)
+_COPYRIGHT = (
+    r"[\s*#/;\-]*(?:(?i:copyright)[ \t:,]*(?:(?i:\(c\))|©|\d|[\[<{]|(?i:by\b|years?\b))"
+    rf"|(?:Copyright|COPYRIGHT)[ \t]+{_NO_NAME}\p{{L}}|copyright[ \t]+{_NO_NAME}\p{{Lu}}"
+    rf"|©|(?i:\(c\)){_NO_CLAUSE}|(?i:all rights reserved))[^\n]*"
+)
+_NOTICE = re.compile(f"(?m)^{_COPYRIGHT}$".replace(r"\p{Lu}", "[A-Z]").replace(r"\p{L}", r"[^\W\d_]"))
+
+
+def _whole(name: str) -> list[tuple[str, str]]:
+    """The stored file of a licence in one line without its notices: with and without its title and its appendix."""
+    text = _NOTICE.sub(" ", (files(__package__) / "license_texts" / f"{name}.txt").read_text("utf-8")).strip()
+    short = re.split(r"(?im)^\s*(?:appendix: |how to apply these terms)", text)[0].strip()
+    bare = re.split(r"(?im)^\s*END OF TERMS AND CONDITIONS\s*$", text)[0].strip()
+    texts = [x for y in (text, short, bare) for x in (y, y.split("\n", 1)[1])]
+    return [(name, x) for x in dict.fromkeys(" ".join(x.split()) for x in texts)]
+
+
 _WARRANTY = (
     "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO "
     "THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE "
@@ -28,10 +60,18 @@ _BSD_START = (
     "distribution. "
 )
 
+_UNLICENSE_END = (
+    "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright "
+    "interest in the software to the public domain. We make this dedication for the benefit of the public at large and to "
+    "the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity "
+    "of all present and future rights to this software under copyright law. "
+    + _WARRANTY.replace("AUTHORS OR COPYRIGHT HOLDERS", "AUTHORS")
+)
+
 # Licence texts and the notices that stand for a licence.
 LICENSES = (
-    ("MIT", "MIT License\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and "
-     "associated documentation files (the \"Software\"), to deal in the Software without restriction, including without "
+    ("MIT", "MIT License\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and "
+     "associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without "
      "limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the "
      "Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The "
      "above copyright notice and this permission notice shall be included in all copies or substantial portions of the "
@@ -75,6 +115,38 @@ LICENSES = (
      "publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any "
      "purpose, commercial or non-commercial, and by any means."),
 )
+_TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"), "ISC": ("ISC License", "The ISC License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The 2-Clause BSD License", "BSD 2-Clause \"Simplified\" License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The 3-Clause BSD License", "BSD 3-Clause \"New\" or \"Revised\" License"),
+    "Unlicense": ("The Unlicense",),
+}
+_SPDX = {
+    **{n: (n,) for n in ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "MPL-2.0", "CC-BY-4.0", "CC-BY-SA-4.0",
+                         "CC-BY-NC-4.0", "CC0-1.0", "Unlicense")},
+    **{n: (n, f"{n}-only", f"{n}-or-later") for n in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0")},
+}
+
+
+def _more() -> tuple[tuple[str, str], ...]:
+    """Whole texts with and without titles, and SPDX lines, of every licence."""
+    texts = {n: [t for m, t in LICENSES if m == n and len(t) > 200] for n in _TITLES}
+    texts["MIT"] = [t.removeprefix("MIT License\n") for t in texts["MIT"]]
+    texts["ISC"] = [t.removeprefix("ISC License\n") for t in texts["ISC"]]
+    texts["ISC"] += [t.replace("and/or distribute", "and distribute") for t in texts["ISC"]]
+    for name in ("BSD-2-Clause", "BSD-3-Clause"):
+        texts[name] += [re.sub(r" [123]\. ", " ", t) for t in texts[name]]
+    texts["Unlicense"] = [
+        f"{t} {_UNLICENSE_END} For more information, please refer to <{site}>" for t in texts["Unlicense"]
+        for site in ("https://unlicense.org", "http://unlicense.org")
+    ]
+    rows = [(n, x) for n, own in texts.items() for t in own for x in (t, *[f"{title} {t}" for title in _TITLES[n]])]
+    for name in ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0"):
+        rows += _whole(name)
+    return (*rows, *[(n, f"SPDX-License-Identifier: {x}") for n, own in _SPDX.items() for x in own])
+
+
+LICENSES += _more()
 # Spellings and forms that say the same, applied in this order to lower-cased words between blanks.
 EQUIVALENT = (
     ("licence", "license"), ("licenced", "licensed"), ("licences", "licenses"), ("licencing", "licensing"),
@@ -86,12 +158,9 @@ EQUIVALENT = (
 )
 
 
-_COPYRIGHT = r"[\s*#/;\-]*(?:copyright|©|\(c\)|all rights reserved)[^\n]*"
-
-
 def canonical(text: Column) -> Column:
-    """Lower case; no copyright lines; words only, in their equivalent spellings, one blank between them."""
-    lines = F.regexp_replace(F.lower(text), f"(?m)^{_COPYRIGHT}$", " ")
+    """Lower case; no copyright notices; words only, in their equivalent spellings, one blank between them."""
+    lines = F.lower(F.regexp_replace(text, f"(?m)^{_COPYRIGHT}$", " "))
     words = F.concat(F.lit(" "), F.regexp_replace(F.replace(lines, F.lit("&"), F.lit(" and ")), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
     for form, same in EQUIVALENT:
         words = F.replace(words, F.lit(f" {form} "), F.lit(f" {same} "))
@@ -100,8 +169,8 @@ def canonical(text: Column) -> Column:
 
 def first_word(text: Column) -> Column:
     """The word a text's canonical form is made from first, before equivalent spellings are put in."""
-    found = F.regexp_extract(text, f"(?i)\\A(?:{_COPYRIGHT}(?:\n|\\z))*([^\\p{{L}}\\p{{N}}]*)([\\p{{L}}\\p{{N}}]*)", 2)
-    lead = F.regexp_extract(text, f"(?i)\\A(?:{_COPYRIGHT}(?:\n|\\z))*([^\\p{{L}}\\p{{N}}]*)", 1)
+    found = F.regexp_extract(text, f"\\A(?:{_COPYRIGHT}(?:\n|\\z))*([^\\p{{L}}\\p{{N}}]*)([\\p{{L}}\\p{{N}}]*)", 2)
+    lead = F.regexp_extract(text, f"\\A(?:{_COPYRIGHT}(?:\n|\\z))*([^\\p{{L}}\\p{{N}}]*)", 1)
     return F.when(F.contains(lead, F.lit("&")), F.lit("and")).otherwise(F.lower(found))
 
 

@@ -1,13 +1,16 @@
 """Language, toxicity, quality, licences, decontamination."""
 
 import random
+import textwrap
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from paperlake.llm import decontamination as D
+from paperlake.llm import licenses
 from paperlake.llm import toxicity as X
 from paperlake.llm.decontamination import contaminated_papers, mark_contamination
 from paperlake.llm.language import SLICE, fit_languages, identify_languages, letter_table, ngram_counts
@@ -255,3 +258,22 @@ def test_runs_equal_the_definition():
             if any(paper[k : k + n] == card[i : i + n] for k in range(len(paper) - n + 1))
         ]
         assert index.runs(D.template(" ".join(paper).upper(), D.Tokens())).get(0, 0) == (max(both) if both and least >= 4 else 0)
+
+
+def test_wrapped_license_files_are_found(spark):
+    mit, isc = (next(t for n, t in LICENSES if n == k).split("\n", 1)[1] for k in ("MIT", "ISC"))
+    bsd = next(t for n, t in LICENSES if n == "BSD-3-Clause")
+    stored = Path(licenses.__file__).with_name("license_texts")
+    rows = [
+        (name, f"{title}Copyright {owner}\n\n{textwrap.fill(text, width)}\n")
+        for name, titles, text in (("MIT", ["", "The MIT License (MIT)\n\n"], mit), ("ISC", ["", "ISC License\n\n"], isc), ("BSD-3-Clause", ["", "BSD 3-Clause License\n\n"], bsd))
+        for title in titles for owner in ("(c) 2001 Some One", "2001, 2003 Some One", "The Some Authors") for width in range(50, 81)
+    ]
+    rows.append(("ISC", isc.replace("that the above copyright", "that the above\ncopyright")))
+    for file in sorted(stored.iterdir()):
+        text = file.read_text("utf-8")
+        rows += [(file.stem, text), (file.stem, text.replace("\n", "\r\n")), (file.stem, "\n\n".join(x if "Copyright" in x else textwrap.fill(x, 70) for x in text.split("\n\n")))]
+    rows += [(n, f"// SPDX-License-Identifier: {n}") for n, _ in LICENSES]
+    frame = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "paper_id long, text string")
+    got = {(r.paper_id, r.license) for r in scan_licenses(frame).collect() if r.scope == "text"}
+    assert got == {(i, n) for i, (n, _) in enumerate(rows)}
