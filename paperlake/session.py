@@ -46,11 +46,32 @@ def new_path(spark: SparkSession, name: str = "table") -> str:
     return path
 
 
+def _located(spark: SparkSession, path: str):
+    """A path and its file system, of any kind that Spark knows."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place, files = _located(spark, path)
+    return bool(files.exists(place))
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of what is in a folder; none if it is not there."""
+    place, files = _located(spark, path)
+    return [x.getPath().getName() for x in files.listStatus(place)] if files.exists(place) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    place, files = _located(spark, path)
+    files.delete(place, True)
+
+
 def remove_stored(spark: SparkSession) -> None:
     """Remove what this application wrote to the shared folder, when nothing is going to read it any more."""
     for path in _made.pop(spark.sparkContext.applicationId, []):
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        remove(spark, path)
 
 
 def stored(df: DataFrame) -> DataFrame:
