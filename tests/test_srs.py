@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from paperlake.operators import srs as R
 from paperlake.plans.bindings import now
 from paperlake.session import stored
-from paperlake.streaming.reviews import apply_reviews
+from pyspark.sql.types import StructType
+
+from paperlake.streaming.reviews import apply_reviews, latest_state_stream, review_states, run_reviews
+from paperlake.streaming.run import latest_rows
 
 START = datetime(2024, 1, 1)
 REVIEW = "card_id string, ts timestamp_ntz, review_id long, quality int"
@@ -90,6 +93,67 @@ def test_stream_equals_batch(spark, tmp_path):
         close(row, plain(qualities[card], 3, 15.0, 2.0))
 
 
+def streamed(spark, folder, sent, parts):
+    """A stream with a trigger for each of the conditions, in their order."""
+    for part in parts:
+        sent.filter(part).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(sent.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def test_late_reviews_are_dropped_and_counted(spark, tmp_path):
+    qualities = {"a": [5, 4, 2, 3, 5, 1, 4, 4], "b": [3] * 8}
+    cards, reviews = logs(spark, qualities)
+    sent = reviews.withColumn("user_id", F.lit(1).cast("bigint"))
+    hour = F.lit(START).cast("timestamp_ntz")
+    sent = sent.withColumn("h", ((F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(hour.cast("timestamp"))) / 3_600_000_000).cast("int"))
+    # Hours 0 and 4 come, then 7 and 3 (in time), then, when the watermark is at 7 - 2, the late 1 and 5 and 6 in time.
+    stream = streamed(spark, str(tmp_path / "in"), sent, ["h IN (0, 4)", "h IN (3, 7)", "h IN (1, 5, 6)"])
+    run = run_reviews(stream.drop("h"), cards, delay="2 hours")
+    assert run.late == 2
+    rows = {r.card_id: r for r in run.rows.collect()}
+    kept = sent.filter("h IN (0, 4, 3, 7, 5, 6)").drop("h", "user_id")
+    for r in R.review_state(cards, kept).collect():
+        own = rows[r.card_id]
+        assert (own.repetitions, own.last_review, own.next_review) == (r.repetitions, r.last_review, r.next_review)
+        assert abs(own.ease_factor - r.ease_factor) < 1e-9 and abs(own.interval_days - r.interval_days) < 1e-9
+
+
+def test_settled_reviews_leave_the_state(spark, tmp_path):
+    cards, reviews = logs(spark, {"a": [3] * 12})
+    sent = reviews.withColumn("user_id", F.lit(1).cast("bigint"))
+    stream = streamed(spark, str(tmp_path / "in"), sent, [f"review_id % 12 = {k}" for k in (*range(1, 12), 0)])
+    run = latest_rows(review_states(stream, cards, "2 hours"), "card_id")
+    rows = run.rows.collect()  # the first review comes last, which is too late
+    assert len(rows) == 1 and rows[0].settled + rows[0].waiting == 11 and rows[0].waiting <= 4 and run.late == 1
+
+
+def test_folders_of_triggers_are_folded(spark, tmp_path, monkeypatch):
+    from paperlake.streaming import run as run_module
+
+    monkeypatch.setattr(run_module, "FOLD_EVERY", 3)
+    schema = "k string, v long"
+    log = run_module.RowLog(spark, str(tmp_path / "log"), "k", StructType.fromDDL(schema))
+    for number in range(11):
+        log.write(spark.createDataFrame([("a", number), (f"b{number}", 0)], schema), number)
+        log.write(spark.createDataFrame([("a", number), (f"b{number}", 1)], schema), number)  # tried again
+        got = {r.k: r.v for r in log.read().collect()}
+        assert got == {"a": number} | {f"b{k}": 1 for k in range(number + 1)}
+    assert len(list((tmp_path / "log/rows").iterdir())) <= 6 and len(list((tmp_path / "log/base").iterdir())) <= 2
+
+
+def test_closed_tasks_leave_the_state(spark, tmp_path):
+    rows = [(f"t{k}", START + timedelta(hours=k), k, "completed" if k % 2 else "parsing", k) for k in range(20)]
+    rows += [("t3", START + timedelta(hours=1), 100, "pending", 1)]  # older than what is there
+    sent = spark.createDataFrame(rows, "task_id string, ts timestamp_ntz, seq long, status string, percent int")
+    stream = streamed(spark, str(tmp_path / "in"), sent, [f"seq % 100 BETWEEN {4 * k} AND {4 * k + 3}" for k in range(5)])
+    run = latest_rows(latest_state_stream(stream, "20 hours", keep_days=1 / 24), "task_id")
+    found = {r.task_id: (r.status, r.seq, r.ts) for r in run.rows.collect()}
+    assert len(found) == 20 and found["t3"] == ("completed", 3, START + timedelta(hours=3))
+    kept = latest_rows(latest_state_stream(streamed(spark, str(tmp_path / "again"), sent, [f"seq % 100 BETWEEN {4 * k} AND {4 * k + 3}" for k in range(5)]), "2 hours", keep_days=1 / 24), "task_id")
+    assert kept.rows.count() == 20  # all of them stay in the table
+    assert kept.state_rows < run.state_rows
+
+
 def test_stream_without_rows_is_an_empty_table(spark, tmp_path):
     cards, reviews = logs(spark, {"a": [3]})
     sent = reviews.withColumn("user_id", F.lit(1).cast("bigint"))
