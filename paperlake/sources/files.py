@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from paperlake.functions.text import strip
 
@@ -68,11 +68,11 @@ def front_matter(text: Column) -> Column:
         value = F.when(raw.rlike(r'(?s)\A".*"\z'), plain).otherwise(raw)
         return F.struct(strip(F.substring(line, F.lit(1), colon - 1)).alias("key"), value.alias("value"))
 
-    # Read backwards, the first of equal keys is the one that counts.
-    entries = F.reverse(F.transform(lines, entry))
-    keys = F.transform(entries, lambda e: e["key"])
-    last = F.filter(entries, lambda e, i: F.array_position(keys, e["key"]) == i + 1)
-    return F.map_from_entries(last)
+    # In order of key and place, an entry counts if another key follows it.
+    placed = F.array_sort(F.transform(F.transform(lines, entry), lambda e, i: F.struct(e["key"].alias("key"), i.alias("at"), e["value"].alias("value"))))
+    followed = F.arrays_zip(placed.alias("own"), F.slice(placed, F.lit(2), F.greatest(F.size(placed), F.lit(1))).alias("next"))
+    last = F.filter(followed, lambda e: ~e["own"]["key"].eqNullSafe(e["next"]["key"]))
+    return F.map_from_entries(F.transform(last, lambda e: F.struct(e["own"]["key"].alias("key"), e["own"]["value"].alias("value"))))
 
 
 def read_notes(spark: SparkSession, path: str) -> DataFrame:
@@ -119,31 +119,10 @@ def write_export(df: DataFrame, fmt: str, path: str) -> None:
 
 
 def write_notes(notes: DataFrame, path: str) -> None:
-    """Write notes as a table; on a cluster that is where they stay."""
+    """Write notes as a table (``note_files.write_note_files`` writes them as files)."""
     notes.write.mode("overwrite").parquet(path)
 
 
-def materialise_notes(notes: DataFrame, root: str) -> None:
-    """Write whole notes ``(relative_path, content)`` as files below ``root``, each through a rename so that no reader
-    sees half a note. Tasks write to their machine's own disk, so this is for local mode and refused elsewhere."""
-    if not notes.sparkSession.sparkContext.master.startswith("local"):
-        raise ValueError("files of executors would lie on different machines; write a table instead")
-
-    def write(rows) -> None:
-        import os
-        import uuid
-
-        for row in rows:
-            target = os.path.join(root, row["relative_path"])
-            os.makedirs(os.path.dirname(target), exist_ok=True)
-            draft = os.path.join(os.path.dirname(target), f".{os.path.basename(target)}.{uuid.uuid4().hex[:8]}.tmp")
-            with open(draft, "w", encoding="utf-8", newline="\n") as handle:
-                handle.write(row["content"])
-            os.replace(draft, target)
-
-    notes.select("relative_path", "content").foreachPartition(write)
-
-
 def align_schema(df: DataFrame, schema: StructType | str, defaults: dict[str, object] | None = None) -> DataFrame:
     """Bring an older table to ``schema``: missing columns are added with their default or null, others are cast."""
     target = StructType.fromDDL(schema) if isinstance(schema, str) else schema
@@ -154,3 +133,22 @@ def align_schema(df: DataFrame, schema: StructType | str, defaults: dict[str, ob
             for f in target.fields
         ]
     )
+
+
+def read_versions(
+    spark: SparkSession, path: str, schema: StructType | str, defaults: dict[int, dict[str, object]] | None = None
+) -> DataFrame:
+    """A table that was written in several versions, below ``path`` in folders ``version=<n>``, as rows of ``schema``.
+
+    All versions are one scan with the target's schema: columns that a version does not have are null or the default
+    that ``defaults`` gives for that version, and narrower numbers (int, float, shorter decimals) are read as the wider
+    ones of the schema. ``version`` is added as the last column. Filters on it leave folders out.
+    """
+    target = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    rows = spark.read.schema(StructType([*target.fields, StructField("version", IntegerType())])).parquet(path)
+    columns = {}
+    for version, values in (defaults or {}).items():
+        for name, value in values.items():
+            own = columns.get(name, F.col(name))
+            columns[name] = F.when(F.col("version") == version, F.lit(value).cast(target[name].dataType)).otherwise(own)
+    return rows.withColumns(columns)

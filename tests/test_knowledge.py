@@ -13,6 +13,7 @@ from paperlake.plans.bindings import now
 from paperlake.schemas import DOCUMENT
 from paperlake.sources import documents as D
 from paperlake.sources import files as S
+from paperlake.sources.note_files import write_note_files
 
 MENTION = (
     "paper_id string, chunk_no int, pos int, name string, type string, aliases array<string>, definition string, "
@@ -277,7 +278,7 @@ def test_notes_are_written_only_when_changed(spark, tmp_path):
         [("Papers/a b.md", '---\nlake_type: "paper"\nlake_id: "a \\"q\\""\n---\n\n# A\n'), (".hidden/x.md", "---\na: b\n---\n"), ("Papers/none.md", "text")],
         "relative_path string, content string",
     )
-    S.materialise_notes(out, str(tmp_path / "vault"))
+    write_note_files(out, str(tmp_path / "vault"))
     found = {r.relative_path: r.front_matter for r in S.read_notes(spark, str(tmp_path / "vault")).collect()}
     assert found == {"Papers/a b.md": {"lake_type": "paper", "lake_id": 'a "q"'}, "Papers/none.md": {}}
     kept = S.note_inventory(S.read_notes(spark, str(tmp_path / "vault")), "/v", "lake").filter("note_id is not null").first()
