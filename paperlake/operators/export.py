@@ -178,14 +178,6 @@ def whole_notes(parts: DataFrame, keys: list[str]) -> DataFrame:
     return parts.groupBy(*keys).agg(rows.alias("_parts")).select(*keys, F.array_join(texts, "\n").alias("content"))
 
 
-def note_hashes(parts: DataFrame, keys: list[str]) -> DataFrame:
-    """``(*keys, content_hash)``: sha256 over the hashes of a note's parts in order."""
-    own = F.sha2(F.concat_ws("\x00", "heading", "content", "closing"), 256).alias("h")
-    rows = F.sort_array(F.collect_list(F.struct("part", own)))
-    joined = F.array_join(F.transform(rows, lambda x: x["h"]), "")
-    return parts.groupBy(*keys).agg(F.sha2(joined, 256).alias("content_hash"))
-
-
 def _by_pos(items: DataFrame, sec: int, line: Column) -> DataFrame:
     chunk = F.col("chunk_no") if "chunk_no" in items.columns else (
         F.col("first_chunk") if "first_chunk" in items.columns else F.lit(0)

@@ -11,6 +11,7 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paperlake.functions.text import WS, strip
 from paperlake.operators.text import budget
@@ -240,22 +241,30 @@ def parse_response(responses: DataFrame, task: str) -> DataFrame:
     """Add ``parsed`` (null where the answer holds no JSON object) and ``parse_failed`` for one task's answers.
 
     Fences are dropped (the first line, and the last if it is just a fence). If the rest is not JSON, what lies between
-    the first ``{`` and the last ``}`` is tried. The steps are columns of their own so that each runs once per row.
+    the first ``{`` and the last ``}`` is tried. An answer is parsed once, to a VARIANT; the typed columns are read from
+    that, and a value of another type than the task's is null. The steps are columns of their own so that each runs once
+    per row.
     """
+    answers = with_variant(responses.filter(F.col("task") == task))
+    typed = T.StructType.fromDDL(RESPONSES[task]).simpleString()
+    return answers.withColumns(
+        {"parsed": F.try_variant_get("answer", "$", typed), "parse_failed": F.col("answer").isNull()}
+    ).drop("answer")
+
+
+def with_variant(responses: DataFrame) -> DataFrame:
+    """Add ``answer``: the JSON object of ``raw`` as a VARIANT, null where there is none."""
     fenced = F.regexp_replace(F.regexp_replace("_text", r"\A[^\n]*(\n|\z)", ""), rf"(\A|\n){BLANKS}*```{BLANKS}*\z", "")
     body = F.when(F.startswith("_text", F.lit("```")), fenced).otherwise(F.col("_text"))
-    braces = F.regexp_extract("_body", r"(?s)(\{.*\})", 1)
-    whole = F.rlike("_body", F.lit(rf"\A{WS}*\{{")) & F.try_parse_json("_body").isNotNull()
+    whole = F.when(F.rlike("_body", F.lit(rf"\A{WS}*\{{")), F.try_parse_json("_body"))
+    braces = F.try_parse_json(F.regexp_extract("_body", r"(?s)(\{.*\})", 1))
     return (
-        responses.filter(F.col("task") == task)
-        .withColumn("_text", strip(F.col("raw")))
-        .withColumn("_body", body)
-        .withColumn("_json", F.when(whole, F.col("_body")).when(F.try_parse_json(braces).isNotNull(), braces))
-        .withColumns(
-            {
-                "parsed": F.when(F.col("_json").isNotNull(), F.from_json("_json", RESPONSES[task])),
-                "parse_failed": F.col("_json").isNull(),
-            }
-        )
-        .drop("_text", "_body", "_json")
+        responses.withColumn("_text", strip(F.col("raw"))).withColumn("_body", body)
+        .withColumn("answer", F.coalesce(whole, braces)).drop("_text", "_body")
     )
+
+
+def answer_fields(responses: DataFrame) -> DataFrame:
+    """(task, schema): the type of each task's answers as they come, merged over all of them. What a prompt does not ask
+    for, or asks for under another name, is seen there before a typed read makes it null."""
+    return with_variant(responses).groupBy("task").agg(F.schema_of_variant_agg("answer").alias("schema"))

@@ -40,24 +40,26 @@ def relation_mentions(responses: DataFrame) -> DataFrame:
     )
 
 
-# Items of a paper's second request are numbered from here on, those of the third from twice that.
-REQUEST_STEP = 100_000
+# Items of a paper's second request are numbered from here on, those of the third from twice that: more than an array has.
+REQUEST_STEP = 2**31
 
 
 def _items(responses: DataFrame, path: str, name: str) -> DataFrame:
     """Items of responses with their place in the paper: that in the response, moved on by its request."""
     chunk = F.coalesce("chunk_no", F.lit(0)) if "chunk_no" in responses.columns else F.lit(0)
     rows = exploded(responses, path, name, "paper_id", chunk.alias("chunk_no"))
-    return rows.withColumn("pos", F.col("chunk_no") * REQUEST_STEP + F.col("pos"))
+    return rows.withColumn("pos", F.col("chunk_no").cast("bigint") * REQUEST_STEP + F.col("pos"))
 
 
 def sections(responses: DataFrame) -> DataFrame:
-    """Sections numbered ``sec_1, sec_2 …`` in response order."""
+    """Sections numbered ``sec_1, sec_2 …`` in response order; those of a later request carry its number too."""
     rows = _items(responses, "parsed.sections", "s")
+    place = (F.col("pos") % REQUEST_STEP + 1).cast("string")
+    later = F.when(F.col("chunk_no") > 0, F.concat(F.col("chunk_no").cast("string"), F.lit("_"))).otherwise("")
     return rows.select(
         "paper_id",
         (F.col("pos") + 1).alias("section_no"),
-        F.concat(F.lit("sec_"), (F.col("pos") + 1).cast("string")).alias("id"),
+        F.concat(F.lit("sec_"), later, place).alias("id"),
         "s.title",
         "s.level",
         "s.summary",

@@ -190,17 +190,24 @@ def resolve_paths(items: DataFrame, mapping: DataFrame, inventory: DataFrame, ro
         F.struct(F.regexp_replace(name, r"_[0-9]+\z", "").alias("_stem"), F.nullif(numbered, F.lit("")).cast("bigint").alias("number")),
     )
     rest = candidates.filter(~F.col("_placed"))
+    stem = ["vault_path", "_stem"]
     taken = (
-        used.select("vault_path", F.inline(readings)).filter(F.col("number").isNotNull())
-        .join(rest.select("vault_path", "_stem").distinct(), ["vault_path", "_stem"], "left_semi")
-        .groupBy("vault_path", "_stem").agg(F.sort_array(F.collect_set("number")).alias("_numbers"))
+        used.select("vault_path", F.inline(readings)).filter(F.col("number").isNotNull()).distinct()
+        .join(rest.select(*stem).distinct(), stem, "left_semi")
     )
-    # So many numbers below the j-th taken one are free; claimant n passes all taken ones that have fewer than n.
-    turn = F.row_number().over(W.partitionBy("vault_path", "_stem").orderBy("item_type", "item_id"))
-    passed = F.size(F.filter(F.transform("_numbers", lambda x, j: x - j - 1), lambda free: free < F.col("_turn")))
-    number = F.col("_turn") + F.coalesce(F.when(F.col("_numbers").isNotNull(), passed), F.lit(0))
+    # So many numbers below the j-th taken one are free; claimant n passes all taken ones that have fewer than n. In one
+    # order of both, that is how many taken ones stand before the claimant.
+    free = F.col("number") - F.row_number().over(W.partitionBy(*stem).orderBy("number"))
+    turn = F.row_number().over(W.partitionBy(*stem).orderBy("item_type", "item_id"))
+    both = rest.select(*items.columns, "_stem", turn.cast("bigint").alias("_turn"), F.lit(0).alias("_held")).unionByName(
+        taken.select(*stem, free.alias("_turn"), F.lit(1).alias("_held")), allowMissingColumns=True
+    )
+    before = W.partitionBy(*stem).orderBy("_turn", "_held").rowsBetween(W.unboundedPreceding, 0)
+    number = F.col("_turn") + F.col("_passed")
     path = F.concat("_stem", F.when(number > 1, F.concat(F.lit("_"), number.cast("string"))).otherwise(""), F.lit(".md"))
-    others = rest.withColumn("_turn", turn).join(taken, ["vault_path", "_stem"], "left").select(*items.columns, path.alias("relative_path"))
+    others = both.withColumn("_passed", F.sum("_held").over(before)).filter(F.col("_held") == 0).select(
+        *items.columns, path.alias("relative_path")
+    )
     return done.unionByName(placed).unionByName(others)
 
 

@@ -154,12 +154,16 @@ class Tables:
     def relations(self) -> DataFrame:
         return K.resolve_relations(self.relation_mentions(), self.entities())
 
+    def stored_graph(self) -> tuple[DataFrame, DataFrame]:
+        """Entities and relations, for queries that use the entities several times: they are built once."""
+        entities = stored(self.entities())
+        return entities, K.resolve_relations(self.relation_mentions(), entities)
+
     def knowledge(self, keep: bool = False) -> KnowledgeBase:
         """All tables of the completed papers; ``keep`` stores entities and relations for jobs that use them often."""
         entities = stored(self.entities()) if keep else self.entities()
         relations = K.resolve_relations(self.relation_mentions(), entities)
         relations = stored(relations) if keep else relations
-        items = self.items()
         order = F.col("chunk_no") * 1_000_000_000_000 + F.col("pos")
         papers = self.papers().filter((F.col("extraction_status") == "completed") & F.col("has_document"))
         ids = papers.select("paper_id")
@@ -167,7 +171,10 @@ class Tables:
         def kept(df: DataFrame) -> DataFrame:
             return df.join(ids, "paper_id", "left_semi")
 
-        findings = kept(items).filter(F.col("l_returnflag") == "R").select(
+        # The items of these papers are found once and read by every kind that is made of them.
+        items = kept(self.items())
+        items = stored(items) if keep else items
+        findings = items.filter(F.col("l_returnflag") == "R").select(
             K.make_id("find", F.col("paper_id"), order).alias("id"),
             "paper_id",
             order.alias("pos"),
@@ -175,16 +182,16 @@ class Tables:
             F.concat("p_name", F.lit(" x"), F.col("l_quantity").cast("int").cast("string")).alias("statement"),
             F.when(F.col("chunk_no") % 2 == 1, F.date_format("l_shipdate", "yyyy-MM-dd")).otherwise("").alias("evidence"),
         )
-        methods = kept(items).filter(F.col("chunk_no") == 1).select(
+        methods = items.filter(F.col("chunk_no") == 1).select(
             "paper_id", "pos", F.when(F.col("l_discount") > 0, F.col("p_name")).alias("name"),
             F.col("p_type").alias("description"), F.array("p_brand", F.lit(" ")).alias("inputs"),
             F.array().cast("array<string>").alias("outputs"),
         )
-        datasets = kept(items).filter(F.col("chunk_no") == 2).select(
+        datasets = items.filter(F.col("chunk_no") == 2).select(
             "paper_id", "pos", F.col("p_brand").alias("name"), F.col("p_type").alias("description"),
             F.when(F.col("l_linestatus") == "O", "training").alias("usage"),
         )
-        cards = kept(items).filter(F.col("chunk_no") == 3).select(
+        cards = items.filter(F.col("chunk_no") == 3).select(
             K.make_id("fc", F.col("paper_id"), F.col("pos")).alias("id"),
             "paper_id", "pos",
             F.concat(F.lit("What is "), F.col("p_name"), F.lit("?")).alias("front"),
@@ -196,7 +203,7 @@ class Tables:
             F.lit(K.START_REPETITIONS).alias("repetitions"),
             now().alias("next_review"),
         )
-        sections = kept(items).filter(F.col("chunk_no").isin(4, 5)).select(
+        sections = items.filter(F.col("chunk_no").isin(4, 5)).select(
             "paper_id", order.alias("section_no"),
             F.concat(F.lit("sec_"), order.cast("string")).alias("id"),
             F.col("p_name").alias("title"), (F.col("chunk_no") - 3).alias("level"), F.col("p_brand").alias("summary"),

@@ -19,12 +19,17 @@ from paperlake.operators import notes as N
 from paperlake.operators import queries as Q
 from paperlake.operators import srs as R
 from paperlake.operators import text as T
+from paperlake.operators.search import TextIndex
 from paperlake.plans import extraction as P
 from paperlake.plans.bindings import NOW, Tables, now
 from paperlake.plans.oracles import APPEARS_IN, HEADINGS, ORPHAN_MESSAGE, RELATED, OMITTED, STAMP, _bib, _id, _safe, _sanitize, _squeeze, _strip, _unwrap_once, _yaml, sql
 from paperlake.schemas import DOCUMENT
 from paperlake.session import new_path, stored
 from paperlake.sources import documents as D
+from paperlake.sources.answers import AnswerTable, answer_requests, calls_made
+from paperlake.sources.dictionary import dictionary, merge_papers, papers_of_entities
+from paperlake.sources.mapping import read_mapping, upsert_notes
+from paperlake.sources.note_files import read_note_heads, write_note_files
 from paperlake.sources import files as S
 from paperlake.streaming.reviews import apply_reviews, latest_state_stream
 from paperlake.streaming.run import latest_rows
@@ -138,6 +143,29 @@ def s7(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "s7_read_versions",
+    """SELECT o_orderkey, CAST(o_orderkey % 3 + 1 AS INTEGER) AS version, CASE o_orderkey % 3 WHEN 0 THEN 'translate' ELSE o_orderpriority END AS mode,
+      CASE o_orderkey % 3 WHEN 2 THEN o_orderkey % 2 = 0 ELSE false END AS highlight, CAST(o_custkey AS BIGINT) AS user_id FROM orders""",
+)
+def s7_versions(t: Tables) -> DataFrame:
+    """Orders written as three versions of a table: without modes, with them, with one more column and wider numbers."""
+    path, orders = new_path(t.spark, "versions"), t.read("orders")
+    mode, third = F.col("o_orderpriority").alias("mode"), F.col("o_orderkey") % 3
+    narrow = F.col("o_custkey").cast("int").alias("user_id")
+    highlight = (F.col("o_orderkey") % 2 == 0).alias("highlight")
+    versions = {
+        1: ["o_orderkey", narrow], 2: ["o_orderkey", narrow, mode],
+        3: ["o_orderkey", F.col("o_custkey").alias("user_id"), mode, highlight],
+    }
+    for version, columns in versions.items():
+        orders.filter(third == version - 1).select(*columns).write.parquet(f"{path}/version={version}")
+    return S.read_versions(
+        t.spark, path, "o_orderkey BIGINT, user_id BIGINT, mode STRING, highlight BOOLEAN",
+        {1: {"mode": "translate", "highlight": False}, 2: {"highlight": False}},
+    )
+
+
 # ---- text -----------------------------------------------------------------------------------------------------
 
 
@@ -368,6 +396,63 @@ def l1_cards(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "l1_whole_text_requests",
+    sql(
+        "texts",
+        f"""SELECT paper_id, 'metadata' AS task, 0 AS chunk_no, first_pages AS content FROM texts
+        UNION ALL SELECT paper_id, task, CAST(i AS INTEGER), substr(text, i * 8000 + 1, 8000) FROM (
+          SELECT paper_id, task, text, unnest(range(0, greatest(1, (length(text) + 7999) // 8000))) AS i
+          FROM texts, unnest(['sections', 'findings']) AS u(task))
+        UNION ALL SELECT paper_id, 'summary', 0, 'Paper text:' || chr(10) || chr(10) || CASE WHEN length(text) <= 20000 THEN text
+          ELSE substr(text, 1, 12000) || '{OMITTED}' || substr(text, length(text) - 7999) END FROM texts""",
+    ),
+)
+def l1_whole(t: Tables) -> DataFrame:
+    """Sections and findings are asked for over whole texts, a request for each slice."""
+    return L.text_requests(t.texts()).select("paper_id", "task", "chunk_no", "content")
+
+
+@query(
+    "l1_whole_highlight_requests",
+    sql(
+        "packed sentences",
+        """SELECT doc_id AS paper_id, CAST(chunk_no AS BIGINT) AS chunk_no, string_agg('p1_s' || n || ' 1 ' || text, chr(10) ORDER BY n) AS items
+        FROM packed JOIN sentences USING (doc_id, n) GROUP BY ALL""",
+    ),
+)
+def l1_whole_highlight(t: Tables) -> DataFrame:
+    """Requests with whole sentences, read back from their JSON."""
+    requests = L.highlight_requests(T.pack_sentence_chunks(t.documents()))
+    body = F.substring("content", len(L.HIGHLIGHT_PREFIX) + 1, 2**31 - 1)
+    items = F.from_json(body, "array<struct<sentence_id: string, page: int, text: string>>")
+    line = lambda x: F.concat_ws(" ", x["sentence_id"], x["page"].cast("string"), x["text"])
+    return requests.select(
+        "paper_id", F.col("chunk_no").cast("bigint").alias("chunk_no"), F.array_join(F.transform(items, line), "\n").alias("items")
+    )
+
+
+@query(
+    "l1_whole_card_requests",
+    sql(
+        "ents findings",
+        """SELECT paper_id, CAST(chunk_no AS BIGINT) AS chunk_no, coalesce(e, '') AS entities, coalesce(f, '') AS findings FROM
+        (SELECT paper_id, first_chunk AS chunk_no, string_agg(name, '|' ORDER BY first_pos) AS e FROM ents GROUP BY ALL)
+        FULL JOIN (SELECT paper_id, 0 AS chunk_no, string_agg(statement, '|' ORDER BY pos) AS f FROM findings GROUP BY ALL) USING (paper_id, chunk_no)""",
+    ),
+)
+def l1_whole_cards(t: Tables) -> DataFrame:
+    """All entities and findings of every paper, a request for each chunk they come from."""
+    entities, _ = t.stored_graph()
+    requests = L.card_requests(entities, t.knowledge().findings)
+    parsed = F.from_json("content", "entities array<struct<name: string>>, findings array<struct<statement: string>>")
+    rows = requests.select("paper_id", F.col("chunk_no").cast("bigint").alias("chunk_no"), parsed.alias("p"))
+    return rows.select(
+        "paper_id", "chunk_no", F.array_join("p.entities.name", "|").alias("entities"),
+        F.array_join("p.findings.statement", "|").alias("findings"),
+    )
+
+
 def _stand_in():
     """A model that answers with what it was asked, and fails on the first try of every third request length."""
 
@@ -403,6 +488,28 @@ def l2(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "l2_kept_answers",
+    f"""WITH asked AS (SELECT CAST(doc_id AS VARCHAR) AS paper_id, 'Paper text:' || chr(10) || chr(10) || CASE WHEN length(text) <= 20000 THEN text
+        ELSE substr(text, 1, 12000) || '{OMITTED}' || substr(text, length(text) - 7999) END AS c FROM documents),
+      known AS (SELECT DISTINCT c FROM asked WHERE CAST(paper_id AS BIGINT) % 3 <> 0)
+    SELECT paper_id, right(c, 20) AS one_liner, length(c) AS novelty_score, c IN (FROM known) AS reused,
+      (SELECT count(DISTINCT c) FROM asked WHERE c NOT IN (FROM known))::BIGINT AS calls FROM asked""",
+)
+def l2_kept(t: Tables) -> DataFrame:
+    """Two runs over one table of answers: the second has a third of the documents more, and asks for those only."""
+    requests = L.text_requests(t.plain_texts().withColumn("page_texts", F.array("text")), ("summary",))
+    path = new_path(t.spark, "answers")
+    first, second = (AnswerTable(t.spark, path, "stand-in", run) for run in ("first", "second"))
+    answer_requests(requests.filter("paper_id % 3 <> 0"), _stand_in(), first, sleep=lambda seconds: None)
+    answers = answer_requests(requests, _stand_in(), second, sleep=lambda seconds: None)
+    parsed = L.parse_response(answers, "summary").join(calls_made(second).select("task", "requests"), "task", "left")
+    return parsed.select(
+        "paper_id", "parsed.one_liner", F.col("parsed.novelty_score").cast("bigint").alias("novelty_score"), "reused",
+        F.coalesce("requests", F.lit(0)).alias("calls"),
+    )
+
+
 def _reader():
     """A model that reads what it is sent: its first and last word, how long it is, the first sentence it is offered."""
 
@@ -506,6 +613,15 @@ def l3(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "l3_answer_fields",
+    "SELECT 'summary' AS task, 'OBJECT<novelty_score: BIGINT, one_liner: STRING>' AS schema WHERE EXISTS (SELECT 1 FROM conversations WHERE turn % 5 <> 4)",
+)
+def l3_fields(t: Tables) -> DataFrame:
+    """What the answers hold, whatever the schema they are read with."""
+    return L.answer_fields(t.text_answers())
+
+
 @query("l4_selections", sql("sel", "SELECT doc_id, sentence_id, category FROM sel"))
 def l4(t: Tables) -> DataFrame:
     return _selections(t).select("doc_id", "sentence_id", "category")
@@ -584,7 +700,7 @@ def _item_answers(t: Tables, task: str, payload: Column) -> DataFrame:
     "k5_sections",
     sql(
         "papers",
-        """SELECT paper_id, 'sec_' || i AS id, CAST(i AS INTEGER) AS section_no, CASE i WHEN 1 THEN title ELSE venue END AS title,
+        """SELECT paper_id, 'sec_' || i AS id, CAST(i AS BIGINT) AS section_no, CASE i WHEN 1 THEN title ELSE venue END AS title,
         CAST(i AS INTEGER) AS level FROM papers, (SELECT unnest([1, 2]) AS i)""",
     ),
 )
@@ -639,22 +755,52 @@ def k6(t: Tables) -> DataFrame:
     )
 
 
+def _listed(part: str, value: str, order: str, where: str = "") -> str:
+    """SQL for the values of a part of each paper in order, as one text."""
+    return f"(SELECT paper_id, string_agg({value}, '|' ORDER BY {order}) AS v FROM {part} {where} GROUP BY 1)"
+
+
 @query(
     "k7_assemble_documents",
     sql(
-        "done ents rels findings",
-        """SELECT paper_id, title, coalesce(e, 0) AS entities, coalesce(r, 0) AS relationships, coalesce(f, 0) AS findings, coalesce(e1, '') AS first_entity
-        FROM done LEFT JOIN (SELECT paper_id, count(*) AS e, arg_min(name, first_chunk * 1000000000000 + first_pos) AS e1 FROM ents GROUP BY 1) USING (paper_id)
-        LEFT JOIN (SELECT paper_id, count(*) AS r FROM rels GROUP BY 1) USING (paper_id)
-        LEFT JOIN (SELECT paper_id, count(*) AS f FROM findings GROUP BY 1) USING (paper_id)""",
+        "done ents rels findings items kcards",
+        f"""SELECT paper_id, title, coalesce(e.v, '') AS entities, coalesce(r.v, '') AS relationships, coalesce(f.v, '') AS findings,
+          coalesce(m.v, '') AS methods, coalesce(d.v, '') AS datasets, coalesce(c.v, '') AS cards, coalesce(s.v, '') AS sections
+        FROM done
+        LEFT JOIN {_listed("ents", "id || ' ' || name || ' ' || type || ' ' || coalesce(alias, '') || ' ' || definition || ' ' || CAST(CAST(round(importance * 1000) AS INTEGER) AS VARCHAR)", "first_chunk, first_pos")} e USING (paper_id)
+        LEFT JOIN {_listed("rels", "id || ' ' || source || '>' || target || ' ' || type || ' ' || description || ' ' || source_entity_id || ' ' || target_entity_id", "chunk_no, pos")} r USING (paper_id)
+        LEFT JOIN {_listed("findings", "type || ' ' || statement || ' ' || evidence", "pos")} f USING (paper_id)
+        LEFT JOIN {_listed("items", "CASE WHEN l_discount > 0 THEN p_name ELSE '-' END || ' ' || p_type || ' ' || p_brand || ',' || ' '", "pos", "WHERE chunk_no = 1")} m USING (paper_id)
+        LEFT JOIN {_listed("items", "p_brand || ' ' || p_type || ' ' || CASE WHEN l_linestatus = 'O' THEN 'training' ELSE '-' END", "pos", "WHERE chunk_no = 2")} d USING (paper_id)
+        LEFT JOIN {_listed("kcards", "front || ' ' || back || ' ' || tag || ' ' || difficulty || ' 1.0 2.5 0'", "pos")} c USING (paper_id)
+        LEFT JOIN {_listed("items", "'sec_' || ord || ' ' || p_name || ' ' || (chunk_no - 3) || ' ' || p_brand", "ord", "WHERE chunk_no IN (4, 5)")} s USING (paper_id)""",
     ),
 )
 def k7(t: Tables) -> DataFrame:
+    """Every part of the documents, read back in the order it is stored in."""
     docs = D.parse_knowledge(D.assemble_documents(t.knowledge(keep=True), now(), "m"))
-    big = lambda path: F.size(f"knowledge.{path}").cast("bigint").alias(path)
+    text = lambda c: c.cast("string")
+
+    def listed(path: str, name: str, of: Callable[[Column], list[Column]]) -> Column:
+        lines = F.transform(f"knowledge.{path}", lambda x: F.concat_ws(" ", *of(x)))
+        return F.array_join(lines, "|").alias(name)
+
     return docs.select(
-        "paper_id", F.col("knowledge.metadata.title").alias("title"), big("entities"), big("relationships"), big("findings"),
-        E.text_or_empty(F.get("knowledge.entities", F.lit(0))["name"]).alias("first_entity"),
+        "paper_id", F.col("knowledge.metadata.title").alias("title"),
+        listed("entities", "entities", lambda x: [
+            x["id"], x["name"], x["type"], F.array_join(x["aliases"], ","), x["definition"], text(F.round(x["importance"] * 1000).cast("int")),
+        ]),
+        listed("relationships", "relationships", lambda x: [
+            x["id"], F.concat(x["source"], F.lit(">"), x["target"]), x["type"], x["description"], x["source_entity_id"], x["target_entity_id"],
+        ]),
+        listed("findings", "findings", lambda x: [x["type"], x["statement"], x["evidence"]]),
+        listed("methods", "methods", lambda x: [F.coalesce(x["name"], F.lit("-")), x["description"], F.array_join(x["inputs"], ",")]),
+        listed("datasets", "datasets", lambda x: [x["name"], x["description"], F.coalesce(x["usage"], F.lit("-"))]),
+        listed("flashcards", "cards", lambda x: [
+            x["front"], x["back"], F.array_join(x["tags"], ","), text(x["difficulty"]), text(x["srs"]["interval_days"]),
+            text(x["srs"]["ease_factor"]), text(x["srs"]["repetitions"]),
+        ]),
+        listed("structure.sections", "sections", lambda x: [x["id"], x["title"], text(x["level"]), x["summary"]]),
     )
 
 
@@ -693,9 +839,10 @@ def k9(t: Tables) -> DataFrame:
 @query(
     "k10_entity_papers",
     sql(
-        "firsts global_",
-        """SELECT user_id, entity_key, f.name, f.type, g.title, g.paper_id, g.first_chunk, g.first_pos
-        FROM global_ g JOIN firsts f USING (user_id, entity_key)""",
+        "global_",
+        """SELECT user_id, entity_key, first_value(name) OVER w AS name, first_value(type) OVER w AS type, title, paper_id,
+        first_chunk, first_pos FROM global_
+        WINDOW w AS (PARTITION BY user_id, entity_key ORDER BY created_at, paper_id, first_chunk, first_pos)""",
     ),
 )
 def k10(t: Tables) -> DataFrame:
@@ -704,6 +851,41 @@ def k10(t: Tables) -> DataFrame:
     )
 
 
+def _merged(t: Tables) -> str:
+    """A dictionary that half of the papers were merged into after the other half, and some of them twice."""
+    path = new_path(t.spark, "dictionary")
+    entities, papers = stored(t.entities()), t.papers()
+    number = F.substring("paper_id", 4, 20).cast("bigint")
+    for part in (number % 2 == 1, (number % 2 == 0) | (number % 9 == 1)):
+        merge_papers(entities.filter(part), papers, path, buckets=32)
+    return path
+
+
+@query(
+    "k9_merged_entities",
+    sql("firsts", "SELECT user_id, entity_key, name, type, definition, round(importance, 6) AS importance, id, paper_id FROM firsts"),
+)
+def k9_merged(t: Tables) -> DataFrame:
+    return dictionary(t.spark, _merged(t)).select(
+        "user_id", "entity_key", "name", "type", "definition", r6("importance"), "id", "paper_id"
+    )
+
+
+@query(
+    "k10_merged_papers",
+    sql(
+        "global_",
+        """SELECT user_id, entity_key, first_value(name) OVER w AS name, first_value(type) OVER w AS type, title, paper_id,
+        first_chunk, first_pos FROM global_
+        WINDOW w AS (PARTITION BY user_id, entity_key ORDER BY created_at, paper_id, first_chunk, first_pos)""",
+    ),
+)
+def k10_merged(t: Tables) -> DataFrame:
+    return papers_of_entities(t.spark, _merged(t)).select(
+        "user_id", "entity_key", "name", "type", "title", "paper_id", "first_chunk", "first_pos"
+    )
+
+
 def _mapping(t: Tables) -> DataFrame:
     """Mapping rows of an earlier run: the notes of even papers, and an entity named like a user for some."""
     papers = t.papers().filter(F.substring("paper_id", 4, 20).cast("bigint") % 2 == 0)
@@ -937,6 +1119,29 @@ def q9(t: Tables) -> DataFrame:
     return Q.list_tasks(t.tasks()).select("user_id", "task_id", F.col("rank").cast("bigint").alias("rank"))
 
 
+@query(
+    "q4_search_entities_indexed",
+    sql(
+        "ents",
+        """SELECT q AS fragment, id, name, paper_id FROM ents, unnest(['hot', 'm', 'e ', 'lamp', 'no such name', 'D P']) AS u(q)
+        WHERE contains(lower(name), lower(q))""",
+    ),
+)
+def q4_indexed(t: Tables) -> DataFrame:
+    """Searches of several lengths through one index of the entities' names."""
+    index = TextIndex(t.spark, new_path(t.spark, "names"), "name")
+    index.build(t.entities().select("id", "name", "paper_id"))
+    found = [index.search(q).select(F.lit(q).alias("fragment"), "id", "name", "paper_id") for q in ("hot", "m", "e ", "lamp", "no such name", "D P")]
+    return reduce(DataFrame.unionByName, found)
+
+
+@query("q10_search_titles_indexed", sql("papers", "SELECT paper_id, title FROM papers WHERE contains(lower(title), 'high/1')"))
+def q10_indexed(t: Tables) -> DataFrame:
+    index = TextIndex(t.spark, new_path(t.spark, "titles"), "title")
+    index.build(t.papers().select("paper_id", "title"))
+    return index.search("High/1")
+
+
 @query("q10_search_titles", sql("papers", "SELECT paper_id, title FROM papers WHERE contains(lower(title), 'high/1')"))
 def q10(t: Tables) -> DataFrame:
     return Q.search(t.papers(), "title", "High/1").select("paper_id", "title")
@@ -954,7 +1159,7 @@ def q10(t: Tables) -> DataFrame:
     ),
 )
 def q11(t: Tables) -> DataFrame:
-    return Q.neighbours(t.entities(), t.relations()).withColumn("rank", F.col("rank").cast("bigint"))
+    return Q.neighbours(*t.stored_graph()).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query(
@@ -981,7 +1186,7 @@ def q12(t: Tables) -> DataFrame:
     ),
 )
 def q13(t: Tables) -> DataFrame:
-    kb = t.knowledge()
+    kb = t.knowledge(keep=True)
     return Q.paper_counts(kb.papers, kb.entities, kb.findings, kb.cards, kb.relations)
 
 
@@ -1031,7 +1236,7 @@ _FOLD_START = """SELECT DISTINCT card_id, 0 AS n, CAST(u % 4 AS INTEGER) AS reps
 )
 def r2(t: Tables) -> DataFrame:
     """Reviews in several triggers whose times overlap, on cards that have a state, give the state of the batch."""
-    return apply_reviews(t.review_stream(), t.started_cards()).select(
+    return apply_reviews(t.review_stream(), t.started_cards(), "3650 days").select(
         "card_id", "repetitions", r6("interval_days"), r6("ease_factor"), stamp("last_review")
     )
 
@@ -1160,11 +1365,13 @@ def m3(t: Tables) -> DataFrame:
                 ("papers", "paper_id", "papers"), ("entities", "id", "ents"), ("relations", "id", "rels"),
                 ("annotations", "annotation_id", "annots"), ("cards", "card_id", "live"),
             )
-        ),
+        )
+        + " UNION ALL SELECT 'notes', 'obs_' || substr(sha1(user_id || ':' || paper_id || ':paper:' || paper_id || ':/vault'), 1, 24) "
+        "FROM papers WHERE o_orderkey % 2 = 0 AND o_orderkey % 3 <> 0",
     ),
 )
 def m4(t: Tables) -> DataFrame:
-    """A paper goes with its entities, relations, annotations and cards."""
+    """A paper goes with its entities, relations, annotations, cards and the mapping of its notes."""
     gone = t.papers().filter(F.substring("paper_id", 4, 20).cast("bigint") % 3 == 0).select("paper_id")
     left = M.delete_papers(
         {
@@ -1173,6 +1380,7 @@ def m4(t: Tables) -> DataFrame:
             "relations": t.relations(),
             "annotations": t.annotations().withColumnRenamed("annotation_id", "id"),
             "cards": t.live_cards().withColumnRenamed("card_id", "id"),
+            "notes": _notes(t)[1].withColumnRenamed("mapping_id", "id"),
         },
         gone,
     )
@@ -1195,7 +1403,7 @@ def m5(t: Tables) -> DataFrame:
 
 @query("m5_latest_state_stream", _LATEST)
 def m5_stream(t: Tables) -> DataFrame:
-    return latest_rows(latest_state_stream(t.progress(t.event_stream())), "task_id").select("task_id", "seq", "status", "percent")
+    return latest_rows(latest_state_stream(t.progress(t.event_stream()), "3650 days"), "task_id").rows.select("task_id", "seq", "status", "percent")
 
 
 def _notes(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -1235,6 +1443,24 @@ def m6(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "m6_upsert_mapping",
+    sql(
+        "papers",
+        f"""SELECT {_MAP_ID} AS mapping_id, 'Papers/' || {_sanitize('title')} || '.md' AS relative_path,
+        CASE WHEN o_orderkey % 5 = 0 AND o_orderkey % 4 = 0 THEN 'stale' ELSE sha256(title) END AS content_hash
+        FROM papers WHERE o_orderkey % 5 <> 0 OR o_orderkey % 2 = 0""",
+    ),
+)
+def m6_upsert(t: Tables) -> DataFrame:
+    """The mapping table after a run, read back: made by an earlier run, then overwritten where this one has notes."""
+    notes, mapping, inventory = _notes(t)
+    path = new_path(t.spark, "mapping")
+    upsert_notes(mapping.drop("updated_at"), path, inventory.limit(0), now("2024-01-01 00:00:00"), buckets=32)
+    upsert_notes(notes, path, inventory, now(), buckets=32)
+    return read_mapping(t.spark, path).select("mapping_id", "relative_path", "content_hash")
+
+
 @query(
     "m6_note_counts",
     sql(
@@ -1643,6 +1869,6 @@ def s4_files(t: Tables) -> DataFrame:
     names = kb.papers.select("paper_id", "user_id", X.safe_filename(F.col("title")).alias("name"))
     paths = E.note_paths(names, "papers", F.col("paper_id"))
     root = new_path(t.spark, "vault")
-    S.materialise_notes(E.paper_notes(kb).join(paths, "paper_id"), root.removeprefix("file://"))
+    write_note_files(E.paper_notes(kb).join(paths, "paper_id"), root)
     m = F.col("front_matter")
-    return S.read_notes(t.spark, root).select("relative_path", m["title"].alias("title"), m["paperlake_id"].alias("note_id"))
+    return read_note_heads(t.spark, root).select("relative_path", m["title"].alias("title"), m["paperlake_id"].alias("note_id"))
