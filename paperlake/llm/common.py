@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -14,7 +15,7 @@ from paperlake.session import new_path, stored
 #: 64-bit words in the bitmap of :func:`maybe_among`: 2**17 rows of two longs are broadcast at most, whatever the input.
 BITMAP_WORDS = 1 << 17
 
-__all__ = ["fold", "maybe_among", "new_path", "pieces_of", "stored", "text_batches"]
+__all__ = ["fold", "in_sieve", "maybe_among", "new_path", "pieces_of", "row_key", "sieve_of", "stored", "text_batches"]
 
 
 def fold(key: Column, folds: int) -> Column:
@@ -63,6 +64,28 @@ def maybe_among(df: DataFrame, key: str, ids: DataFrame, flag: str) -> DataFrame
     return marked.join(F.broadcast(words), "_word", "left").withColumn(flag, hit).drop("_h", "_word", "_bits")
 
 
+def row_key() -> Column:
+    """Id and hash of the text of a paper as one string: rows that agree in it are repeated rows."""
+    text_key = F.xxhash64(F.coalesce("text", F.lit("")))
+    return F.concat_ws(":", F.coalesce(F.col("paper_id").cast("string"), F.lit("")), text_key.cast("string"))
+
+
+def sieve_of(places: DataFrame, bits: int) -> np.ndarray:
+    """Bitmap of ``bits`` bits with those of all ``place`` (0 up to ``bits``) set; its size is that, whatever the rows."""
+    parts = places.groupBy(F.shiftright("place", 15).alias("part")).agg(
+        F.bitmap_construct_agg(F.col("place").bitwiseAND(F.lit(2**15 - 1))).alias("bits")
+    )
+    out = np.zeros(bits // 8, np.uint8)
+    for row in parts.collect():  # bits / 2**15 rows of 4 kB at most
+        out[row.part << 12 : (row.part + 1) << 12] = np.frombuffer(row.bits, np.uint8)
+    return out
+
+
+def in_sieve(sieve: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Whether the bits at ``places`` (unsigned) are set."""
+    return ((sieve[places >> np.uint64(3)] >> (places & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+
+
 def pieces_of(total: int, size: int) -> int:
     """How many pieces of ``size`` hold ``total`` things."""
     return max(1, -(-int(total) // size))
