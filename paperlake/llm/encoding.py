@@ -14,11 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from paperlake.llm.common import text_batches
-from paperlake.llm.pieces import FIRST_STATE, MARK, MEMO_WORDS, Vocabulary, WordCutter, step_states
+from paperlake.llm.pieces import FIRST_STATE, MARK, MEMO_LETTERS, MEMO_WORDS, Vocabulary, WordCutter, path_ids, step_states
 
 
 #: Bytes of text whose distinct words are walked together: the more, the more prefixes they share.
-SLICE = 4_000_000
+SLICE = 2_000_000
 
 
 def walk(words: list[str], vocabulary: Vocabulary) -> Iterator[tuple[str, bytes]]:
@@ -34,7 +34,7 @@ def walk(words: list[str], vocabulary: Vocabulary) -> Iterator[tuple[str, bytes]
         del stack[shared + 1 :]
         stack += [None] * (len(word) - shared)
         step_states(word, shared, stack, vocabulary)
-        yield word, stack[-1][2]
+        yield word, path_ids(stack)
         last = word
 
 
@@ -56,7 +56,11 @@ class Encoder:
         ids = dict(walk(list({x for p in parts.values() for x in p}), self.vocabulary))
         for word, own in parts.items():
             self.memo[word] = b"".join([ids[x] for x in own])
-        return [np.frombuffer(b"".join(map(self.memo.__getitem__, words)), np.int32) for words in split]
+        found = [np.frombuffer(b"".join(map(self.memo.__getitem__, words)), np.int32) for words in split]
+        for word in parts:
+            if len(word) > MEMO_LETTERS:
+                del self.memo[word]
+        return found
 
 
 class Decoder:
@@ -123,8 +127,9 @@ def decode_papers(encoded: DataFrame, vocabulary: Vocabulary, carry: Sequence[st
     return encoded.select(*dict.fromkeys(["paper_id", "piece_ids", *carry])).mapInArrow(task, out)
 
 
-def round_trips(papers: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """Encode papers and decode them again: paper_id, piece_ids, exact (boolean: the text came back).
+def round_trips(papers: DataFrame, vocabulary: Vocabulary, carry: Sequence[str] = ()) -> DataFrame:
+    """Encode papers and decode them again: paper_id, piece_ids, exact (boolean: the text came back), and the carried
+    columns.
 
     ``papers`` and the rows are as in :func:`encode_papers`. Both ways are taken in one task, which reads a text once.
     """
@@ -135,8 +140,10 @@ def round_trips(papers: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             rows = encoder.encode(texts)
             exact = [decoder.decode(ids) == (text or "").replace(MARK, " ") for ids, text in zip(rows, texts, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("paper_id"), _lists(rows), pa.array(exact, pa.bool_())], ["paper_id", "piece_ids", "exact"]
+                [batch.column("paper_id"), _lists(rows), pa.array(exact, pa.bool_()), *[batch.column(c) for c in carry]],
+                ["paper_id", "piece_ids", "exact", *carry],
             )
 
-    out = T.StructType([papers.schema["paper_id"], _IDS, T.StructField("exact", T.BooleanType(), False)])
-    return papers.select("paper_id", "text").mapInArrow(task, out)
+    exact = T.StructField("exact", T.BooleanType(), False)
+    out = T.StructType([papers.schema["paper_id"], _IDS, exact, *[papers.schema[c] for c in carry]])
+    return papers.select(*dict.fromkeys(["paper_id", "text", *carry])).mapInArrow(task, out)

@@ -12,8 +12,9 @@ import re
 from dataclasses import dataclass, field
 
 MARK = "▁"
-#: Entries after which tables of pairs and of words are started anew; they only save work.
-MEMO_PAIRS, MEMO_WORDS = 500_000, 400_000
+#: Entries after which tables of pairs and of words are started anew, and letters of the longest word that is kept; the
+#: tables only save work.
+MEMO_PAIRS, MEMO_WORDS, MEMO_LETTERS = 300_000, 250_000, 64
 
 
 @dataclass
@@ -192,8 +193,20 @@ def unknown_code(letter: str, last: str, vocabulary: Vocabulary) -> bytes:
     return b"" if last and last not in vocabulary.ids else vocabulary.unknown.to_bytes(4, "little")
 
 
-#: State of an empty prefix: score of its best path, last piece or character, ids as 4 bytes each.
-FIRST_STATE = (0.0, "", b"")
+#: State of an empty prefix: score of its best path, its last piece or character, the ids of that as 4 bytes each, and
+#: where it begins. The path itself is found by going back from piece to piece.
+FIRST_STATE = (0.0, "", b"", 0)
+
+
+def path_ids(states: list) -> bytes:
+    """Ids of the best path to the last state."""
+    codes, at = [], len(states) - 1
+    while at:
+        _, _, code, begin = states[at]
+        codes.append(code)
+        at = begin
+    codes.reverse()
+    return b"".join(codes)
 
 
 def step_states(word: str, start: int, states: list, vocabulary: Vocabulary) -> None:
@@ -219,7 +232,7 @@ def step_states(word: str, start: int, states: list, vocabulary: Vocabulary) ->
                         if fit is None:
                             fit = fits(last[1], piece, vocabulary)
                         if fit:
-                            best = (0.0, piece, last[2] + (code or unknown_code(piece, last[1], vocabulary)))
+                            best = (0.0, piece, code or unknown_code(piece, last[1], vocabulary), begin)
                             break
                 if code is None or not begin:
                     break
@@ -229,7 +242,7 @@ def step_states(word: str, start: int, states: list, vocabulary: Vocabulary) ->
         else:
             last = states[begin]
             own = code or unknown_code(piece, last[1], vocabulary)
-            best = (last[0] + scores.get(piece, vocabulary.unknown_score), piece, last[2] + own)
+            best = (last[0] + scores.get(piece, vocabulary.unknown_score), piece, own, begin)
             while code is not None and begin:
                 begin -= 1
                 piece = word[begin:end]
@@ -237,5 +250,5 @@ def step_states(word: str, start: int, states: list, vocabulary: Vocabulary) ->
                 if code:
                     total = states[begin][0] + scores[piece]
                     if total >= best[0]:
-                        best = (total, piece, states[begin][2] + code)
+                        best = (total, piece, code, begin)
         states[end] = best

@@ -86,3 +86,23 @@ def test_decoding_takes_any_ids(spark, models):
 def test_a_mark_in_a_text_is_a_blank(spark, models):
     frame = spark.createDataFrame([(1, "a▁b")], "paper_id long, text string")
     assert round_trips(frame, models[0][0]).select(F.col("exact")).first().exact
+
+
+def test_long_words_take_linear_time_and_memory(models):
+    """Lines without blanks: random letters, one letter, and letters that are no piece."""
+    import time
+    import tracemalloc
+
+    draw = random.Random(3)
+    for vocabulary, processor in models[:1]:
+        for letters in ("abcdefghij+/=", "a", "漢字仮名交文"):
+            word = "".join(draw.choice(letters) for _ in range(200_000))
+            tracemalloc.start()
+            start = time.process_time()
+            (ids,) = Encoder(vocabulary).encode([word])
+            spent, (_, peak) = time.process_time() - start, tracemalloc.get_traced_memory()
+            tracemalloc.stop()
+            assert spent < 20 and peak < 300e6, letters  # traced code is several times slower
+            short = word[:3000]
+            assert Encoder(vocabulary).encode([short])[0].tolist() == processor.encode(short)
+            assert len(ids) > 5000
