@@ -20,8 +20,9 @@ _NO_CLAUSE = (
     r"from|of|or|and|this|these|those|no|not|other|on|at|as|is|are|neither|accompany|convey|keep|include|prohibit|require|"
     r"retain|give|provide|cause|distribute|publicity)\b)"
 )
+# What may stand before a notice in its line, taken at once: no line break, and nothing that is given back.
 _COPYRIGHT = (
-    r"[\s*#/;\-]*(?:(?i:copyright)[ \t:,]*(?:(?i:\(c\))|©|\d|[\[<{]|(?i:by\b|years?\b))"
+    r"[ \t\r\f\x0B*#/;\-]*+(?:(?i:copyright)[ \t:,]*(?:(?i:\(c\))|©|\d|[\[<{]|(?i:by\b|years?\b))"
     rf"|(?:Copyright|COPYRIGHT)[ \t]+{_NO_NAME}\p{{L}}|copyright[ \t]+{_NO_NAME}\p{{Lu}}"
     rf"|©|(?i:\(c\)){_NO_CLAUSE}|(?i:all rights reserved))[^\n]*"
 )
@@ -168,10 +169,17 @@ def canonical(text: Column) -> Column:
 
 
 def first_word(text: Column) -> Column:
-    """The word a text's canonical form is made from first, before equivalent spellings are put in."""
-    found = F.regexp_extract(text, f"\\A(?:{_COPYRIGHT}(?:\n|\\z))*([^\\p{{L}}\\p{{N}}]*)([\\p{{L}}\\p{{N}}]*)", 2)
-    lead = F.regexp_extract(text, f"\\A(?:{_COPYRIGHT}(?:\n|\\z))*([^\\p{{L}}\\p{{N}}]*)", 1)
-    return F.when(F.contains(lead, F.lit("&")), F.lit("and")).otherwise(F.lower(found))
+    """The word a text's canonical form is made from first, before equivalent spellings are put in.
+
+    Only a text whose first word may begin a notice is taken apart into lines. No pattern repeats a group, so its depth
+    does not grow with the text.
+    """
+    notice = text.rlike(r"\A[^\p{L}\p{N}©]*+(?:©|(?i:copyright|all rights|c\)))")
+    others = F.filter(F.split(text, "\n"), lambda x: ~x.rlike(f"\\A{_COPYRIGHT}\\z"))
+    rest = F.when(notice, F.array_join(others, "\n")).otherwise(text)
+    found = F.regexp_extract(rest, r"\A[^\p{L}\p{N}]*+([\p{L}\p{N}]*+)", 1)
+    ampersand = rest.rlike(r"\A[^\p{L}\p{N}&]*+&")
+    return F.when(ampersand, F.lit("and")).otherwise(F.lower(found))
 
 
 def _first_words(forms: DataFrame) -> DataFrame:
