@@ -6,6 +6,8 @@ between ASCII white space.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import xxhash
 
@@ -84,36 +86,73 @@ def distance_bound(end: int, percent: int) -> int:
     return (2 * end * (100 - percent)) // (100 + percent)
 
 
-def partitions_of(end: int, percent: int) -> int:
-    """First-level partitions: one more than the distance bound, and an eighth more so that the agreeing partitions
-    cannot all be empty ones."""
+#: Bands that end at most here have two levels of partitions; in larger ones a range holds enough elements by itself.
+TWO_LEVELS = 256
+
+
+@dataclass(frozen=True)
+class Layout:
+    """How a band's sets are signed: ``first`` partitions of ``second`` ranges each, ``total`` signatures in all."""
+
+    first: int
+    second: int
+    total: int
+
+
+def layout_of(end: int, percent: int) -> Layout:
+    """Partitions for sets of at most ``end`` elements that differ in at most :func:`distance_bound` ones.
+
+    With two levels, there are so many first-level partitions that one of them has at most one difference. It is cut in
+    three ranges, and every two of the three are one signature: whichever range the difference is in, the other two agree.
+    With one level, there are more partitions than differences, and each is a signature.
+    """
     bound = distance_bound(end, percent)
-    return bound + 1 + bound // 8
+    if end <= TWO_LEVELS:
+        return Layout(bound // 2 + 1, 3, 3 * (bound // 2 + 1))
+    return Layout(bound + 1 + bound // 8, 1, bound + 1 + bound // 8)
+
+
+def least_agreeing(layout: Layout, differences: int) -> int:
+    """Signatures that agree at least, empty ones included, where so many elements differ. A difference costs two of a
+    partition's three signatures at first, the next one in the same partition the third; or one signature, with one
+    level."""
+    n = layout.first
+    if layout.second == 1:
+        return n - differences
+    return 3 * n - 2 * differences if differences <= n else 2 * n - differences
 
 
 def signatures(elements: np.ndarray, tag: int, percent: int) -> np.ndarray:
     """The set's signatures under one size tag, as rows of (signature, info).
 
-    info holds the size of the set, the tag, and the number of empty ranges.
+    info holds the size of the set, the tag, and the number of signatures that span empty ranges only, which are left
+    out.
 
-    ``elements`` is sorted, so cutting the 64-bit domain in equal ranges makes every partition a run. At most ``bound``
-    of the ``parts`` partitions differ between two sets that are similar enough, so at least ``parts - bound`` agree
-    whole. Where a set has fewer empty partitions than that, one of the agreeing ones holds elements and the empty ones
-    need no signature; the other sets give signatures for their empty partitions as well. No pair is lost either way.
+    ``elements`` is sorted, so cutting the 64-bit domain in equal ranges makes every range a run. If all signatures in
+    which two similar sets agree are empty, both have so few others that they are told by their number alone; such sets
+    give each of their elements as a signature as well, of which similar ones share most. No pair is lost either way.
     """
     end = band_end(tag, percent)
-    parts = partitions_of(end, percent)
-    place = ((elements >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    layout = layout_of(end, percent)
+    ranges = layout.first * layout.second
+    place = ((elements >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
     starts = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
     sums = np.add.reduceat(mix(elements), starts)
     salt = np.uint64((tag * 0x9E3779B97F4A7C15 + 0x1234567) % 2**64)
     filled = place[starts]
-    own = mix(sums * GOLDEN + filled + salt)
-    info = (len(elements) << 32) | (tag << 24) | (parts - len(filled))
-    if len(filled) > distance_bound(end, percent):
-        return _with_info(own, info)
-    empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), filled)
-    return _with_info(np.concatenate((own, mix(mix(empty + salt) + GOLDEN))), info)
+    if layout.second == 1:
+        own = mix(sums * GOLDEN + filled + salt)
+    else:
+        held = np.zeros(ranges, np.uint64)
+        held[filled.astype(np.int64)] = mix(sums + salt)  # 0 is what an empty range has
+        held = held.reshape(-1, 3)
+        pairs = np.stack((held[:, 0] * GOLDEN + held[:, 1], held[:, 0] * GOLDEN + held[:, 2], held[:, 1] * GOLDEN + held[:, 2]), axis=1)
+        some = np.stack((held[:, 0] | held[:, 1], held[:, 0] | held[:, 2], held[:, 1] | held[:, 2]), axis=1) != 0
+        own = mix(pairs + np.arange(layout.total, dtype=np.uint64).reshape(-1, 3) + salt)[some]
+    info = (len(elements) << 32) | (tag << 24) | (layout.total - len(own))
+    if len(own) <= layout.total - least_agreeing(layout, distance_bound(end, percent)):
+        own = np.concatenate((own, mix(mix(elements + salt) + GOLDEN)))
+    return _with_info(own, info)
 
 
 def _with_info(own: np.ndarray, info: int) -> np.ndarray:
