@@ -137,6 +137,11 @@ def nearest_vectors(
         F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
         & F.exists("embedding", lambda x: x != 0)
     )
+    # Cosines do not depend on a vector's length: with the largest component at one, no sum of squares is 0 or infinite.
+    large = F.array_max(F.transform("embedding", lambda x: F.abs(x)))
+    scaled = F.transform("embedding", lambda x: x / F.col("_large"))
+    usual = F.col("_large").between(1e-100, 1e100)
+    whole = whole.withColumn("_large", large).select("vector_id", F.when(usual, F.col("embedding")).otherwise(scaled).alias("embedding"))
     most = whole.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
     dimension = most["d"] if most else 1
     clean = stored(whole.where(F.size("embedding") == dimension).groupBy("vector_id").agg(F.min("embedding").alias("embedding")))
