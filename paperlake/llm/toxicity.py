@@ -311,16 +311,23 @@ def fit_toxicity(papers: DataFrame, ratings: DataFrame, per_class: int = 2000, r
     """Train on ``papers`` (paper_id, text) that ``ratings`` (paper_id, toxic 0/1) marks.
 
     The network sees a bounded sample: of each class the ``per_class`` ids that come first by a hash; whole texts.
-    Rows with a null id or mark teach nothing. Several ratings of a paper count by the largest.
+    Where that changes the classes' shares, the constant of the fitted network is moved by the logarithm of the change,
+    so that scores are chances among all rated papers at every size. Rows with a null id or mark teach nothing. Several
+    ratings of a paper count by the largest.
     """
     marks = ratings.where("paper_id IS NOT NULL AND toxic IN (0, 1)").groupBy("paper_id").agg(F.max("toxic").alias("toxic"))
+    sizes = {int(r["toxic"]): r["count"] for r in marks.groupBy("toxic").count().collect()}
     by = [F.xxhash64(F.col("paper_id").cast("string")), "paper_id"]
     chosen = [marks.where(F.col("toxic") == y).orderBy(*by).limit(per_class) for y in (0, 1)]
     few = F.broadcast(chosen[0].unionByName(chosen[1]))  # at most 2 * per_class ids
     # A repeated id teaches one of its texts, so the sample stays within its bound.
     rows = papers.select("paper_id", "text").join(few, "paper_id").groupBy("paper_id", "toxic").agg(F.min("text").alias("text"))
     found = rows.toPandas().sort_values("paper_id", kind="stable")
-    return train(found["text"].tolist(), [int(y) for y in found["toxic"]], rounds)
+    model = train(found["text"].tolist(), [int(y) for y in found["toxic"]], rounds)
+    if len(sizes) == 2:
+        taken = {y: min(n, per_class) for y, n in sizes.items()}
+        model.out[-1] += np.log(sizes[1] / taken[1]) - np.log(sizes[0] / taken[0])
+    return model
 
 
 def score_toxicity(papers: DataFrame, model: ToxicityModel, carry: Sequence[str] = ()) -> DataFrame:
@@ -348,4 +355,4 @@ def score_toxicity(papers: DataFrame, model: ToxicityModel, carry: Sequence[str]
         T.StructField("paper_id", kind), T.StructField("score", T.DoubleType()), T.StructField("window_no", T.IntegerType()),
         *[papers.schema[c] for c in carry],
     ])
-    return papers.select("paper_id", "text", *carry).mapInArrow(task, out)
+    return papers.select(*dict.fromkeys(["paper_id", "text", *carry])).mapInArrow(task, out)
