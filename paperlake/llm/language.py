@@ -19,14 +19,14 @@ BUCKETS = 4096
 SLICE = 1_000_000
 #: Length bands of the rejection threshold: powers of two of a text's n-gram count.
 BANDS = 48
-#: Texts of fewer n-grams (2 ** this) say too little for a distance to reject them.
-SHORT_BAND = 6
+#: Papers of a language, of one length or the next shorter ones, that its limit of rejection is taken from at least.
+ENOUGH = 20
 NO_LANGUAGE = "und"
 
 
 @dataclass
 class LanguageModel:
-    """Fitted centroids. ``floor[b]`` is the least similarity of an accepted text whose length is in band b."""
+    """Fitted centroids. ``floor[k, b]`` is the least similarity of an accepted text of language k and length band b."""
 
     languages: list[str]
     owner: np.ndarray  # centroid -> index into languages
@@ -96,15 +96,30 @@ def _centroids(rows: np.ndarray, clusters: int, rounds: int = 12) -> np.ndarray:
     return centers / np.maximum(np.linalg.norm(centers, axis=1, keepdims=True), 1e-12)
 
 
+def _limits(near: np.ndarray, bands: np.ndarray, quantile: float) -> np.ndarray:
+    """The ``quantile`` of similarities for every length band: of the ``ENOUGH`` longest texts up to its length, and of
+    all of its own length; 0 where there are fewer."""
+    order = np.argsort(-bands, kind="stable")
+    limits = np.zeros(BANDS)
+    for band in range(BANDS):
+        upto = order[bands[order] <= band]
+        if len(upto) >= ENOUGH:
+            own = int((bands == band).sum())
+            limits[band] = np.quantile(near[upto[: max(ENOUGH, own)]], quantile)
+    return limits
+
+
 def fit_languages(
-    papers: DataFrame, per_language: int = 400, clusters: int = 4, slack: float = 0.6
+    papers: DataFrame, per_language: int = 400, clusters: int = 4, slack: float = 0.6, quantile: float = 0.02
 ) -> LanguageModel:
     """Fit centroids to ``papers`` (paper_id, text, language).
 
     Rows without an id, a language or a letter teach nothing. Document frequencies are counted over all the others.
     The centroids come from a sample of about ``per_language`` papers of each language, chosen by a hash of the id, so
-    the driver holds at most (languages x per_language) vectors. ``slack`` times the least similarity seen in a length
-    band (or a band next to it) is the limit below which a text is rejected.
+    the driver holds at most (languages x per_language) vectors; of several rows of an id the first by text and language
+    counts. A text is rejected if its similarity is below ``slack`` times the ``quantile`` of those of the language's
+    papers of its length: of its band and, until there are ``ENOUGH``, of the next shorter ones. Where a language has not
+    as many papers up to a length, nothing is known of such texts and none is rejected.
     """
     known = papers.where("paper_id IS NOT NULL AND language IS NOT NULL AND text IS NOT NULL").select(
         "paper_id", "text", "language"
@@ -133,10 +148,11 @@ def fit_languages(
     sizes = {r["language"]: r["count"] for r in known.groupBy("language").count().collect()}
     languages = sorted(sizes)
     if not languages:
-        return LanguageModel([], np.zeros(0, int), np.zeros((0, BUCKETS), np.float32), idf, np.zeros(BANDS))
+        return LanguageModel([], np.zeros(0, int), np.zeros((0, BUCKETS), np.float32), idf, np.zeros((0, BANDS)))
     share = F.create_map(*[F.lit(x) for k in languages for x in (k, per_language / sizes[k])])
     chance = F.pmod(F.xxhash64(F.col("paper_id").cast("string")), F.lit(1_000_000)) / 1_000_000
-    sample = known.where(chance < share[F.col("language")]).dropDuplicates(["paper_id"])
+    sampled = known.where(chance < share[F.col("language")])
+    sample = sampled.groupBy("paper_id").agg(F.min(F.struct("text", "language")).alias("s")).select("paper_id", "s.*")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = letter_table()
@@ -161,16 +177,15 @@ def fit_languages(
             centers.append(_centroids(own, clusters))
             owner += [number] * len(centers[-1])
     centroids = np.concatenate(centers) if centers else np.zeros((0, BUCKETS), np.float32)
-    floor = np.full(BANDS, np.inf)
-    if len(rows) and len(centroids):
-        np.minimum.at(floor, band_of_length(counts), (rows @ centroids.T).max(axis=1))
-    around = np.minimum(floor, np.minimum(np.append(floor[1:], np.inf), np.insert(floor[:-1], 0, np.inf)))
-    floor = np.where(np.isfinite(around), around * slack, 0)
-    for band in range(1, BANDS):  # longer texts than any seen are no less similar
-        if not np.isfinite(around[band]):
-            floor[band] = floor[band - 1]
-    floor[:SHORT_BAND] = 0
-    return LanguageModel(languages, np.array(owner, int), centroids.astype(np.float32), idf, floor)
+    owner = np.array(owner, int)
+    floor = np.zeros((len(languages), BANDS))
+    bands = band_of_length(counts) if len(counts) else np.zeros(0, int)
+    for number, language in enumerate(languages):
+        own = label == language
+        if own.any():
+            near = (rows[own] @ centroids[owner == number].T).max(axis=1)
+            floor[number] = slack * _limits(near, bands[own], quantile)
+    return LanguageModel(languages, owner, centroids.astype(np.float32), idf, floor)
 
 
 def identify_languages(papers: DataFrame, model: LanguageModel, carry: Sequence[str] = ()) -> DataFrame:
@@ -179,8 +194,8 @@ def identify_languages(papers: DataFrame, model: LanguageModel, carry: Sequence[
     ``papers`` has paper_id and text; other columns are ignored but for those named in ``carry``, which come back as they
     are. Returns one row per row: paper_id, language (the
     language of the nearest centroid by cosine, ties to the first in order; ``und`` where the text is null or has no
-    letter, or nothing was learnt), score (that cosine, 0 to 1), rejected (``und``, or farther from every centroid than
-    papers of that length are; texts of a few words are not rejected by distance). Whole texts are read.
+    letter, or nothing was learnt), score (that cosine, 0 to 1), rejected (``und``, or farther from that centroid than
+    papers of the language and of that length go). Whole texts are read.
     """
     languages, owner, centroids = model.languages, model.owner, model.centroids
     idf, floor = model.idf, model.floor
@@ -194,13 +209,15 @@ def identify_languages(papers: DataFrame, model: LanguageModel, carry: Sequence[
                 counts = np.array([ngram_counts(x, letters) for x in part.column("text").to_pylist()])
                 filled = counts.any(axis=1) & bool(len(owner))
                 best, score = np.zeros(len(counts), int), np.zeros(len(counts))
+                limits = np.zeros(len(counts))
                 if len(owner):
                     near = weighted(counts, idf) @ centroids.T
                     best, score = owner[near.argmax(axis=1)], near.max(axis=1).clip(0, 1).astype(float)
+                    limits = floor[best, band_of_length(counts)]
                 names = [languages[b] if f else NO_LANGUAGE for b, f in zip(best, filled, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("paper_id"), pa.array(names, pa.string()), pa.array(np.where(filled, score, 0.0)),
-                     pa.array(~filled | (score < floor[band_of_length(counts)])), *[part.column(c) for c in carry]],
+                     pa.array(~filled | (score < limits)), *[part.column(c) for c in carry]],
                     ["paper_id", "language", "score", "rejected", *carry],
                 )
 
@@ -209,4 +226,4 @@ def identify_languages(papers: DataFrame, model: LanguageModel, carry: Sequence[
         T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType()),
         *[papers.schema[c] for c in carry],
     ])
-    return papers.select("paper_id", "text", *carry).mapInArrow(task, out)
+    return papers.select(*dict.fromkeys(["paper_id", "text", *carry])).mapInArrow(task, out)
