@@ -7,12 +7,14 @@ tokens that end there are linked. Counts of linked ids over all papers say which
 from __future__ import annotations
 
 import json
+import os
+import re
+from array import array
 from collections.abc import Iterator, Sequence
-from itertools import accumulate
+from itertools import accumulate, chain, compress
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,17 +22,30 @@ from pyspark.sql import types as T
 
 from paperlake.llm.common import stored, text_batches
 
+#: Bytes of text that are encoded at a time.
+SLICE = 250_000
+#: Where neither tokenizer has a token across: before a blank or a line break between two visible characters.
+CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
+#: Aligned parts of texts that a task keeps, and characters of the longest one.
+KEPT, KEPT_LETTERS = 300_000, 64
 #: Links in a block of papers; a block's distinct id pairs meet their counts at once.
 BLOCK_LINKS = 1_500_000
 
 
 class ByteLevel:
-    """A byte-level BPE tokenizer (``tokenizers`` JSON); special tokens inside texts are plain text."""
+    """A byte-level BPE tokenizer (``tokenizers`` JSON); special tokens inside texts are plain text. ``cuts`` says that a
+    text's parts (:data:`CUT`) are encoded each for itself, which the usual pattern of words sees to."""
 
     def __init__(self, model: str) -> None:
-        self.model = model
+        self.model, spec = model, json.loads(model)
+        before = spec.get("pre_tokenizer") or {}
+        self.cuts = (
+            before.get("type") == "ByteLevel" and before.get("use_regex", True) and not spec.get("normalizer")
+            and all(x["special"] for x in spec.get("added_tokens", []))
+        )
 
     def open(self) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are what runs side by side
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(self.model)
@@ -43,7 +58,7 @@ class ByteLevel:
             self.table[number] = bytes(letters[c] for c in entry) if known else entry.encode()
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch_fast([" " + x for x in texts], add_special_tokens=False)]
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 def _byte_letters() -> dict[int, str]:
@@ -55,10 +70,20 @@ def _byte_letters() -> dict[int, str]:
 
 
 class Pieces:
-    """A SentencePiece model, which puts a blank before a text itself."""
+    """A SentencePiece model, which puts a blank before a text itself. ``cuts`` as for :class:`ByteLevel`: no piece has
+    a mark behind another character or a line break in it, line breaks are pieces of bytes, and texts are taken as they
+    are."""
 
     def __init__(self, model: bytes) -> None:
-        self.model = model
+        from sentencepiece import sentencepiece_model_pb2
+
+        self.model, proto = model, sentencepiece_model_pb2.ModelProto.FromString(model)
+        rule = proto.normalizer_spec
+        self.cuts = (
+            not any("▁" in x.piece.lstrip("▁") or "\n" in x.piece for x in proto.pieces) and rule.add_dummy_prefix
+            and proto.trainer_spec.byte_fallback
+            and not rule.precompiled_charsmap and not rule.remove_extra_whitespaces
+        )
 
     def open(self) -> None:
         from sentencepiece import SentencePieceProcessor
@@ -71,7 +96,10 @@ class Pieces:
         ]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return self.processor.encode(texts, num_threads=1)
+        """Ids of texts that begin with a blank, which is the one the model puts there, or with a line break: before that
+        the model puts a mark, which is a piece of its own and no part of the text."""
+        bare = self.processor.encode([x[1:] if x[:1] == " " else x for x in texts], num_threads=1)
+        return [ids if x[:1] == " " else ids[1:] for x, ids in zip(texts, bare, strict=True)]
 
 
 def load_byte_level(file: str) -> ByteLevel:
@@ -94,36 +122,131 @@ def ends_of(ids: Sequence[int], lengths: Sequence[int]) -> list[int]:
     return list(accumulate(map(lengths.__getitem__, ids)))
 
 
-def align(a: Sequence[int], b: Sequence[int], ends_a: list[int], ends_b: list[int]) -> tuple[str, list[int], list[int]]:
-    """Groups as text, and the linked A and B ids, one entry a link.
+def align(
+    a: Sequence[int], b: Sequence[int], ends_a: list[int], ends_b: list[int]
+) -> tuple[list[int], list[int], list[int], list[int]]:
+    """Where groups end among the tokens of A and of B, and the linked ids of A and of B, one entry a link.
 
-    ``a1,a2|b1;a3|b2,b3`` are two groups: ids of A and ids of B up to a common end. An end's index is that of the last
-    token that ends there, so tokens without bytes belong to the group before them, and all that end there are linked.
+    An end's index is that of the last token that ends there, so tokens without bytes belong to the group before them,
+    and all that end there are linked.
     """
-    last_a, last_b = dict(zip(ends_a, range(1, len(a) + 1))), dict(zip(ends_b, range(1, len(b) + 1)))
-    names_a, names_b = list(map(str, a)), list(map(str, b))
-    groups, links_a, links_b = [], [], []
-    i = j = 0
-    for end in sorted(last_a.keys() & last_b.keys()):
-        p, q = last_a[end], last_b[end]
-        if p - i == 1 == q - j:
-            groups.append(f"{names_a[i]}|{names_b[j]}")
-        else:
-            groups.append(f"{','.join(names_a[i:p])}|{','.join(names_b[j:q])}")
-        first_a, first_b = p - 1, q - 1
-        while first_a > i and ends_a[first_a - 1] == end:
-            first_a -= 1
-        while first_b > j and ends_b[first_b - 1] == end:
-            first_b -= 1
-        if p - first_a == 1 == q - first_b:
-            links_a.append(a[first_a])
-            links_b.append(b[first_b])
-        else:
-            for x in a[first_a:p]:
-                links_a += [x] * (q - first_b)
-                links_b += b[first_b:q]
+    index_a, index_b = dict(zip(ends_a, range(1, len(a) + 1))), dict(zip(ends_b, range(1, len(b) + 1)))
+    common = sorted(index_a.keys() & index_b.keys())
+    cuts_a, cuts_b = [index_a[x] for x in common], [index_b[x] for x in common]
+    if len(index_a) == len(a) and len(index_b) == len(b):  # every token has bytes: one of each ends at an end
+        return cuts_a, cuts_b, [a[p - 1] for p in cuts_a], [b[q - 1] for q in cuts_b]
+    links_a, links_b, i, j = [], [], 0, 0
+    for end, p, q in zip(common, cuts_a, cuts_b, strict=True):
+        there_a = [x for x, own in zip(a[i:p], ends_a[i:p]) if own == end]
+        there_b = [x for x, own in zip(b[j:q], ends_b[j:q]) if own == end]
+        for x in there_a:
+            links_a += [x] * len(there_b)
+            links_b += there_b
         i, j = p, q
-    return ";".join(groups), links_a, links_b
+    return cuts_a, cuts_b, links_a, links_b
+
+
+def group_texts(names_a: list[str], names_b: list[str], cuts_a: list[int], cuts_b: list[int]) -> list[str]:
+    """``a1,a2|b1``: the ids of A and of B up to each cut."""
+    return [
+        f"{names_a[i]}|{names_b[j]}" if p - i == 1 == q - j else f"{','.join(names_a[i:p])}|{','.join(names_b[j:q])}"
+        for i, p, j, q in zip([0, *cuts_a], cuts_a, [0, *cuts_b], cuts_b)
+    ]
+
+
+class Aligner:
+    """Aligns texts part by part, each distinct part once as long as it is kept.
+
+    A part's value is its groups as text, its links as 8 bytes each, and its numbers of tokens of A, of B and of groups;
+    None if the bytes of either tokenizer's tokens are not those of the part.
+    """
+
+    def __init__(self, first: ByteLevel, second: Pieces) -> None:
+        self.first, self.second, self.kept = first, second, {}
+        first.open()
+        second.open()
+        self.sizes = [len(x) for x in first.table], [len(x) for x in second.table]
+        self.names = [list(map(str, range(len(x)))) for x in self.sizes]
+        self.split = CUT.split if first.cuts and second.cuts else lambda text: [text]
+
+    # Texts get their blank in front here, so every part begins with a blank or a line break.
+
+    def parts(self, texts: list[str]) -> list[list[tuple | None]]:
+        """For each text the values of its parts in order; none for an empty text."""
+        cut = [self.split(" " + x) if x else [] for x in texts]
+        if len(self.kept) > KEPT:
+            self.kept.clear()
+        new: set[str] = set()
+        for parts in cut:
+            new.update(parts)
+        fresh = [x for x in new if x not in self.kept]
+        self.kept.update(zip(fresh, self._aligned(fresh, self.first.encode(fresh), self.second.encode(fresh)), strict=True))
+        found = [[self.kept[p] for p in parts] for parts in cut]
+        for part in fresh:
+            if len(part) > KEPT_LETTERS:
+                del self.kept[part]
+        return found
+
+    def _gives_back(self, data: bytes, a: list[int], b: list[int]) -> bool:
+        return b"".join(map(self.first.table.__getitem__, a)) == data == b"".join(map(self.second.table.__getitem__, b))
+
+    def _aligned(self, parts: list[str], first: list[list[int]], second: list[list[int]]) -> list[tuple | None]:
+        """Values of some parts. One after the other they are one text, in which every part's end is a common end."""
+        if not parts:
+            return []
+        a, b = list(chain.from_iterable(first)), list(chain.from_iterable(second))
+        if not self._gives_back("".join(parts).encode(), a, b):
+            good = [self._gives_back(p.encode(), x, y) for p, x, y in zip(parts, first, second, strict=True)]
+            rest = iter(self._aligned(*(list(compress(x, good)) for x in (parts, first, second))) if any(good) else ())
+            return [next(rest) if ok else None for ok in good]
+        cuts_a, cuts_b, to_a, to_b = align(a, b, ends_of(a, self.sizes[0]), ends_of(b, self.sizes[1]))
+        if len(to_a) != len(cuts_a):  # tokens without bytes: which part they belong to is seen in it alone
+            if len(parts) > 1:
+                return [self._aligned([p], [x], [y])[0] for p, x, y in zip(parts, first, second, strict=True)]
+        names_a, names_b = list(map(self.names[0].__getitem__, a)), list(map(self.names[1].__getitem__, b))
+        groups = group_texts(names_a, names_b, cuts_a, cuts_b)
+        links = array("q", [x << 32 | y for x, y in zip(to_a, to_b)]).tobytes()
+        if len(parts) == 1:
+            return [(";".join(groups), links, len(a), len(b), len(groups))]
+        ends = np.searchsorted(cuts_a, np.cumsum([len(x) for x in first])) + 1
+        return [
+            (";".join(groups[i:j]), links[8 * i : 8 * j], len(x), len(y), j - i)
+            for i, j, x, y in zip([0, *ends[:-1].tolist()], ends.tolist(), first, second, strict=True)
+        ]
+
+
+class _Block:
+    """Papers whose links are numbered together: places among the block's distinct pairs, sorted."""
+
+    def __init__(self) -> None:
+        self.parts: list[pa.RecordBatch] = []
+        self.links: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, rows: pa.RecordBatch, links: list[np.ndarray]) -> None:
+        self.parts.append(rows)
+        self.links += links
+        self.size += sum(map(len, links))
+
+    def batches(self, number: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+        """The rows, each with its block; the first one has the block's pairs and how often each is linked there."""
+        pairs, places = np.unique(np.concatenate(self.links), return_inverse=True)
+        times = np.bincount(places, minlength=len(pairs))
+        places = places.astype(np.int32)
+        ends = np.cumsum([0, *map(len, self.links)])
+        at = 0
+        for part in self.parts:
+            n = part.num_rows
+            own = pa.array(ends[at : at + n + 1] - ends[at], pa.int32())
+            head = pa.array([0] + [0 if at else len(pairs)] * n, pa.int32())
+            missing = pa.array([bool(at) or k > 0 for k in range(n)])
+            held = [pa.ListArray.from_arrays(head, pa.array(x if not at else x[:0], pa.int64()), mask=missing) for x in (pairs, times)]
+            yield pa.RecordBatch.from_arrays(
+                [*part.columns, pa.array([number] * n, pa.int64()), *held,
+                 pa.ListArray.from_arrays(own, pa.array(places[ends[at] : ends[at + n]]))],
+                names,
+            )
+            at += n
 
 
 def align_papers(papers: DataFrame, first: ByteLevel, second: Pieces, carry: Sequence[str] = ()) -> DataFrame:
@@ -131,75 +254,59 @@ def align_papers(papers: DataFrame, first: ByteLevel, second: Pieces, carry: Seq
 
     ``papers`` has paper_id and text; other columns are ignored but for those named in ``carry``. ``first`` (A) encodes a
     blank and the text, ``second`` (B) the text, before which it puts a blank itself. Returns one row per row: paper_id,
-    n_a, n_b, n_groups (long), groups (string ``a1,a2|b1;a3|b2,b3``: ids of A and of B between common ends), links
-    (array of long: id of A times 2**32 plus id of B for every pair of tokens whose byte ranges end together) and the
-    carried columns. Null and empty texts, and texts that the bytes of either tokenizer's tokens do not give back (a
-    text with U+2581, for B), have no tokens: zeros, '' and no links. Repeated rows and rows without an id are rows.
+    n_a, n_b, n_groups (long), groups (string ``a1,a2|b1;a3|b2,b3``: ids of A and of B between common ends), the carried
+    columns, and the links, which are all pairs of tokens whose byte ranges end together, in the form that
+    :func:`links_of` spells out and :func:`score_links` counts: block, pairs and times (on the first row of a block: its
+    distinct pairs, as id of A times 2**32 plus id of B, and their links), places (of the row's links among the pairs).
+
+    Null and empty texts, and texts that the bytes of either tokenizer's tokens do not give back (a text with U+2581, for
+    B), have no tokens: zeros, '' and no links. Repeated rows and rows without an id are rows.
     """
+    names = ["paper_id", "n_a", "n_b", "n_groups", "groups", *carry, "block", "pairs", "times", "places"]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first.open()
-        second.open()
-        sizes_a, sizes_b = [len(x) for x in first.table], [len(x) for x in second.table]
-        for batch in text_batches(batches, 500_000):
-            texts = [x or "" for x in batch.column("text").to_pylist()]
+        aligner = Aligner(first, second)
+        # The number of a block is that of its task and its own there; once the rows are written, a block keeps it.
+        number, block = TaskContext.get().partitionId() << 32, _Block()
+        for batch in text_batches(batches, SLICE):
             counts, groups, links = [], [], []
-            for text, a, b in zip(texts, first.encode(texts), second.encode(texts), strict=True):
-                data = b" " + text.encode()
-                same = text and all(
-                    b"".join(map(t.__getitem__, ids)) == data for t, ids in ((first.table, a), (second.table, b))
-                )
-                if not same:
-                    counts.append((0, 0, 0))
-                    groups.append("")
-                    links.append(np.zeros(0, np.int64))
-                    continue
-                text_groups, to_a, to_b = align(a, b, ends_of(a, sizes_a), ends_of(b, sizes_b))
-                counts.append((len(a), len(b), text_groups.count(";") + 1))
-                groups.append(text_groups)
-                links.append((np.array(to_a, np.int64) << 32) | np.array(to_b, np.int64))
+            for parts in aligner.parts(batch.column("text").to_pylist()):
+                if None in parts:
+                    parts = []
+                groups.append(";".join([x[0] for x in parts]))
+                links.append(np.frombuffer(b"".join([x[1] for x in parts]), np.int64))
+                counts.append([sum([x[k] for x in parts]) for k in (2, 3, 4)])
             n_a, n_b, n_groups = (pa.array(x, pa.int64()) for x in zip(*counts, strict=True))
-            offsets = pa.array(np.cumsum([0, *map(len, links)]), pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("paper_id"), n_a, n_b, n_groups, pa.array(groups, pa.string()),
-                 pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(links))), *[batch.column(c) for c in carry]],
-                ["paper_id", "n_a", "n_b", "n_groups", "groups", "links", *carry],
+            rows = pa.RecordBatch.from_arrays(
+                [batch.column("paper_id"), n_a, n_b, n_groups, pa.array(groups, pa.string()), *[batch.column(c) for c in carry]],
+                names[:-4],
             )
+            block.add(rows, links)
+            if block.size >= BLOCK_LINKS:
+                yield from block.batches(number, names)
+                number, block = number + 1, _Block()
+        if block.parts:
+            yield from block.batches(number, names)
 
+    longs = T.ArrayType(T.LongType(), False)
     out = T.StructType([
         papers.schema["paper_id"], *[T.StructField(x, T.LongType()) for x in ("n_a", "n_b", "n_groups")],
-        T.StructField("groups", T.StringType()), T.StructField("links", T.ArrayType(T.LongType(), False)),
-        *[papers.schema[c] for c in carry],
+        T.StructField("groups", T.StringType()), *[papers.schema[c] for c in carry], T.StructField("block", T.LongType()),
+        T.StructField("pairs", longs), T.StructField("times", longs), T.StructField("places", T.ArrayType(T.IntegerType(), False)),
     ])
     return papers.select(*dict.fromkeys(["paper_id", "text", *carry])).mapInArrow(task, out)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in blocks of about ``BLOCK_LINKS`` links: (block, row, pairs, places).
-
-    The first row of a block has the block's distinct pairs, sorted; ``places`` are those of a row's links among them.
-    The number of a block is that of its task and its own there; once written, a block keeps it.
-    """
-    number = TaskContext.get().partitionId() << 32
-    for batch in batches:
-        links = batch.column("links")
-        total = pc.list_value_length(links).to_numpy(zero_copy_only=False).cumsum()
-        start = 0
-        while start < batch.num_rows:
-            before = total[start - 1] if start else 0
-            end = max(start + 1, int(np.searchsorted(total, before + BLOCK_LINKS, "right")))
-            part = batch.slice(start, end - start)
-            rows = [x.values.to_numpy() for x in part.column("links")]
-            pairs, places = np.unique(np.concatenate(rows), return_inverse=True)
-            offsets = pa.array(np.cumsum([0, *map(len, rows)]), pa.int32())
-            held = pa.array([pairs.tolist()] + [None] * (len(rows) - 1), pa.list_(pa.int64()))
-            times = pa.array([np.bincount(places, minlength=len(pairs)).tolist()] + [None] * (len(rows) - 1), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([number] * len(rows), pa.int64()), held, times,
-                 pa.ListArray.from_arrays(offsets, pa.array(places.astype(np.int32))), part.column("row")],
-                ["block", "pairs", "times", "places", "row"],
-            )
-            number, start = number + 1, end
+def links_of(aligned: DataFrame) -> DataFrame:
+    """The links of :func:`align_papers` spelt out: its columns with links (array of struct of a and b, in text order) in
+    place of the four that hold them."""
+    blocks = stored(aligned)
+    pairs = blocks.where("pairs IS NOT NULL").select("block", F.col("pairs").alias("_pairs"))
+    pair = lambda x: F.struct(F.shiftright(x, 32).cast("int").alias("a"), x.bitwiseAND(F.lit(2**32 - 1)).cast("int").alias("b"))
+    held = blocks.join(pairs, "block").withColumn(
+        "links", F.transform("places", lambda at: pair(F.element_at("_pairs", at + 1)))
+    )
+    return held.drop("block", "pairs", "times", "places", "_pairs")
 
 
 def _scored(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -218,21 +325,16 @@ def _scored(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
 def score_links(aligned: DataFrame) -> DataFrame:
     """How usual the links of each paper are over all papers.
 
-    ``aligned`` has links, as :func:`align_papers` gives them. Returns its other columns and n_links, n_best (links whose
+    ``aligned`` has the links of :func:`align_papers`. Returns its other columns and n_links, n_best (links whose
     count is the highest of all pairs with their id of B, ties included) and count_sum (sum of the links' counts), all
     long; the count of a pair of ids is how many links of all rows hold it. A row without links has zeros.
 
     Papers are put in blocks of a bounded number of links, and links are numbered inside their block. So one row per
     block and distinct pair meets the counts and comes back, not one per link.
     """
-    others = [c for c in aligned.columns if c != "links"]
+    others = [c for c in aligned.columns if c not in ("block", "pairs", "times", "places")]
     row = T.StructField("row", aligned.select(F.struct(*others).alias("row")).schema["row"].dataType)
-    longs = T.ArrayType(T.LongType(), False)
-    shape = T.StructType([
-        T.StructField("block", T.LongType()), T.StructField("pairs", longs), T.StructField("times", longs),
-        T.StructField("places", T.ArrayType(T.IntegerType(), False)), row,
-    ])
-    blocks = stored(aligned.select("links", F.struct(*others).alias("row")).mapInArrow(_blocks, shape))
+    blocks = stored(aligned.select("block", "pairs", "times", "places", F.struct(*others).alias("row")))
     held = stored(
         blocks.where("pairs IS NOT NULL").select("block", F.explode(F.arrays_zip("pairs", "times")).alias("p"))
         .select("block", F.col("p.pairs").alias("pair"), F.col("p.times").alias("times"))

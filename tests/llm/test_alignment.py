@@ -4,7 +4,7 @@ from collections import Counter
 import pytest
 
 from paperlake.llm import alignment as A
-from paperlake.llm.alignment import align, align_papers, load_byte_level, load_pieces, score_links
+from paperlake.llm.alignment import align, align_papers, group_texts, links_of, load_byte_level, load_pieces, score_links
 
 FIRST, SECOND = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -67,17 +67,18 @@ def texts():
 def test_alignment_is_that_of_a_walk_over_bytes(spark, models, monkeypatch, links):
     if links:
         monkeypatch.setattr(A, "BLOCK_LINKS", links)
+        monkeypatch.setattr(A, "SLICE", 90)
     rows = texts()
     papers = spark.createDataFrame(list(enumerate(rows)), "paper_id long, text string").repartition(3)
     aligned = align_papers(papers, *models)
     want = plain(rows)
-    got = {r.paper_id: r for r in aligned.collect()}
+    got = {r.paper_id: r for r in links_of(aligned).collect()}
     assert len(got) == len(rows)
     for k, (n_a, n_b, groups, pairs) in enumerate(want):
         r = got[k]
         assert (r.n_a, r.n_b, r.groups) == (n_a, n_b, groups), rows[k]
         assert r.n_groups == (groups.count(";") + 1 if groups else 0)
-        assert [(x >> 32, x & (2**32 - 1)) for x in r.links] == pairs
+        assert [tuple(x) for x in r.links] == pairs
     assert want[5] == (0, 0, "", []) and want[4][0] > 0  # a mark does not come back; a special token's string does
     counts = Counter(p for w in want for p in w[3])
     highest = {}
@@ -92,9 +93,13 @@ def test_alignment_is_that_of_a_walk_over_bytes(spark, models, monkeypatch, link
 
 
 def test_tokens_without_bytes_belong_to_the_group_before_them():
-    assert align([1, 2, 3], [7, 8], [2, 2, 5], [2, 5]) == ("1,2|7;3|8", [1, 2, 3], [7, 7, 8])
-    assert align([1, 2], [7], [2, 4], [4]) == ("1,2|7", [2], [7])
-    assert align([1], [7, 8], [3], [3, 3]) == ("1|7,8", [1, 1], [7, 8])
+    def spelt(a, b, ends_a, ends_b):
+        cuts_a, cuts_b, to_a, to_b = align(a, b, ends_a, ends_b)
+        return ";".join(group_texts(list(map(str, a)), list(map(str, b)), cuts_a, cuts_b)), to_a, to_b
+
+    assert spelt([1, 2, 3], [7, 8], [2, 2, 5], [2, 5]) == ("1,2|7;3|8", [1, 2, 3], [7, 7, 8])
+    assert spelt([1, 2], [7], [2, 4], [4]) == ("1,2|7", [2], [7])
+    assert spelt([1], [7, 8], [3], [3, 3]) == ("1|7,8", [1, 1], [7, 8])
 
 
 def test_odd_papers(spark, models, odd_papers, no_papers):
@@ -106,3 +111,22 @@ def test_odd_papers(spark, models, odd_papers, no_papers):
     assert all(r.n_a == r.n_links == r.count_sum == 0 and r.groups == "" for r in rows if r.paper_id in (2, 3))
     assert next(r for r in rows if r.paper_id == 5).n_a > 40000
     assert score_links(align_papers(no_papers, *models)).count() == 0
+
+
+def test_parts_of_a_text_align_like_the_whole(models):
+    """Cutting at blanks changes nothing, whatever stands around them."""
+    draw = random.Random(7)
+    marks = ["a", "Über", "don't", "x1", ".", "\n", "\t", " ", "  ", "\xa0", " ", "　", "漢", "😀", "-", "'s", "\x1c", "\u0085", "\r\n", "<|endoftext|>", "▁"]
+    texts = ["".join(draw.choice(marks) + draw.choice(["", " ", " ", ""]) for _ in range(draw.randint(1, 25))) for _ in range(1500)]
+    whole, cut = A.Aligner(*models), A.Aligner(*models)
+    whole.split = lambda text: [text]
+    assert models[0].cuts and models[1].cuts and cut.split is not whole.split
+    alone = A.Aligner(*models)
+    for text, (one,), parts in zip(texts, whole.parts(texts), cut.parts(texts), strict=True):
+        assert [alone.parts([text])[0]] == [parts]  # parts that are new together, and one text after the other
+        if one is None:
+            assert None in parts, repr(text)
+            continue
+        joined = ";".join(x[0] for x in parts), b"".join(x[1] for x in parts), *(sum(x[k] for x in parts) for k in (2, 3, 4))
+        assert one == joined, repr(text)
+    assert not any(len(x) > A.KEPT_LETTERS for x in cut.kept)
