@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from paperlake.llm.common import in_sieve, maybe_among, row_key, sieve_of, stored, text_batches
-from paperlake.llm.shingles import GOLDEN, MEMO_WORDS, mix, windows
+from paperlake.llm.shingles import GOLDEN, mix, windows
 
 # Measures that count as units, and words that count as numbers.
 UNITS = frozenset((
@@ -47,6 +47,8 @@ WORD, NUMERIC, UNIT, CAPITAL = range(4)
 ENDS_BIT, SKIP_BIT = 4, 8
 LOW_BITS = np.uint64(15)
 
+#: Distinct tokens after which their table is started anew; it only saves work.
+MEMO_TOKENS = 600_000
 #: Bits of the sieve of the cards' windows, whatever their number: 4 MB.
 SIEVE_BITS = 1 << 25
 #: The two kinds of windows: of template words, and of plain words.
@@ -83,7 +85,7 @@ class Tokens(dict):
         return place
 
     def of(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self) >= MEMO_WORDS:
+        if len(self) >= MEMO_TOKENS:
             self.clear()
         places = np.fromiter(map(self.__getitem__, raw), np.int64, len(raw))
         return self.packed[places], self.plain[places]
