@@ -211,3 +211,17 @@ def test_empty_documents_pass_all_stages(spark, sf):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf)
         assert docs.count() == 0
+
+
+def test_stages_take_columns_of_any_name_and_repeated_rows(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 80")
+    more = {c: F.lit(c) for c in ("paper_id", "row", "score", "hits", "_key", "language", "class", "rejected")}
+    docs = docs.unionByName(docs).withColumns(more)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, sf)
+        assert kept.columns == docs.columns
+        rows = Counter(r.doc_id for r in kept.collect())
+        assert rows and set(rows.values()) == ({1} if name.startswith("n-gram") else {2}), name
+    coded = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
+    assert coded.columns == ["doc_id", "lang", "source", "n_pieces", "piece_ids", "exact"]
+    assert coded.count() == docs.count() and coded.where("NOT exact").isEmpty()
