@@ -27,9 +27,9 @@ SLICE = 250_000
 #: Where neither tokenizer has a token across: before a blank or a line break between two visible characters.
 CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 #: Aligned parts of texts that a task keeps, and characters of the longest one.
-KEPT, KEPT_LETTERS = 300_000, 64
+KEPT, KEPT_LETTERS = 150_000, 64
 #: Links in a block of papers; a block's distinct id pairs meet their counts at once.
-BLOCK_LINKS = 1_500_000
+BLOCK_LINKS = 800_000
 
 
 class ByteLevel:
